@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillspark.llm import quality
+from rillspark.llm import bpe, quality, secrets, toxicity, urls
 
 import corpus_pipeline
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scans": secrets.op2,
         "op5_quality_rules": quality.op5,
+        "op7_toxicity": toxicity.op7,
+        "op8_url_filters": urls.op8,
+        "op9_token_counts": bpe.op9,
+        "op10_bpe": bpe.op10,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filters": urls.OP8_SQL}
