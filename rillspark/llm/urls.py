@@ -7,8 +7,10 @@ search, and a hit counts only if the stored full string equals the probed one, s
 
 from __future__ import annotations
 
+import atexit
 import mmap
 import os
+import shutil
 import struct
 import tempfile
 import uuid
@@ -18,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
+from pyspark import SparkContext, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from rillspark.llm.common import slices, workers_find_us
@@ -115,13 +117,19 @@ def judge(urls: list[str | None], d: Digests, default: str = "allow") -> list[tu
     return [(h, p, d.stored(b[2]), "block" if d.block[b[2]] else "allow") if (b := best.get(i)) else (h, p, None, default) for i, (h, p) in enumerate(split)]
 
 
+@lru_cache(maxsize=64)
+def added(spark_id: str, rules: tuple[tuple[str, str], ...]) -> str:
+    folder = tempfile.mkdtemp(prefix="url-digests-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"url-digests-{uuid.uuid4().hex}.bin")
+    save(rules, path)
+    SparkContext.getOrCreate().addFile(path)
+    return os.path.basename(path)
+
+
 def shipped(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> str:
     """The name under which executors find the saved rules: Spark copies the driver's file to each of them."""
-    name = f"url-digests-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        save(rules, os.path.join(folder, name))
-        spark.sparkContext.addFile(os.path.join(folder, name))
-    return name
+    return added(spark.sparkContext.applicationId, tuple(rules))
 
 
 def with_verdicts(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, default: str = "allow") -> DataFrame:
