@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillspark.llm import bpe, quality, secrets, toxicity, urls
+from rillspark.llm import bpe, decontaminate, lm_score, quality, secrets, simhash, toxicity, urls
 
 import corpus_pipeline
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.op1,
         "op2_secret_scans": secrets.op2,
+        "op4_simhash": simhash.op4,
         "op5_quality_rules": quality.op5,
+        "op6_lm_scoring": lm_score.op6,
         "op7_toxicity": toxicity.op7,
         "op8_url_filters": urls.op8,
         "op9_token_counts": bpe.op9,
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": urls.OP8_SQL}
+    return {"op6_lm_scoring": lm_score.OP6_SQL, "op8_url_filters": urls.OP8_SQL}
