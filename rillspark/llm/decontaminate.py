@@ -225,6 +225,13 @@ def with_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that aren't contaminated by items, with all their columns."""
+    hit = with_contamination(docs, items).where("contaminated").select("doc_id", "text_key").distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["doc_id"]) & (keyed["__key"] == hit["text_key"]), "left_anti").drop("__key")
+
+
 def keys_equal(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillspark.llm import bpe, decontaminate, lm_score, quality, secrets, simhash, toxicity, urls
+from rillspark.llm import bpe, decontaminate, lm_score, quality, secrets, simhash, suffixes, toxicity, urls
 
 import corpus_pipeline
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1,
         "op2_secret_scans": secrets.op2,
+        "op3_suffix_dedup": suffixes.op3,
         "op4_simhash": simhash.op4,
         "op5_quality_rules": quality.op5,
         "op6_lm_scoring": lm_score.op6,

@@ -175,7 +175,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def with_components(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, text_key (the text's hash), fp, component_id.
+    """One row per row of docs (doc_id, text): doc_id, text_key (the text's hash), fp, root (the component's smallest
+    fingerprint), component_id.
 
     Null and empty texts, and those of white space, have fingerprint zero and link like any other. Repeated rows have
     the same fingerprint and so one component. component_id is the smallest doc_id of the component, null only where
@@ -186,8 +187,22 @@ def with_components(docs: DataFrame) -> DataFrame:
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lowest, "root").select("fp", "component_id")
-    return base.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
+    classes = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return base.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: of those with the smallest doc_id (null if none has one) that with the
+    smallest hash of its text; of equal rows one stays."""
+    found = written(with_components(docs), "components")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("first_key"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    judged = found.join(first, "root").withColumn("stays", stays)
+    dropped = judged.where(~F.col("stays")).select("doc_id", "text_key").distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    kept = keyed.join(dropped, keyed["doc_id"].eqNullSafe(dropped["doc_id"]) & (keyed["__key"] == dropped["text_key"]), "left_anti").drop("__key")
+    equal_rows = not judged.where("stays").groupBy("root").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id", "text"]) if equal_rows else kept
 
 
 def hexadecimal(fp: Column) -> Column:
