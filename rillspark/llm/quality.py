@@ -126,6 +126,12 @@ def with_quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "t
     return step.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("kept_chars") >= rules.keep_share * F.col("word_chars")))
 
 
+def kept_only(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
+    """with_quality's rows that are kept. The verdict is filtered beside a row number, which keeps Catalyst from moving
+    the filter, and with it all that the verdict is made of, below the projections that compute it once."""
+    return with_quality(docs, rules, text).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0").drop("__row")
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return with_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "kept_chars")
