@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,6 @@ class Known(dict):
         return found
 
 
-@lru_cache(maxsize=1 << 17)
 def features(word: str) -> tuple[str, ...]:
     """A word in lower case, and its first 4, 5 and 6 letters with a mark, for inflected words."""
     return (word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n))
@@ -75,23 +75,25 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 8, l1: float = 7e-4
     """Weights by gradient descent (Adam) on the documents' log-likelihood, classes weighted alike. Without texts, or
     with one class only, every score is the share of the label 1 (0.5 without texts), smoothed."""
     prior = (sum(labels) + 1) / (len(labels) + 2)
-    docs = [[{f for w in set(ws) for f in features(w)} for _, _, ws in sentences(t or "")] for t in texts]
     seen: dict[str, int] = {}
-    for d in docs:
-        for w in set().union(*d):
-            seen[w] = seen.get(w, 0) + 1
+    for t in texts:
+        for f in {f for _, _, ws in sentences(t or "") for w in set(ws) for f in features(w)}:
+            seen[f] = seen.get(f, 0) + 1
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
+    del seen
     if len(set(labels)) < 2 or not vocabulary:
         return Model({}, float(np.log(prior / (1 - prior))), prior)
     y = np.array(labels, float)
-    cells, bag_of, at = [], [], 0
-    for i, d in enumerate(docs):
-        for sentence in d:
-            cells += [(at, vocabulary[w]) for w in sorted(sentence) if w in vocabulary]
+    found, sizes, bag_of = array("i"), array("i"), array("i")
+    for i, t in enumerate(texts):
+        for _, _, ws in sentences(t or ""):
+            known = {vocabulary[f] for w in set(ws) for f in features(w) if f in vocabulary}
+            found.extend(sorted(known))
+            sizes.append(len(known))
             bag_of.append(i)
-            at += 1
-    rows, columns = (np.array(c) for c in zip(*cells))
-    bag = np.array(bag_of)
+    columns, bag, at = np.array(found, np.int32), np.array(bag_of, np.int32), len(sizes)
+    rows = np.repeat(np.arange(at, dtype=np.int32), np.array(sizes))
+    del found
     w, b = np.zeros(len(vocabulary)), -4.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     share = y.mean()
@@ -157,7 +159,7 @@ def with_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
 
 
 #: Labelled texts that the model is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 3000
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
