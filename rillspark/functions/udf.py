@@ -13,7 +13,8 @@ import time
 import typing
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 from typing import Any
 
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillspark.types import members, resolve
+from rillspark.types import loosened, members, resolve
 
 REGISTRY: dict[str, Operator] = {}
 TIMEOUT_S = 1800.0
@@ -56,6 +57,8 @@ def typed(value: Any, annotation: Any) -> Any:
     """A row as the struct the annotation names."""
     if annotation is None or value is None:
         return value
+    if isinstance(value, float) and int in (annotation, *typing.get_args(annotation)) and float not in (annotation, *typing.get_args(annotation)):
+        return int(value)  # pandas holds integers with nulls as floats
     if (fields := members(annotation)) is not None and isinstance(value, (dict, pd.Series)):
         return annotation(**{n: typed(value[n], t) for n, t in fields})
     if typing.get_origin(annotation) is list and not isinstance(value, str):
@@ -102,13 +105,17 @@ class Operator:
             if value is inspect.Parameter.empty:
                 raise TypeError(f"{self.name} needs {p.name}")
             columns.append(value if isinstance(value, Column) else F.lit(value).cast("string") if value is None else F.lit(value))
-        return self.udf()(*columns)
+        out = self.udf()(*columns)
+        if isinstance(self.returns.data_type, T.StructType):
+            needed = [c.isNotNull() for c, o in zip(columns, self.optional) if not o]
+            return F.when(reduce(and_, needed), out) if needed else out
+        return out
 
     def udf(self):
         make, options, optional, kinds, name = self.make, self.options, self.optional, self.kinds, self.name
         names = self.returns.data_type.names if isinstance(self.returns.data_type, T.StructType) else None
 
-        @F.pandas_udf(self.returns.data_type)
+        @F.pandas_udf(loosened(self.returns.data_type))
         def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             fn = make()
             most = options.max_batch_size or 1 << 30
@@ -117,7 +124,7 @@ class Operator:
                 rows = [tuple(None if is_null(v) else v for v in r) for r in zip(*(values(c) for c in columns))]
                 live = [i for i, r in enumerate(rows) if all(o or v is not None for v, o in zip(r, optional))]
                 out: list[Any] = [None] * len(rows)
-                args = [tuple(typed(v, k if members(k) or typing.get_origin(k) is list else None) for v, k in zip(rows[i], kinds)) for i in live]
+                args = [tuple(typed(v, k) for v, k in zip(rows[i], kinds)) for i in live]
                 if options.batching:
                     for at in range(0, len(args), most):
                         part = args[at : at + most]

@@ -138,6 +138,13 @@ def is_key(field: T.StructField) -> bool:
     return all(map(is_key, kind.fields)) if isinstance(kind, T.StructType) else isinstance(kind, KEYS)
 
 
+def loosened(kind: T.DataType) -> T.DataType:
+    """The type with all fields of structs nullable, as Python functions may give nulls anywhere."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, loosened(f.dataType), True, f.metadata) for f in kind])
+    return T.ArrayType(loosened(kind.elementType), True) if isinstance(kind, T.ArrayType) else kind
+
+
 UNITS = {"d": 86400, "h": 3600, "m": 60, "s": 1, "ms": 1e-3, "us": 1e-6}
 NAMES = {"day": "d", "hour": "h", "minute": "m", "second": "s", "millisecond": "ms", "microsecond": "us"}
 
