@@ -33,8 +33,10 @@ LENGTH, GRAM = 200, 24
 #: sent and sorted; the result is the same.
 SLOTS = 1 << 21
 PLACE = np.uint64((1 << 28) - 1)
+#: Bytes of text hashed at once; the tables of powers are as long.
+PIECE = 1 << 20
 #: Bytes of contexts sorted together, cut where the anchor changes; an anchor with more is sorted as one, on disk.
-BLOCK = 8 << 20
+BLOCK = 1 << 20
 #: Items that all queues of one sort hold in memory.
 HELD = 1 << 23
 #: Above so many symbols a reduced text is sorted by doubling instead of by a further induction.
@@ -149,8 +151,8 @@ class Shard:
     def __init__(self, text: np.ndarray, cap: int, held: int = HELD):
         self.text, self.cap, self.held = text, cap, held
         n = self.n = len(text)
-        step = np.sign(np.diff(text.astype(np.int64), append=0))
-        places = np.where(step != 0, np.arange(n), n - 1)
+        step = np.sign(np.diff(text, append=text[:0].dtype.type(0))).astype(np.int8)
+        places = np.where(step != 0, np.arange(n, dtype=np.int64), n - 1)
         self.turn = np.minimum.accumulate(places[::-1])[::-1]  # where the run of equal symbols from a place ends
         self.small = step[self.turn] > 0  # S
         self.small[text == 0] = True
@@ -162,7 +164,7 @@ class Shard:
         return np.minimum(self.turn[at] - at + 1, self.cap)
 
     def hashes(self):
-        power, inverse = powers(1 << max(23, self.n.bit_length()))
+        power, inverse = powers(1 << max(21, self.n.bit_length()))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * power[: self.n])])
         return lambda at, length: (total[at + length] - total[at]) * inverse[at]
 
@@ -302,7 +304,7 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     n = len(flat) - length + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
-    power, inverse = powers(1 << max(23, len(flat).bit_length()))
+    power, inverse = powers(1 << max(21, len(flat).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)])])
     g = mixed((total[GRAM:] - total[:-GRAM]) * inverse[: len(flat) - GRAM + 1])
     t = (g & ~PLACE) | (PLACE - np.arange(len(g), dtype=np.uint64))
@@ -328,7 +330,7 @@ def anchors(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 h, n = np.unique(anchors(*raw_bytes(part["text"]), length)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n > 1)], names=["h", "twice"])
 
@@ -355,7 +357,7 @@ def contexts(docs: DataFrame, shared, length: int, owners: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = set(), set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 flat, offsets = raw_bytes(part["text"])
                 h, d, low, high = anchors(flat, offsets, length)
                 yes = (shared.value[((h >> np.uint64(6)) & np.uint64(SLOTS - 1)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) == 1
@@ -439,7 +441,7 @@ def with_removed(docs: DataFrame, length: int = LENGTH, text: bool = False) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 rows = []
                 for doc_id, t, found in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), part["spans"].to_pylist()):
                     data, kept, at, n = (t or "").encode(), [], 0, 0
