@@ -195,13 +195,15 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: of those with the smallest doc_id (null if none has one) that with the
     smallest hash of its text; of equal rows one stays."""
     found = written(with_components(docs), "components")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("text_key").alias("first_key"))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
-    judged = found.join(first, "root").withColumn("stays", stays)
-    dropped = judged.where(~F.col("stays")).select("doc_id", "text_key").distinct()
+    lowest = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    named = found.where(lowest)  # more than one of a component only for repeated or missing ids
+    first = named.groupBy("root").agg(F.min("text_key").alias("first_key"))
+    named = named.join(first, "root")
+    others = named.where("text_key != first_key").select("doc_id", "text_key")
+    dropped = found.where(~lowest).select("doc_id", "text_key").union(others).distinct()
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     kept = keyed.join(dropped, keyed["doc_id"].eqNullSafe(dropped["doc_id"]) & (keyed["__key"] == dropped["text_key"]), "left_anti").drop("__key")
-    equal_rows = not judged.where("stays").groupBy("root").count().where("count > 1").isEmpty()
+    equal_rows = not named.where("text_key = first_key").groupBy("root").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if equal_rows else kept
 
 
