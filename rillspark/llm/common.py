@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from rillspark.session import workers_find_us
+
+__all__ = ["raw_bytes", "shared_dir", "slices", "table", "text_or_empty", "workers_find_us", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_find_us(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package; a cluster gets it with --py-files."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     sc = spark.sparkContext
