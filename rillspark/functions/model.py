@@ -103,7 +103,7 @@ def embed_text(text: Column, api_type: str = "Hash", model: str = "hash", dimens
                     out[i] = v
             yield pd.Series(out, dtype=object)
 
-    return embed(text)
+    return embed.asNondeterministic()(text)
 
 
 def embed_images(image: Column, factory: Callable[..., Any], model: str = "") -> Column:
@@ -115,7 +115,7 @@ def embed_images(image: Column, factory: Callable[..., Any], model: str = "") ->
         for s in batches:
             yield s.map(lambda b: client.embed_image(bytes(b)), na_action="ignore")
 
-    return embed(image)
+    return embed.asNondeterministic()(image)
 
 
 def extract(output_type: Any, factory: Callable[..., Any], text: Column | None = None, image: Column | None = None, instruction: str = "", model: str = "") -> Column:
@@ -137,7 +137,7 @@ def extract(output_type: Any, factory: Callable[..., Any], text: Column | None =
                 out.append(said)
             yield pd.Series(out, dtype=object)
 
-    said = generate(text if text is not None else F.lit(None).cast("string"), image if image is not None else F.lit(None).cast("binary"))
+    said = generate.asNondeterministic()(text if text is not None else F.lit(None).cast("string"), image if image is not None else F.lit(None).cast("binary"))
     if wrapped:
         return F.from_json(said, T.StructType([T.StructField("value", kind.data_type)]), {"mode": "FAILFAST"})["value"]
     return F.from_json(said, kind.data_type, {"mode": "FAILFAST"})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
@@ -66,7 +65,7 @@ def split_by_separators(text: Column, separators: Sequence[str], keep: str | Non
     def split(column: pd.Series) -> pd.Series:
         return column.map(lambda t: rows(t, separator_spans(t, separators, keep, include_empty, trim)), na_action="ignore")
 
-    return split(text)
+    return split.asNondeterministic()(text)  # else a filter on the exploded array evaluates it again
 
 
 def split_texts(text: Column, separators: Sequence[str], trim: bool = True) -> Column:
@@ -163,41 +162,61 @@ class RecursiveSplitter:
         return self.cheapest(atoms, offsets, chunk_size, least, overlap)
 
     def cheapest(self, atoms: list[Atom], offsets: Sequence[int], most: int, least: int, overlap: int) -> list[tuple[int, int]]:
-        """Dynamic programming over atoms: best[i] is the least cost of chunks that end with atom i - 1."""
+        """Dynamic programming over atoms: best[i] is the least cost of chunks that end with atom i - 1.
+
+        What a chunk that starts with atom s follows, and at which cost, depends on s alone once all atoms within the
+        overlap of its start are known; it is worked out once."""
         total = offsets[-1]
-        lack = (lambda at: (total - offsets[at]) * OVERLAP_COST // overlap) if overlap else lambda at: 0
-        gaps = [0, *accumulate(LEVEL_COST // i for i in range(1, 2 + max(a.boundary for a in atoms)))]
+        begins, ends = [offsets[a.start] for a in atoms], [offsets[a.end] for a in atoms]
+        boundaries, edges, inner = [a.boundary for a in atoms], [a.breaks_before for a in atoms], [a.inner_breaks for a in atoms]
+        lack = (lambda at: (total - at) * OVERLAP_COST // overlap) if overlap else lambda at: 0
+        gaps = [0, *accumulate(LEVEL_COST // i for i in range(1, 2 + max(boundaries)))]
         best, behind, came = [0], [lack(0)], [(0, 0)]
-        for i, last in enumerate(atoms[:-1]):
-            after, choice, waiting = atoms[i + 1], None, []
-            level, breaks = None, 0  # finest boundary and most line breaks inside the chunk
+        far = 1 + max(boundaries)
+        follows: list[tuple[int, int] | None] = [None] * len(atoms)
+
+        def follow(s: int, i: int) -> tuple[int, int]:
+            if not overlap:
+                found = follows[s] = (best[s] + OVERLAP_COST // 2, s)
+                return found
+            last = bisect_right(ends, begins[s] + overlap) - 1
+            p = min(range(s, max(s, min(i, last)) + 1), key=lambda q: (best[q] + behind[q], -q))
+            found = (best[p] + OVERLAP_COST - max(0, lack(begins[s]) - behind[p]), p)
+            if i >= last:
+                follows[s] = found
+            return found
+
+        for i in range(len(atoms) - 1):
+            end, after, edge = ends[i], boundaries[i + 1], edges[i + 1]
+            level, breaks = far, 0  # finest boundary and most line breaks inside the chunk
+            least_cost, first, previous = None, 0, 0
             for s in range(i, -1, -1):
-                head = atoms[s]
-                width = offsets[last.end] - offsets[head.start]
+                width, boundary = end - begins[s], boundaries[s]
                 cost = SMALL_COST if width < least else 0
-                for boundary, edge in ((head.boundary, head.breaks_before), (after.boundary, after.breaks_before)):
-                    cost += gaps[boundary - level] if level is not None and boundary > level else 0
-                    cost += LINE_BREAK_COST * max(0, breaks - edge)
+                if boundary > level:
+                    cost += gaps[boundary - level]
+                if after > level:
+                    cost += gaps[after - level]
+                if breaks:
+                    if breaks > edges[s]:
+                        cost += LINE_BREAK_COST * (breaks - edges[s])
+                    if breaks > edge:
+                        cost += LINE_BREAK_COST * (breaks - edge)
                 if width > most:
-                    choice = choice or (cost + best[s], s, s)
+                    if least_cost is None:
+                        least_cost, first, previous = cost + best[s], s, s
                     break
-                previous = s
-                if overlap:
-                    while waiting and offsets[atoms[-waiting[0][1]].end] - offsets[head.start] > overlap:
-                        heapq.heappop(waiting)
-                    heapq.heappush(waiting, (best[s] + behind[s], -s))
-                    previous = -waiting[0][1]
-                    cost += OVERLAP_COST - max(0, lack(head.start) - behind[previous])
-                else:
-                    cost += OVERLAP_COST // 2
-                cost += best[previous]
-                if choice is None or cost < choice[0]:
-                    choice = (cost, s, previous)
-                level = head.boundary if level is None else min(level, head.boundary)
-                breaks = max(breaks, head.inner_breaks)
-            best.append(choice[0])
-            came.append(choice[1:])
-            behind.append(lack(last.end))
+                before, p = follows[s] or follow(s, i)
+                cost += before
+                if least_cost is None or cost < least_cost:
+                    least_cost, first, previous = cost, s, p
+                if boundary < level:
+                    level = boundary
+                if inner[s] > breaks:
+                    breaks = inner[s]
+            best.append(least_cost)
+            came.append((first, previous))
+            behind.append(lack(end))
         out, i = [], len(atoms) - 1
         while i > 0:
             start, previous = came[i]
@@ -221,4 +240,4 @@ def split_recursively(text: Column, chunk_size: Column | int, min_chunk_size: Co
                 out.append(None if t is None or pd.isna(n) else rows(t, splitter.spans(t, int(n), number(m), number(o), None if pd.isna(name) else name)))
             yield pd.Series(out, dtype=object)
 
-    return split(text, column(chunk_size, "bigint"), column(min_chunk_size, "bigint"), column(chunk_overlap, "bigint"), column(language, "string"))
+    return split.asNondeterministic()(text, column(chunk_size, "bigint"), column(min_chunk_size, "bigint"), column(chunk_overlap, "bigint"), column(language, "string"))

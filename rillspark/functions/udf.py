@@ -137,7 +137,7 @@ class Operator:
                         out[i] = plain(x)
                 yield pd.DataFrame([r or dict.fromkeys(names) for r in out], columns=names) if names else pd.Series(out, dtype=object)
 
-        return run
+        return run.asNondeterministic()  # evaluated once, also where filters are inferred from its result
 
 
 def values(column) -> list:
