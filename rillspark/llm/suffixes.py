@@ -381,33 +381,49 @@ def contexts(docs: DataFrame, shared, length: int, owners: bool) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[tuple[list[bytes], list[bytes], list[bool]]]:
-    """Keys, contexts and whether they occur twice, of rows sorted by h and key; cut at about `most` bytes where h changes."""
-    keys, texts, twice, held, last = [], [], [], 0, None
+Rows = tuple[list[bytes], list[bytes], list[bool]]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[tuple[Rows, Rows]]:
+    """Keys, contexts and whether they occur twice, of rows sorted by h and key: those to be sorted, cut at about `most`
+    bytes where h changes, and those alone with their anchor, which have no other to be held against: strings of one
+    context have different places of the anchor and so are never equal."""
+    empty = lambda: ([], [], [])
+    sort, alone, group, held, last = empty(), empty(), empty(), 0, None
+
+    def close() -> int:
+        to = alone if len(group[0]) == 1 else sort
+        for x, y in zip(to, group):
+            x.extend(y)
+        return 0 if to is alone else sum(map(len, group[1]))
+
     for batch in batches:
         for h, key, context in zip(batch["h"].to_pylist(), batch["key"].to_pylist(), batch["context"].to_pylist()):
-            if keys and key == keys[-1]:
-                twice[-1] = True
+            if h != last:
+                held += close()
+                group = empty()
+                if held > most or len(alone[0]) > 10_000:
+                    yield sort, alone
+                    sort, alone, held = empty(), empty(), 0
+                last = h
+            elif key == group[0][-1]:
+                group[2][-1] = True
                 continue
-            if held > most and h != last:
-                yield keys, texts, twice
-                keys, texts, twice, held = [], [], [], 0
-            keys.append(key)
-            texts.append(context)
-            twice.append(False)
-            held += len(context)
-            last = h
-    if keys:
-        yield keys, texts, twice
+            for x, y in zip(group, (key, context, False)):
+                x.append(y)
+    close()
+    yield sort, alone
 
 
 def found_in_shards(sent: DataFrame, length: int) -> DataFrame:
     """key, runs: the offsets in each distinct context at which repeated strings start, as first and last of runs."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts, twice in blocks(batches):
-            runs = [[(0, len(t) - length)] if both else runs_of(x) for t, both, x in zip(texts, twice, repeated(texts, length))]
-            rows = [(k, [{"first": a, "last": b} for a, b in r]) for k, r in zip(keys, runs) if r]
+        for (keys, texts, twice), (own_keys, own_texts, own_twice) in blocks(batches):
+            whole = lambda t: [(0, len(t) - length)]
+            runs = [whole(t) if both else runs_of(x) for t, both, x in zip(texts, twice, repeated(texts, length))]
+            runs += [whole(t) if both else [] for t, both in zip(own_texts, own_twice)]
+            rows = [(k, [{"first": a, "last": b} for a, b in r]) for k, r in zip(keys + own_keys, runs) if r]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([r for _, r in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["key", "runs"])
 
     return sent.repartition("h").sortWithinPartitions("h", "key").mapInArrow(sort, "key binary, runs array<struct<first:int,last:int>>")
