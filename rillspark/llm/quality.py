@@ -60,8 +60,10 @@ def repeat_words(words: Column, n_words: Column) -> Column:
     Windows are compared by 64-bit hash. Their upper 33 bits, packed with the place into one long, sort as primitives;
     neighbours with equal bits (all repeated windows, seldom another) are sorted again by the whole hash, and the
     places of equal ones measured as a union of intervals of length 3."""
-    at = F.sequence(F.lit(1), n_words - 2)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2)))
+
+    def hashes(w: Column) -> Column:  # of a bound array: an optimizer that inlines it can't have it split again for each word
+        return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
+
     low = (1 << 31) - 1
 
     def alike(s: Column, key) -> Column:
@@ -82,7 +84,7 @@ def repeat_words(words: Column, n_words: Column) -> Column:
         near = bound(packed, lambda s: alike(s, lambda x: F.shiftright(x, 31)))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(bound(near, lambda x: exactly(h, x)))
 
-    return F.when(n_words < 3, F.lit(0).cast("long")).otherwise(bound(hashes, counted))
+    return F.when(n_words < 3, F.lit(0).cast("long")).otherwise(bound(bound(words, hashes), counted))
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
