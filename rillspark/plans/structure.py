@@ -11,6 +11,7 @@ from rillspark.flow import Flow, TransformFlow
 from rillspark.functions import languages, split, text
 from rillspark.functions.udf import executor_class, function
 from rillspark.sources.files import matches
+from rillspark.session import spread
 from rillspark.sources.tables import CustomSource, Table, parquet_table
 
 QUERIES: dict[str, tuple] = {}
@@ -40,7 +41,8 @@ def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
 
     def define(flow: Flow):
         out = flow.add_collector()
-        with flow.add_source(source(sf, "documents", "doc_id", included_columns=["text"])).row() as doc:
+        docs = Table(lambda s: spread(s.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")), ["doc_id"])
+        with flow.add_source(docs).row() as doc:
             doc["chunks"] = doc["text"].transform(split.split_recursively, 1000, 300, 100)
             with doc["chunks"].row() as chunk:
                 out.collect(doc_id=doc["doc_id"], location=chunk["location"], text=chunk["text"])
@@ -220,7 +222,7 @@ def split_texts(spark, sf):
 
 @query()
 def split_recursively(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     return docs.select("doc_id", F.inline(split.split_recursively(F.col("text"), 500, 100, 50))).select("doc_id", "location", "text", "start", "end")
 
 
