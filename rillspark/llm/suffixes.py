@@ -3,14 +3,15 @@
 `repeated` sorts the suffixes of a shard of texts: positions are classed as L or S, the leftmost S ones (LMS) are sorted
 first, by recursion on the names of the strings between them, and all others are induced from them. Each first symbol
 has a priority queue: suffixes with their common prefix lengths enter it in the order of what induced them, which is
-their own order, and leave it from the front. Queues move to disk when they hold too much, so that a shard may be far
-larger than memory. Common prefix lengths are carried along, so that neighbours that share `length` bytes are known
-when the last queue is read, without a look at the text.
+their own order, and leave it from the front. Queues move to disk when they hold too much; the text, types, names and
+LMS order of a shard stay in memory, so that shards are kept small. Common prefix lengths are carried along, so that
+neighbours that share `length` bytes are known when the last queue is read, without a look at the text.
 
 `with_removed` finds bytes in strings of `length` that start at more than one place in all documents. Each such string
 keeps an anchor, the gram with the smallest hash in it (the rightmost of equal ones); equal strings have equal anchors
 at the same offset. Anchors that occur once cannot matter. The strings of every other anchor, one context of text, go to
-the shard of the anchor's hash, copies reduced to two per task before they are sent.
+the shard of the anchor's hash, copies reduced to two per task before they are sent. An anchor with more contexts than
+are sorted together has its strings dealt further, by their own hashes, in files: `Hot`.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ SLOTS = 1 << 21
 PLACE = np.uint64((1 << 28) - 1)
 #: Bytes of text hashed at once; the tables of powers are as long.
 PIECE = 1 << 20
-#: Bytes of contexts sorted together, cut where the anchor changes; an anchor with more is sorted as one, on disk.
+#: Bytes of contexts sorted together, cut where the anchor changes; one anchor may add up to HOT to them.
 BLOCK = 1 << 20
+#: Bytes of distinct contexts of one anchor from which on they go to files.
+HOT = 1 << 21
+#: Strings of a hot anchor in memory at once, files that they are dealt to, and ranges of places that results are dealt to.
+DEALT, PARTS, RANGES = 1 << 17, 64, 256
 #: Items that all queues of one sort hold in memory.
 HELD = 1 << 23
 #: Above so many symbols a reduced text is sorted by doubling instead of by a further induction.
@@ -381,50 +386,187 @@ def contexts(docs: DataFrame, shared, length: int, owners: bool) -> DataFrame:
     return docs.mapInArrow(scan, schema)
 
 
+class Parts:
+    """Records dealt to files by number."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.files, self.n, self.low, self.high = kind, {}, {}, {}, {}
+
+    def put(self, part: np.ndarray, records: np.ndarray, by: np.ndarray) -> None:
+        order = np.argsort(part, kind="stable")
+        heads = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)]):
+            p, at = int(part[order[a]]), order[a:b]
+            if p not in self.files:
+                self.files[p], self.n[p], self.low[p], self.high[p] = tempfile.TemporaryFile(), 0, by[at].min(), by[at].max()  # noqa: SIM115
+            self.files[p].write(records[at].tobytes())
+            self.n[p] += b - a
+            self.low[p], self.high[p] = min(self.low[p], by[at].min()), max(self.high[p], by[at].max())
+
+    def take(self, p: int) -> Iterator[np.ndarray]:
+        """The records of a part in chunks; its room goes back at the end."""
+        if p in self.files:
+            with self.files.pop(p) as file:
+                file.seek(0)
+                while data := file.read(DEALT * self.kind.itemsize):
+                    yield np.frombuffer(data, self.kind)
+
+
+class Hot:
+    """The distinct contexts of an anchor that has too many to be sorted in memory, in files.
+
+    Equal strings have equal hashes, so that strings may be dealt by hash, again by further bits while a part is too
+    large. Those whose hash occurs once in a part equal no other; the rest are sorted by their bytes. A part of one hash
+    that is still too large is held against its first string, and what differs from that dealt with in the same way."""
+
+    ROW = np.dtype([("key", "V16"), ("size", "<i4"), ("twice", "?")])
+    STRING = np.dtype([("hash", "<u8"), ("at", "<i8")])
+
+    def __init__(self):
+        self.text, self.rows, self.total = tempfile.TemporaryFile(), tempfile.TemporaryFile(), 0  # noqa: SIM115
+
+    def add(self, keys: list[bytes], contexts: list[bytes], twice: list[bool]) -> None:
+        rows = np.zeros(len(keys), self.ROW)
+        rows["key"], rows["size"], rows["twice"] = np.frombuffer(b"".join(keys), "V16"), [len(c) for c in contexts], twice
+        self.rows.write(rows.tobytes())
+        self.text.write(b"".join(contexts))
+        self.total += int(rows["size"].sum())
+
+    def each(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows in chunks, and where in the text each chunk starts."""
+        self.rows.seek(0)
+        at = 0
+        while data := self.rows.read(2048 * self.ROW.itemsize):
+            rows = np.frombuffer(data, self.ROW)
+            yield at, rows
+            at += int(rows["size"].sum())
+
+    def strings(self, length: int) -> Iterator[np.ndarray]:
+        for base, rows in self.each():
+            flat, ends = self.flat[base : base + int(rows["size"].sum())], np.cumsum(rows["size"])
+            power, inverse = powers(1 << max(21, len(flat).bit_length()))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)])])
+            left = np.repeat(ends, rows["size"]) - np.arange(len(flat))
+            at = np.flatnonzero(left >= length)
+            out = np.zeros(len(at), self.STRING)
+            out["hash"], out["at"] = mixed((total[at + length] - total[at]) * inverse[at]), at + base
+            yield out
+
+    def repeats(self, chunks: Iterator[np.ndarray], n: int, one: bool, shift: int, length: int) -> Iterator[np.ndarray]:
+        """Places of those of n strings that equal another of them. one: their hashes are the same."""
+        read = lambda at: np.lib.stride_tricks.sliding_window_view(self.flat, length)[at]
+        if n <= DEALT:
+            s = np.concatenate([np.zeros(0, self.STRING), *chunks])
+            _, inverse, counts = np.unique(s["hash"], return_inverse=True, return_counts=True)
+            at = s["at"][counts[inverse] > 1]
+            if len(at):
+                _, inverse, counts = np.unique(read(at).view(f"V{length}").ravel(), return_inverse=True, return_counts=True)
+                yield at[counts[inverse] > 1]
+        elif one:
+            first, alone, others = None, True, Parts(self.STRING)
+            for s in chunks:
+                if first is None:
+                    first, s = s["at"][:1], s[1:]
+                    held = read(first)
+                for i in range(0, len(s), 1 << 14):
+                    part = s[i : i + (1 << 14)]
+                    same = (read(part["at"]) == held).all(axis=1)
+                    if same.any():
+                        yield np.concatenate([first[: int(alone)], part["at"][same]])
+                        alone = False
+                    if not same.all():
+                        others.put(np.zeros((~same).sum(), np.int64), part[~same], part["hash"][~same])
+            if others.n:
+                yield from self.repeats(others.take(0), others.n[0], True, shift, length)
+        else:
+            parts = Parts(self.STRING)
+            for s in chunks:
+                parts.put(((s["hash"] >> np.uint64(shift)) & np.uint64(PARTS - 1)).astype(np.int64), s, s["hash"])
+            for p in list(parts.files):
+                yield from self.repeats(parts.take(p), parts.n[p], parts.low[p] == parts.high[p], max(0, shift - 6), length)
+
+    def found(self, length: int) -> Iterator[tuple[list[bytes], list[list[tuple[int, int]]]]]:
+        """Keys of contexts and the runs of offsets at which repeated strings start in them."""
+        self.text.flush()
+        self.flat = np.memmap(self.text, np.uint8, "r")
+        width = max(BLOCK, self.total // RANGES + 1)
+        places, marks = Parts(np.dtype("<i8")), {}
+        for at in self.repeats(self.strings(length), self.total, False, 58, length):
+            places.put(at // width, at, at)
+        for base, rows in self.each():
+            ends = base + np.cumsum(rows["size"].astype(np.int64))
+            a, b = base // width, int(ends[-1] - 1) // width
+            for p in range(a, b + 1):
+                if p not in marks:
+                    marks[p] = np.zeros(width, bool)
+                    for at in places.take(p):
+                        marks[p][at - p * width] = True
+            marks = {p: m for p, m in marks.items() if p >= a}
+            near = np.concatenate([marks[p] for p in range(a, b + 1)])
+            own = lambda e, n: np.flatnonzero(near[e - n - a * width : e - a * width])  # noqa: E731, B023
+            yield [k.tobytes() for k in rows["key"]], [[(0, n - length)] if both else runs_of(own(e, n)) for e, n, both in zip(ends.tolist(), rows["size"].tolist(), rows["twice"].tolist())]
+        self.text.close()
+        self.rows.close()
+
+
 Rows = tuple[list[bytes], list[bytes], list[bool]]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[tuple[Rows, Rows]]:
+def blocks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[Rows, Rows, Hot | None]]:
     """Keys, contexts and whether they occur twice, of rows sorted by h and key: those to be sorted, cut at about `most`
     bytes where h changes, and those alone with their anchor, which have no other to be held against: strings of one
-    context have different places of the anchor and so are never equal."""
+    context have different places of the anchor and so are never equal. Contexts of one anchor of more than HOT bytes
+    are in files."""
     empty = lambda: ([], [], [])
-    sort, alone, group, held, last = empty(), empty(), empty(), 0, None
+    sort, alone, group, held, last, size, hot, most = empty(), empty(), empty(), 0, None, 0, None, most or BLOCK
 
     def close() -> int:
+        if hot:
+            hot.add(*group)
+            return 0
         to = alone if len(group[0]) == 1 else sort
         for x, y in zip(to, group):
             x.extend(y)
-        return 0 if to is alone else sum(map(len, group[1]))
+        return 0 if to is alone else size
 
     for batch in batches:
         for h, key, context in zip(batch["h"].to_pylist(), batch["key"].to_pylist(), batch["context"].to_pylist()):
             if h != last:
                 held += close()
-                group = empty()
-                if held > most or len(alone[0]) > 10_000:
-                    yield sort, alone
-                    sort, alone, held = empty(), empty(), 0
+                group, size = empty(), 0
+                if hot or held > most or len(alone[0]) > 10_000:
+                    yield sort, alone, hot
+                    sort, alone, held, hot = empty(), empty(), 0, None
                 last = h
             elif key == group[0][-1]:
                 group[2][-1] = True
                 continue
+            elif size > HOT:
+                hot = hot or Hot()
+                hot.add(*group)
+                group, size = empty(), 0
             for x, y in zip(group, (key, context, False)):
                 x.append(y)
+            size += len(context)
     close()
-    yield sort, alone
+    yield sort, alone, hot
 
 
 def found_in_shards(sent: DataFrame, length: int) -> DataFrame:
     """key, runs: the offsets in each distinct context at which repeated strings start, as first and last of runs."""
 
+    def batch_of(keys: list[bytes], runs: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        rows = [(k, [{"first": a, "last": b} for a, b in r]) for k, r in zip(keys, runs) if r]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([r for _, r in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["key", "runs"])
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, texts, twice), (own_keys, own_texts, own_twice) in blocks(batches):
+        for (keys, texts, twice), (own_keys, own_texts, own_twice), hot in blocks(batches):
             whole = lambda t: [(0, len(t) - length)]
             runs = [whole(t) if both else runs_of(x) for t, both, x in zip(texts, twice, repeated(texts, length))]
             runs += [whole(t) if both else [] for t, both in zip(own_texts, own_twice)]
-            rows = [(k, [{"first": a, "last": b} for a, b in r]) for k, r in zip(keys + own_keys, runs) if r]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([r for _, r in rows], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=["key", "runs"])
+            yield batch_of(keys + own_keys, runs)
+            if hot:
+                yield from (batch_of(*x) for x in hot.found(length))
 
     return sent.repartition("h").sortWithinPartitions("h", "key").mapInArrow(sort, "key binary, runs array<struct<first:int,last:int>>")
 

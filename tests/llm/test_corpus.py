@@ -115,6 +115,46 @@ def test_induced_sorting(texts, length, held, symbols):
     assert got == [[i for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1] for t in texts]
 
 
+def hot_batches(contexts):
+    import pyarrow as pa
+
+    rows = sorted((7, hashlib.md5(c).digest(), c) for c in contexts)
+    for i in range(0, len(rows), 1000):
+        yield pa.RecordBatch.from_pylist([dict(zip(("h", "key", "context"), r)) for r in rows[i : i + 1000]])
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_hot_anchor_is_dealt_on_disk(monkeypatch, same_hash):
+    """More contexts of one anchor than are sorted together: none is held, and what is found equals brute force."""
+    monkeypatch.setattr(suffixes, "HOT", 1000)
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    monkeypatch.setattr(suffixes, "DEALT", 100)
+    if same_hash:
+        monkeypatch.setattr(suffixes, "mixed", lambda h: h & np.uint64(3))
+    rng, length = random.Random(3), 40
+    word = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    passage, near = word(38), [word(20) for _ in range(3)]
+    contexts = [rng.choice([word(20), *near]) + passage + rng.choice([word(20), *near]) for _ in range(150)]
+    contexts += contexts[:5]
+    got, held = {}, 0
+    for sort, alone, hot in suffixes.blocks(hot_batches(contexts)):
+        held = max(held, len(sort[0]) + len(alone[0]))
+        for keys, runs in hot.found(length) if hot else ():
+            got |= {k: [i for a, b in r for i in range(a, b + 1)] for k, r in zip(keys, runs)}
+    seen = collections.Counter(c[i : i + length] for c in contexts for i in range(len(c) - length + 1))
+    assert held == 0 and got == {hashlib.md5(c).digest(): [i for i in range(len(c) - length + 1) if seen[c[i : i + length]] > 1] for c in contexts}
+
+
+def test_removed_bytes_of_a_hot_anchor(spark):
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefghijklmnop ", k=150))
+    word = lambda: "".join(rng.choices("abcdefghijklmnop ", k=180))
+    rows = [(i, word() + passage + word()) for i in range(7000)]
+    rows += [(7000 + i, rows[i][1][30:470]) for i in range(20)]
+    got = suffixes.with_removed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()
+    assert by_repr(tuple(r)[:5] for r in got) == by_repr(plain_removed([(i, t.encode()) for i, t in rows]))
+
+
 # simhash
 
 
