@@ -1,7 +1,8 @@
 """Secret scans: known shapes by pattern, and random strings by token efficiency.
 
 A language's own words take few tokens; random strings take many. A candidate run with a low number of characters per
-token under a tiktoken vocabulary is a secret, unless its form is that of a digest or another public identifier.
+token under a tiktoken vocabulary is a secret, unless its form is that of a digest or another public identifier. Words
+glued to a key dilute a run's ratio, so that a run that passes is judged by its pieces and windows too.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Runs that may be keys: long enough, with letters and digits.
+#: Runs that may hold keys, and pieces of them between marks that may be keys: long enough.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PIECE = re.compile(r"[A-Za-z0-9]{16,}")
 #: Digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512, in one case), UUIDs and integrity values with their prefix.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
@@ -33,6 +36,12 @@ KNOWN = re.compile(
 #: Words joined by marks, each of letters or of digits alone: names, paths and dates rather than keys.
 NAMES = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+|$))+")
 MAX_RATIO = 2.0
+#: Pieces of letters alone: from LETTERS on, and of fewer characters per token, as long words of many languages take many.
+LETTERS, LETTERS_SHARE = 20, 0.875
+#: Public identifiers between marks or ends.
+BOUNDED = re.compile(rf"(?<![A-Za-z0-9])(?:{KNOWN.pattern})(?![A-Za-z0-9])")
+#: Characters of the piece that a window over marks needs.
+CORE = re.compile(r"[A-Za-z0-9]{8,}")
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_random bigint"
 
 
@@ -55,6 +64,60 @@ def is_random(run: str, max_ratio: float, path: str | None = None) -> bool:
     return has and not KNOWN.fullmatch(run) and not NAMES.fullmatch(run) and ratio(run, path) < max_ratio
 
 
+def random_letters(piece: str, max_ratio: float, path: str | None = None) -> bool:
+    return len(piece) >= LETTERS and piece.isalpha() and ratio(piece, path) < LETTERS_SHARE * max_ratio
+
+
+def windows(run: str, max_ratio: float, path: str | None = None) -> Iterator[tuple[int, int]]:
+    """Windows of tokens with the most tokens over what `max_ratio` allows their characters, widened to whole pieces; left
+    and right of each the rest is searched too. At least one piece in them must look like a part of a key."""
+    e = encoding(path)
+    ends = list(accumulate(map(len, e.decode_tokens_bytes(e.encode_ordinary(run))), initial=0))
+    todo = [(0, len(ends) - 1)]
+    while todo:
+        first, last = todo.pop()
+        best, start, low = (0.0, first, first), first, 0.0
+        total = 0.0
+        for i in range(first, last):
+            total += max_ratio - (ends[i + 1] - ends[i])
+            if total - low > best[0]:
+                best = (total - low, start, i + 1)
+            if total <= low:
+                low, start = total, i + 1
+        _, i, j = best
+        a, b = ends[i], ends[j]
+        if i == j:
+            continue
+        if b - a >= 16 and is_random(run[a:b], max_ratio, path) and any(not NAMES.fullmatch(m[0]) and not KNOWN.fullmatch(m[0]) for m in CORE.finditer(run[a:b])):
+            while a and run[a - 1].isalnum() and run[a].isalnum():
+                a -= 1
+            while b < len(run) and run[b].isalnum() and run[b - 1].isalnum():
+                b += 1
+            yield a, b
+        todo += [(first, i), (j, last)]
+
+
+def random_spans(run: str, max_ratio: float, path: str | None = None) -> list[tuple[int, int]]:
+    """The whole run if it's random, else the random pieces and windows of it outside public identifiers, as a union."""
+    if is_random(run, max_ratio, path):
+        return [(0, len(run))]
+    found, at = [], 0
+    for start, end in [*(m.span() for m in BOUNDED.finditer(run)), (len(run), len(run))]:
+        part = run[at:start]
+        if len(part) >= 16:
+            found += [(at + m.start(), at + m.end()) for m in PIECE.finditer(part) if is_random(m[0], max_ratio, path) or random_letters(m[0], max_ratio, path)]
+            if any(c.isdigit() for c in part) and not NAMES.fullmatch(part):
+                found += [(at + a, at + b) for a, b in windows(part, max_ratio, path)]
+        at = end
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def find(text: str | None, max_ratio: float = MAX_RATIO, path: str | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed, in code points, the end exclusive. Null has none."""
     if not text:
@@ -64,7 +127,7 @@ def find(text: str | None, max_ratio: float = MAX_RATIO, path: str | None = None
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    spans += [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if is_random(m[0], max_ratio, path)]
+    spans += [(m.start() + a, 3, m.start() + b) for m in CANDIDATE.finditer(text) for a, b in random_spans(m[0], max_ratio, path)]
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 
 

@@ -100,6 +100,34 @@ def test_random_strings(text, found):
     assert any(k == "random" for k, _, _ in secrets.find(f"see {text} now")) is found
 
 
+GLUE = ["database_connection_credential=", "service_account_private_key=", "config/production/services/authentication/", "https://api.example.com/download/documents/"]
+
+
+@pytest.mark.parametrize("glue", GLUE)
+@pytest.mark.parametrize("more", ["", "/settings_of_the_service"])
+def test_random_strings_glued_to_words(glue, more):
+    import random
+
+    rng, missed = random.Random(11), 0
+    for n in [20, 24, 40] * 30:
+        key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "+/" * (n == 40), k=n))
+        text = f"see {glue}{key}{more} now"
+        a = text.index(key)
+        missed += not any(k == "random" and s <= a and a + n <= e for k, s, e in secrets.find(text))
+        assert not any(k == "random" for k, _, _ in secrets.find(f"see {glue}{more} now"))
+    assert missed <= 9
+
+
+def test_random_letters():
+    import random
+
+    rng = random.Random(12)
+    keys = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=40)) for _ in range(100)]
+    assert sum(secrets.redact(f"see {k} now") == "see [SECRET] now" for k in keys) >= 97
+    words = ["Rechtsschutzversicherungsgesellschaften", "anticonstitutionnellement", "AbstractSingletonProxyFactoryBean", "otorrinolaringologia", "abcdefghijklmnopqrstuvwxyz", "documentation_of_internationalization/configuration_of_services/authentication/production/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709"]
+    assert not any(k == "random" for w in words for k, _, _ in secrets.find(f"see {w} now"))
+
+
 def test_redaction(odd):
     rows = secrets.redacted(odd).select("doc_id", "text").collect()
     assert next(r.text for r in rows if r.doc_id == 8) == '[SECRET]" [SECRET] [SECRET] TOKEN=short'
