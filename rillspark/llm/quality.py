@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,12 +27,18 @@ ENDS = (".", "!", "?", ":", ";", '"', "'", "…", "”", "»", ")", "]")
 
 @dataclass(frozen=True)
 class LineRules:
-    """symbol_share: of a line's characters. pipes: separators that make a line navigation. shouts: of `!!` in a line.
-    short_words: a line of fewer words must end like a sentence. keep_share: of the characters in words that must stay."""
+    """symbol_share: of a line's characters. pipes: separators that make a line navigation, and pipe_share: a word of it at
+    least. shouts: of `!!` in a line, and shout_share: a word. boilerplate_words: the most that a line with a phrase has, or
+    the phrases make up boilerplate_share of its characters. short_words: a line of fewer words must end like a sentence.
+    keep_share: of the characters in words that must stay."""
 
     symbol_share: float = 0.1
     pipes: int = 2
+    pipe_share: float = 0.1
     shouts: int = 3
+    shout_share: float = 0.1
+    boilerplate_words: int = 20
+    boilerplate_share: float = 0.25
     short_words: int = 4
     keep_share: float = 0.5
     min_words: int = 50
@@ -88,15 +94,20 @@ def repeat_words(words: Column, n_words: Column) -> Column:
 
 
 def line_fails(line: Column, rules: LineRules) -> Column:
-    """A line with words that is boilerplate, navigation, symbols or shouting, or a short one without an end. Each
-    cheap test for a byte string comes before the regular expression that only such lines need."""
+    """A line with words that is boilerplate, navigation, symbols or shouting, or a short one without an end. Marks
+    count in proportion to the line's words, so that a few don't cost a long line. Each cheap test for a byte string comes
+    before the regular expression that only such lines need."""
     held = lambda what, mark: F.length(what) - F.length(F.replace(what, F.lit(mark), F.lit("")))
 
     def fails(inner: Column) -> Column:
-        boilerplate = bound(F.lower(inner), lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE]))
-        navigation = inner.contains("|") & (held(inner, "|") >= rules.pipes)
+        n_words = F.size(F.split(inner, GAP))
+        apart = [x for x in BOILERPLATE if not any(y in x for y in BOILERPLATE if y != x)]
+        phrases = lambda low: reduce(add, [held(low, x) for x in apart])
+        some = lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE])
+        boilerplate = bound(F.lower(inner), lambda low: some(low) & ((n_words <= rules.boilerplate_words) | (phrases(low) >= rules.boilerplate_share * F.length(low))))
+        navigation = inner.contains("|") & (held(inner, "|") >= rules.pipes) & (held(inner, "|") >= rules.pipe_share * n_words)
         symbols = inner.rlike("[#*$%&|<>]") & (F.length(without(inner, r"[^#*$%&|<>]+")) > rules.symbol_share * F.length(inner))
-        shouting = inner.contains("!!") & (held(inner, "!!") >= 2 * rules.shouts)
+        shouting = inner.contains("!!") & (held(inner, "!!") >= 2 * rules.shouts) & (held(inner, "!!") >= 2 * rules.shout_share * n_words)
         unended = ~F.right(inner, F.lit(1)).isin(*ENDS) & ~inner.rlike(rf"(?:[^ ]+{GAP}){{{rules.short_words - 1}}}[^ ]")
         return (inner != "") & (navigation | shouting | unended | symbols | boilerplate)
 

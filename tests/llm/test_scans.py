@@ -63,6 +63,19 @@ def test_quality_lines(spark):
     assert [got[i].kept for i in (1, 2, 3)] == [True, True, False] and got[2].clean_text == good and got[2].n_bad_lines == 2
 
 
+MARKS = [" terms of use", " licensed under", " | a | b", " one!! two!! three!!", " all rights reserved", " |" * 5]
+
+
+def test_marks_do_not_cost_a_long_line(spark):
+    words = [f"word{i}" for i in range(300)]
+    long = [" ".join(words[:150]) + mark + " " + " ".join(words[150:]) + "." for mark in MARKS]
+    short = ["Read our terms of use.", "Home | About us | Contact", "Buy now!! Cheap!! Today!!", "Privacy policy and cookie policy and terms of use and " * 6 + "end."]
+    rows = [(i, t) for i, t in enumerate(long)] + [(100 + i, f"{' '.join(words)}.\n{t}") for i, t in enumerate(short)]
+    got = {r.doc_id: r for r in quality.with_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].kept and got[i].n_bad_lines == 0 and got[i].clean_text == t for i, t in enumerate(long))
+    assert all(got[100 + i].n_bad_lines == 1 and got[100 + i].clean_text == " ".join(words) + "." for i in range(len(short)))
+
+
 def test_quality_filter_and_clashes(odd, empty):
     assert quality.kept_only(empty).count() == 0
     assert quality.with_quality(odd).count() == len(ODD) and quality.kept_only(odd).count() == 0
