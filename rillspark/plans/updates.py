@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import tempfile
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,17 +142,39 @@ def memoized_function(spark, sf):
 
 @query()
 def custom_target(spark, sf):
-    """A connector that writes what it gets as JSON rows of one key each, by task; what a second update changes is read."""
+    """A connector that writes the changes it gets as JSON rows of one key each, by task and update; what they leave is read
+    back from there."""
     from rillspark.sinks.targets import CustomTarget
 
     path = scratch(spark, "custom")
-    current = {"rows": old_orders}
-    flow = order_flow(lambda s: current["rows"](s, sf), CustomTarget(lambda ready, changes: None))
+    changes = re.sub("^file:(//)?", "", f"{path}/changes")
+    current = {"rows": old_orders, "update": 0}
+
+    def connector() -> CustomTarget:
+        return CustomTarget(json_changes, partial(change_file, changes, current["update"]))
+
+    flow = order_flow(lambda s: current["rows"](s, sf), connector())
     indexer = Indexer(flow, spark, path)
     indexer.update()
-    current["rows"] = new_orders
+    current.update(rows=new_orders, update=1)
+    flow.collectors[0].exports[0].target.prepare = connector().prepare
     indexer.update()
-    return indexer.target(flow.collectors[0].exports[0]).read()
+    sent = spark.read.schema("update int, o_orderkey bigint, deleted boolean, cents bigint").json(changes)
+    last = sent.groupBy("o_orderkey").agg(F.max_by(F.struct("deleted", "cents"), "update").alias("last"))
+    return last.where("NOT last.deleted").select("o_orderkey", "last.cents")
+
+
+def change_file(folder: str, update: int) -> tuple[str, int]:
+    """A new file of a task, and which update it's of."""
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{update}-{uuid.uuid4().hex}.json", update
+
+
+def json_changes(ready: tuple[str, int], changes: list[tuple[dict, dict | None]]) -> None:
+    path, update = ready
+    whole = lambda d: {k: None if v is None or v != v else int(v) for k, v in d.items()}
+    with open(path, "a") as f:
+        f.writelines(json.dumps({"update": update, **whole(key), "deleted": value is None, **whole(value or {})}) + "\n" for key, value in changes)
 
 
 @query()

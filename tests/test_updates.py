@@ -7,6 +7,7 @@ from rillspark.flow import Flow
 from rillspark.operators.incremental import Indexer, action, latest, memoized
 from rillspark.sinks import graph as G
 from rillspark.sinks.keyed import KeyedTarget
+from rillspark.plans import updates
 from rillspark.sinks.targets import CustomTarget, JdbcTable, Stored, evaluate_and_dump, vector_points
 from rillspark.sources.tables import Table
 from rillspark.streaming.live import LiveUpdater
@@ -132,6 +133,14 @@ def test_custom_target_gets_changes(spark, tmp_path):
     assert take() == ["1,1=-", "2,0=-", "3,0=D"]
 
 
+def test_custom_target_query_reads_what_its_connector_wrote(spark, sf, monkeypatch):
+    rows = lambda name: sorted((r.o_orderkey, r.cents) for r in updates.QUERIES[name][0](spark, sf).collect())
+    right, write = rows("export_delete"), updates.json_changes
+    assert rows("custom_target") == right
+    monkeypatch.setattr(updates, "json_changes", lambda ready, changes: write(ready, changes[1:]))
+    assert rows("custom_target") != right
+
+
 def test_sql_statements():
     t = JdbcTable(lambda: None, "tab")
     assert t.statements(["a", "b"], ["a"])[0] == 'INSERT INTO tab ("a", "b") VALUES (%s, %s) ON CONFLICT ("a") DO UPDATE SET "b" = EXCLUDED."b"'
