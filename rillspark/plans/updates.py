@@ -179,8 +179,8 @@ def json_changes(ready: tuple[str, int], changes: list[tuple[dict, dict | None]]
 
 @query()
 def scan_local_file(spark, sf):
-    """The table's own files as binary sources: name, size and time."""
-    return Files(sf, binary=True, included_patterns=["{region,nation}.parquet"]).listing(spark)
+    """All Parquet files of the tables as binary sources: name, size and time."""
+    return Files(sf, binary=True, included_patterns=["*.parquet"]).listing(spark)
 
 
 @query()

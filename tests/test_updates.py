@@ -193,3 +193,10 @@ def test_live(spark, tmp_path):
             if any("update" in s.stats["s"] for s in live.next_status_updates()):
                 break
     assert rows_of(indexer) == [(1, 0, "B")]
+
+
+def test_scan_lists_all_files(spark, sf):
+    import pathlib
+
+    got = updates.scan_local_file(spark, sf)
+    assert got.count() == len([*pathlib.Path(sf).rglob("*.parquet")]) > 2
