@@ -18,7 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: fingerprints of op4 (3-word shingles) that differ in at most 2 bits, and
+    chains of such. That is op4's definition, not a share of common shingles; README gives its recall against one."""
     return simhash.without_copies(docs.select(*COLUMNS))
 
 
