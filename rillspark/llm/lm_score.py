@@ -1,10 +1,12 @@
 """Stupid-backoff scores of documents, computed relationally on the corpus itself.
 
-Every word of a document is a bigram with the word before it (a start mark before the first). Bigrams are exploded with
-their counts per document; tables of counts are kept by hash of the n-gram, and each distinct bigram gets its score by
-joins with the tables of histories and words: the relative frequency of the word after its history if the bigram occurs
-at least `min_count` times in the corpus, else `alpha` times the word's own relative frequency. Scores are then joined
-to the exploded bigrams and summed per document.
+Every word of a document is an n-gram with the `order` - 1 words before it (start marks before the first). N-grams are
+exploded with their counts per document; tables of counts are kept by hash of the n-gram, and each distinct n-gram gets
+its score by joins with the tables of shorter n-grams, histories and words: the relative frequency of the word after its
+history if the n-gram occurs at least `min_count` times in the corpus, else `alpha` times the score with a history that is
+one word shorter, down to the word's own relative frequency. Plain stupid backoff has a min_count of 1; the default of 2
+departs from it, as the query's SQL does, so that what only the scored document holds doesn't count as seen. Scores are
+then joined to the exploded n-grams and summed per document.
 """
 
 from __future__ import annotations
@@ -22,53 +24,66 @@ from rillspark.llm.decontaminate import BASE, mixed, words_of
 START = np.uint64(0x2545F4914F6CDD1D)
 
 
-def bigrams(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, gram, history, word (hashes), n: how often the document has it. A document without words has
-    one row of nulls with n = 0."""
+def ngrams(docs: DataFrame, order: int = 2) -> DataFrame:
+    """doc_id, text_key, gram_k and history_k for k of 2 to order and word (hashes), n: how often the document has it, and
+    begins: true in one row of each document. A document without words has one row of nulls with n = 0."""
     workers_find_us(docs.sparkSession)
-    names = ["doc_id", "text_key", "gram", "history", "word", "n"]
+    hashes = [*(f"{x}_{k}" for k in range(2, order + 1) for x in ("gram", "history")), "word"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words_of(part["text"])
-                before = np.concatenate([[START], w.hash[:-1]]).astype(np.uint64) if len(w.hash) else w.hash
-                sizes = np.diff(w.first)
-                before[w.first[:-1][sizes > 0]] = START
-                gram = mixed(before * BASE + w.hash)
-                order = np.lexsort((gram, w.text_of))
-                t, g = w.text_of[order], gram[order]
+                sizes, place = np.diff(w.first), np.arange(len(w.hash)) - np.asarray(w.first)[w.text_of]
+                cells, gram = [], w.hash
+                for k in range(2, order + 1):
+                    before = np.where(place < k - 1, START, np.roll(w.hash, k - 1)).astype(np.uint64)
+                    history = before if k == 2 else mixed(before * BASE + history)
+                    gram = mixed(history * BASE + w.hash)
+                    cells += [gram, history]
+                at = np.lexsort((gram, w.text_of))
+                t, g = w.text_of[at], gram[at]
                 new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                n = np.diff(np.concatenate([at, [len(g)]]))
-                at = order[at]
+                heads = np.flatnonzero(new)
+                n = np.diff(np.concatenate([heads, [len(g)]]))
+                at = at[heads]
                 empty = np.flatnonzero(sizes == 0)
-                rows = pa.array(np.concatenate([w.text_of[at], empty]))
+                texts = np.concatenate([w.text_of[at], empty])
+                rows = pa.array(texts)
                 null = np.arange(len(rows)) >= len(at)
-                cells = [pa.array(np.concatenate([v[at].view(np.int64), np.zeros(len(empty), np.int64)]), mask=null) for v in (gram, before, w.hash)]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(rows), part["text_key"].take(rows), *cells, pa.array(np.concatenate([n, np.zeros(len(empty), np.int64)]).astype(np.int64))], names=names)
+                cells = [pa.array(np.concatenate([v[at].view(np.int64), np.zeros(len(empty), np.int64)]), mask=null) for v in (*cells, w.hash)]
+                begins = pa.array(np.diff(texts, prepend=-1) != 0)
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(rows), part["text_key"].take(rows), *cells, pa.array(np.concatenate([n, np.zeros(len(empty), np.int64)]).astype(np.int64)), begins], names=["doc_id", "text_key", *hashes, "n", "begins"])
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return keyed.mapInArrow(scan, "doc_id bigint, text_key bigint, gram bigint, history bigint, word bigint, n bigint")
-
-
-def with_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
-    """doc_id, n_words, n_backoff, score (sum of natural logs; 0 without words), mean_score (null without words).
-
-    Null and empty texts have no words. Rows with the same doc_id and text count in the corpus once each and are
-    answered by one row. N-grams are told apart by 64-bit hashes; none is left out of the tables."""
-    rows = bigrams(docs)
-    grams = written(rows.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("c"), F.first("history").alias("history"), F.first("word").alias("word")), "grams")
-    histories = grams.groupBy("history").agg(F.sum("c").alias("c_history"))
-    words = grams.groupBy("word").agg(F.sum("c").alias("c_word"))
-    total = grams.agg(F.sum("c")).first()[0] or 1
-    seen = F.col("c") >= min_count
-    scored = grams.join(histories, "history").join(words, "word").select(
-        "gram", (~seen).cast("int").alias("backoff"), F.when(seen, F.log(F.col("c") / F.col("c_history"))).otherwise(F.log(F.lit(alpha) * F.col("c_word") / F.lit(total))).alias("s"))
-    n = F.col("n")
-    return rows.join(scored, "gram", "left").groupBy("doc_id", "text_key").agg(
-        F.sum(n).alias("n_words"), F.sum(n * F.coalesce("backoff", F.lit(0))).alias("n_backoff"), F.sum(n * F.coalesce("s", F.lit(0.0))).alias("score"),
-    ).select("doc_id", "n_words", "n_backoff", F.round("score", 6).alias("score"), F.round(F.col("score") / F.nullif("n_words", F.lit(0)), 6).alias("mean_score"))
+    return keyed.mapInArrow(scan, ", ".join(f"{c} bigint" for c in ["doc_id", "text_key", *hashes, "n"]) + ", begins boolean")
+
+
+def with_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, order: int = 2) -> DataFrame:
+    """doc_id, n_words, n_backoff (words scored by less than the whole history), score (sum of natural logs; 0 without
+    words), mean_score (null without words).
+
+    Null and empty texts have no words. Rows with the same doc_id and text count in the corpus once each and are answered
+    each by a row of its own. N-grams are told apart by 64-bit hashes; none is left out of the tables."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    rows, top = ngrams(docs, order), f"gram_{order}"
+    others = [c for c in rows.columns if c.startswith(("gram_", "history_", "word")) and c != top]
+    grams = written(rows.where(f"{top} IS NOT NULL").groupBy(top).agg(F.sum("n").alias(f"c_{top}"), *(F.first(c).alias(c) for c in others)), "grams")
+    counted = grams
+    for c in others:
+        counted = counted.join(grams.groupBy(c).agg(F.sum(f"c_{top}").alias(f"c_{c}")), c)
+    total = grams.agg(F.sum(f"c_{top}")).first()[0] or 1
+    s = F.col("c_word") / F.lit(total)
+    for k in range(2, order + 1):
+        s = F.when(F.col(f"c_gram_{k}") >= min_count, F.col(f"c_gram_{k}") / F.col(f"c_history_{k}")).otherwise(F.lit(alpha) * s)
+    scored = counted.select(top, (F.col(f"c_{top}") < min_count).cast("int").alias("backoff"), F.log(s).alias("s"))
+    n, copies = F.col("n"), F.col("copies")
+    sums = rows.join(scored, top, "left").groupBy("doc_id", "text_key").agg(
+        F.sum(n).alias("n_words"), F.sum(n * F.coalesce("backoff", F.lit(0))).alias("n_backoff"), F.sum(n * F.coalesce("s", F.lit(0.0))).alias("score"), F.count_if("begins").alias("copies"),
+    )
+    each = sums.select("doc_id", (F.col("n_words") / copies).cast("long").alias("n_words"), (F.col("n_backoff") / copies).cast("long").alias("n_backoff"), (F.col("score") / copies).alias("score"), F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return each.select("doc_id", "n_words", "n_backoff", F.round("score", 6).alias("score"), F.round(F.col("score") / F.nullif("n_words", F.lit(0)), 6).alias("mean_score"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

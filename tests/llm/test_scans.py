@@ -262,3 +262,29 @@ def test_lm_scores(spark):
     assert lm_score.with_scores(docs.where("false")).count() == 0
 
 
+def plain_scores(texts, order, alpha=0.4, least=2):
+    import math
+
+    rows = [["^"] * (order - 1) + re.findall("[a-z]+", t or "") for t in texts]
+    places = [(r, i) for r in rows for i in range(order - 1, len(r))]
+    c, h = collections.Counter(), collections.Counter()
+    for r, i in places:
+        c.update(tuple(r[i - k : i + 1]) for k in range(order))
+        h.update((k, *r[i - k : i]) for k in range(1, order))
+
+    def p(r, i, k):
+        if not k:
+            return c[(r[i],)] / len(places)
+        g = tuple(r[i - k : i + 1])
+        return c[g] / h[(k, *g[:-1])] if c[g] >= least else alpha * p(r, i, k - 1)
+
+    return [(len(r) - order + 1, sum(c[tuple(r[i - order + 1 : i + 1])] < least for i in range(order - 1, len(r))), sum(math.log(p(r, i, order - 1)) for i in range(order - 1, len(r)))) for r in rows]
+
+
+@pytest.mark.parametrize(("order", "least"), [(2, 2), (2, 1), (3, 2), (4, 2)])
+def test_lm_orders_and_repeated_rows(spark, order, least):
+    texts = ["a b c a b c d", "a b c d", "a b c d", "c d a b", None, "", "", "b"]
+    ids = [1, 2, 2, 3, 4, 5, 5, None]
+    got = lm_score.with_scores(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3), min_count=least, order=order).collect()
+    expected = [(i, n, b, round(s, 5)) for i, (n, b, s) in zip(ids, plain_scores(texts, order, least=least))]
+    assert sorted(((r.doc_id, r.n_words, r.n_backoff, round(r.score, 5)) for r in got), key=repr) == sorted(expected, key=repr)
