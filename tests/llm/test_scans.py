@@ -288,3 +288,24 @@ def test_lm_orders_and_repeated_rows(spark, order, least):
     got = lm_score.with_scores(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3), min_count=least, order=order).collect()
     expected = [(i, n, b, round(s, 5)) for i, (n, b, s) in zip(ids, plain_scores(texts, order, least=least))]
     assert sorted(((r.doc_id, r.n_words, r.n_backoff, round(r.score, 5)) for r in got), key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize(("least_hot", "of_bucket"), [(1, 3), (2, 3), (3, 1), (5, 7)])
+def test_lm_hot_grams_and_many_buckets(spark, order, least_hot, of_bucket):
+    texts = ["the cat the cat the cat sat", "the cat", "the dog", None, "the cat the dog sat", "dog", "a the the the cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    got = lm_score.with_scores(docs, order=order, share=0.0, least_hot=least_hot, words_of_bucket=of_bucket).collect()
+    expected = [(i, n, b, round(s, 5)) for i, (n, b, s) in enumerate(plain_scores(texts, order))]
+    assert sorted((r.doc_id, r.n_words, r.n_backoff, round(r.score, 5)) for r in got) == expected
+
+
+def test_lm_blocks_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    arrays = [rng.integers(0, 2**64, 1000, np.uint64), np.zeros(0, np.uint64), np.array([0, 255, 256], np.uint64), rng.normal(size=50)]
+    for a, b in zip(arrays, lm_score.unpack(lm_score.pack(*arrays)), strict=True):
+        assert a.dtype == b.dtype and np.array_equal(a, b)
+    x = np.sort(arrays[0])
+    assert np.array_equal(np.cumsum(lm_score.steps(x)), x)
