@@ -45,6 +45,20 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+#: Powers of a place are products of one for its row of 2^ROW places and one for its place in the row.
+ROW = 12
+
+
+def steps_of(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base for the first places of rows up to place n, and for the places of a row."""
+    last = np.full(1 << ROW, base, np.uint64)
+    last[0] = 1
+    last = np.multiply.accumulate(last)
+    high = np.full((n >> ROW) + 1, last[-1] * base, np.uint64)
+    high[0] = 1
+    return np.multiply.accumulate(high), last
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * MIX
     return h ^ (h >> np.uint64(29))
@@ -64,10 +78,17 @@ class Words:
         self.start = np.flatnonzero(inside & (~before | begins))
         self.end = np.flatnonzero(before & (~inside | begins))
         self.first = np.searchsorted(self.start, offsets)
-        power, inverse = powers(1 << max(23, n.bit_length()))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        self.hash = mixed((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        total = np.zeros((n >> ROW) + 1 << ROW, np.uint64)
+        total[1 : n + 1] = low[: len(total) - 1]
+        total[1 : n + 1] += np.uint64(1)
+        high, last = steps_of(BASE, n)
+        rows = total.reshape(-1, 1 << ROW)
+        rows *= high[:, None]
+        rows *= last
+        np.cumsum(total, out=total)
+        high, last = steps_of(INVERSE, n)
+        inverse = high[self.start >> ROW] * last[self.start & ((1 << ROW) - 1)]
+        self.hash = mixed((total[self.end] - total[self.start]) * inverse + (self.end - self.start).astype(np.uint64))
         self.text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def grams(self, k: int) -> np.ndarray:

@@ -11,7 +11,7 @@ N-grams travel as blocks: the words of a block as a sorted list, and per n-gram
 how often it has the n-gram, as byte planes, compressed. That is 5 to 6 bytes for each, and each is sent once per table it
 is looked up in; only sums per document and bucket come back.
 
-Hot keys: counts above `share` of all words are found first (there are at most 1 / share of a kind) and sent to all tasks.
+Hot keys: counts that would unbalance buckets are found first (there are at most 1 / share of a kind) and sent to all tasks.
 N-grams that are hot themselves are scored where they are read; those of a hot history are dealt by the whole n-gram.
 """
 
@@ -32,7 +32,7 @@ from rillspark.llm.decontaminate import BASE, Words, mixed, words_of
 
 START = np.uint64(0x2545F4914F6CDD1D)
 #: Bytes of text whose n-grams are sent together.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Words a bucket has on average, which a task holds at once (about 60 bytes each). At 100 TB 16 times as many, with
 #: executors to match, keep blocks large.
 BUCKET = 4 << 20
@@ -328,7 +328,7 @@ class Bucket:
         self.plan, self.level = plan, level
         self.words: list[list[np.ndarray]] = [[] for _ in range(level)]
         self.codes: list[list[np.ndarray]] = [[] for _ in range(level)]
-        self.n, self.idx, self.chunk = [], [], []
+        self.n, self.idx, self.chunk = [], [], []  # chunk: numbers, and places in them (none: the first of them for all)
 
     def add(self, kind: int, chunk: int, data: bytes) -> None:
         arrays, k = unpack(data), 2 * self.level
@@ -339,67 +339,86 @@ class Bucket:
             self.n.append(arrays[k].astype(np.int64))
             return
         self.idx.append(arrays[k].astype(np.uint32))
-        self.n.append(arrays[k + 1].astype(np.int64))
-        self.chunk.append(np.cumsum(arrays[k + 2])[arrays[k + 3].astype(np.int64)] if len(arrays) > k + 2 else np.full(len(arrays[k]), chunk, np.uint64))
+        self.n.append(arrays[k + 1].astype(np.uint32))
+        self.chunk.append((np.cumsum(arrays[k + 2]), arrays[k + 3].astype(np.uint32)) if len(arrays) > k + 2 else (np.array([chunk], np.uint64), np.zeros(len(arrays[k]), np.uint32)))
+
+    def taken(self) -> tuple:
+        """Sorted words and codes of each column, sorted numbers of chunks and codes; what was added is let go."""
+        known, codes = [], []
+        for c in range(self.level):
+            words, self.words[c] = self.words[c], None
+            known.append(np.unique(np.concatenate(words)))
+            parts, self.codes[c] = self.codes[c], None
+            codes.append(np.concatenate([np.searchsorted(known[-1], w).astype(np.uint32)[x] for w, x in zip(words, parts)]))
+        numbers = np.unique(np.concatenate([x for x, _ in self.chunk]))
+        chunk = np.concatenate([np.searchsorted(numbers, x).astype(np.uint32)[c] for x, c in self.chunk])
+        n, idx = np.concatenate(self.n), np.concatenate(self.idx)
+        self.n = self.idx = self.chunk = None
+        return known, codes, numbers, chunk, n, idx
 
     def scored(self) -> Iterator[tuple]:
-        """COUNT rows come before ASK rows, whose n-grams are those they count; without any the ASK rows count."""
+        """COUNT rows come before ASK rows, whose n-grams are those they count; without any the ASK rows count. Rows are
+        ordered by n-gram, so that those of a history are neighbours."""
         p, j = self.plan, self.level
         if not self.idx:
             return
-        known = [np.unique(np.concatenate(w)) for w in self.words]
-        codes = [np.concatenate([np.searchsorted(k, w).astype(np.uint32)[c] for w, c in zip(ws, cs)]) for k, ws, cs in zip(known, self.words, self.codes)]
-        n, idx, chunk = np.concatenate(self.n), np.concatenate(self.idx), np.concatenate(self.chunk)
-        self.words = self.codes = self.n = self.idx = self.chunk = None
-        counts = n.copy()
+        known, codes, numbers, chunk, n, idx = self.taken()
         asked = len(n) - len(idx)
+        key = joint(codes, list(map(len, known)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        del key
+        counts = n[order].astype(np.int64)
         if j < p.order:
-            counts[asked:] = 0
-        _, first, gram = np.unique(joint(codes, list(map(len, known))), return_index=True, return_inverse=True)
-        c = np.bincount(gram, counts)
+            counts[order >= asked] = 0
+        c = np.add.reduceat(counts, heads)
+        del counts
+        first = order[heads]
         if j == 1:
-            of = np.full(len(c), float(p.total))
+            of = np.full(len(c), p.total)
         else:
             own = [x[first] for x in codes[:-1]]
-            _, place, history = np.unique(joint(own, list(map(len, known))), return_index=True, return_inverse=True)
-            of = np.bincount(history, c)
-            hot = p.histories[j].find(folded([k[x[place]] for k, x in zip(known, own)]))
-            of = np.where(hot > 0, hot, of)[history]
-        gram, n, codes = gram[asked:], n[asked:], [x[asked:] for x in codes]
+            new = np.logical_or.reduce([np.diff(x.astype(np.int64), prepend=-1) != 0 for x in own])
+            at = np.flatnonzero(new)
+            hot = p.histories[j].find(folded([k[x[at]] for k, x in zip(known, own)]))
+            of = np.where(hot > 0, hot, np.add.reduceat(c, at))[np.cumsum(new) - 1]
         seen = (c >= p.min_count) if j > 1 else np.ones(len(c), bool)
         with np.errstate(divide="ignore"):
             s = np.log(c / of) + (p.order - j) * np.log(p.alpha)
-        mine = np.flatnonzero(seen[gram])
-        yield from self.sums(chunk[mine], idx[mine], n[mine], s[gram[mine]])
-        rest = np.flatnonzero(~seen[gram])
+        gram = np.repeat(np.arange(len(heads), dtype=np.uint32), np.diff(heads, append=len(order)))
+        ask = order >= asked
+        mine = np.flatnonzero(ask & seen[gram])
+        at = order[mine] - asked
+        yield from self.sums(numbers, chunk[at], idx[at], n[asked + at], s[gram[mine]])
+        rest = order[ask & ~seen[gram]] - asked
+        del order, gram, ask, mine, at
         if not len(rest):
             return
-        codes, n, idx, chunk = [x[rest] for x in codes[1:]], n[rest], idx[rest], chunk[rest]
+        codes, n, idx, chunk = [x[asked + rest] for x in codes[1:]], n[asked + rest], idx[rest], chunk[rest]
         columns = [k[x] for k, x in zip(known[1:], codes)]
         s = p.known(columns)
         hot = ~np.isnan(s)
-        yield from self.sums(chunk[hot], idx[hot], n[hot], s[hot], True)
+        yield from self.sums(numbers, chunk[hot], idx[hot], n[hot], s[hot], True)
         cold = np.flatnonzero(~hot)
         bucket = p.bucket([x[cold] for x in columns])
-        numbers, which = np.unique(chunk[cold], return_inverse=True)
-        order, runs = cut(bucket)
-        order = order[np.lexsort((which[order], codes[-1][cold[order]], bucket[order]))]
-        for b, start, end in runs:
-            at, out = order[start:end], []
+        del columns
+        order = np.lexsort((chunk[cold], codes[-1][cold], bucket))
+        for b, start, end in cut(bucket[order])[1]:
+            at, out = cold[order[start:end]], []
             for k, x in zip(known[1:], codes):
-                some, code = np.unique(x[cold[at]], return_inverse=True)
+                some, code = np.unique(x[at], return_inverse=True)
                 out += [steps(k[some]), code]
-            some, code = np.unique(which[at], return_inverse=True)
-            yield ASK, b, 0, pack(*out, idx[cold[at]], n[cold[at]], steps(numbers[some]), code)
+            some, code = np.unique(chunk[at], return_inverse=True)
+            yield ASK, b, 0, pack(*out, idx[at], n[at], steps(numbers[some]), code)
 
-    def sums(self, chunk: np.ndarray, idx: np.ndarray, n: np.ndarray, s: np.ndarray, unseen: bool | None = None) -> Iterator[tuple]:
+    def sums(self, numbers: np.ndarray, chunk: np.ndarray, idx: np.ndarray, n: np.ndarray, s: np.ndarray, unseen: bool | None = None) -> Iterator[tuple]:
         unseen = self.level < self.plan.order if unseen is None else unseen
         buckets = self.plan.buckets[max(1, self.level - 1)]
-        numbers, which = np.unique(chunk, return_inverse=True)
-        order, runs = cut(which)
+        order, runs = cut(chunk)
         for k, start, end in runs:
             at = order[start:end]
-            yield from summed(int(numbers[k]), idx[at], n[at], n[at] * int(unseen), n[at] * s[at], buckets)
+            yield from summed(int(numbers[k]), idx[at], n[at], n[at] * np.uint32(unseen), n[at] * s[at], buckets)
 
 
 def added(data: Iterable[bytes]) -> tuple[np.ndarray, ...]:
