@@ -38,8 +38,9 @@ CHUNK = 4 << 20
 BUCKET = 4 << 20
 #: Slots of the table of words for each shuffle partition: buckets of words are unions of slots.
 SLOTS = 64
-#: A count is hot above this share of all words, and never below LEAST_HOT.
-SHARE, LEAST_HOT = 2.0**-16, 1 << 16
+#: A count is hot above a quarter of a bucket, or above FEW of all words where that is less; never below SHARE of all words,
+#: so that there are at most 1 / SHARE hot ones of a kind, nor below LEAST_HOT.
+SHARE, FEW, LEAST_HOT = 2.0**-16, 2.0**-10, 1 << 12
 DOCS, SUMS, COUNT, ASK = range(4)
 ROWS = "kind int, bucket int, chunk bigint, data binary"
 ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("data", pa.binary())])
@@ -485,7 +486,7 @@ def with_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, order:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     words, slots = word_table(docs, least_hot)
     total = words.agg(F.sum("tokens")).first()[0] or 0
-    above = max(total * share, least_hot)
+    above = max(total * share, min(total * FEW, words_of_bucket / 4), least_hot)
     hot = words.select(F.explode("hot").alias("x")).select("x.*").where(F.col("n") > above).collect()  # at most 2 / share
     cores = spark.sparkContext.defaultParallelism
     buckets = max(1, -(-total // words_of_bucket), min(cores, total >> 18))
