@@ -34,7 +34,7 @@ KNOWN = re.compile(
     r"|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+)"
 )
 #: Words joined by marks, each of letters or of digits alone: names, paths and dates rather than keys.
-NAMES = re.compile(r"[+/_=-]*(?:(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]+)(?:[+/_=-]+|$))+")
+NAMES = re.compile(r"[+/_=-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)(?:[+/_=-]++|$))++")
 MAX_RATIO = 2.0
 #: Pieces of letters alone: from LETTERS on, and of fewer characters per token, as long words of many languages take many.
 LETTERS, LETTERS_SHARE = 20, 0.875
@@ -68,33 +68,44 @@ def random_letters(piece: str, max_ratio: float, path: str | None = None) -> boo
     return len(piece) >= LETTERS and piece.isalpha() and ratio(piece, path) < LETTERS_SHARE * max_ratio
 
 
+def best_ranges(values: list[float]) -> list[tuple[int, int]]:
+    """The range of the largest sum, and those of the largest sums left and right of it, and so on, as far as they are
+    above zero, in one pass: each range waits on a stack, with the sums before and after it, and is joined to an earlier
+    one if that begins at a lower sum and ends at a lower one."""
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, the last one with a lower sum before
+    total = 0.0
+    for i, v in enumerate(values):
+        low, total = total, total + v
+        if v <= 0:
+            continue
+        start, end, high = i, i + 1, total
+        while True:
+            j = len(stack) - 1
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= high:
+                stack.append((start, end, low, high, j))
+                break
+            start, low = stack[j][0], stack[j][2]
+            del stack[j:]
+    return [(a, b) for a, b, *_ in stack]
+
+
 def windows(run: str, max_ratio: float, path: str | None = None) -> Iterator[tuple[int, int]]:
     """Windows of tokens with the most tokens over what `max_ratio` allows their characters, widened to whole pieces; left
     and right of each the rest is searched too. At least one piece in them must look like a part of a key."""
     e = encoding(path)
     ends = list(accumulate(map(len, e.decode_tokens_bytes(e.encode_ordinary(run))), initial=0))
-    todo = [(0, len(ends) - 1)]
-    while todo:
-        first, last = todo.pop()
-        best, start, low = (0.0, first, first), first, 0.0
-        total = 0.0
-        for i in range(first, last):
-            total += max_ratio - (ends[i + 1] - ends[i])
-            if total - low > best[0]:
-                best = (total - low, start, i + 1)
-            if total <= low:
-                low, start = total, i + 1
-        _, i, j = best
+    done = 0
+    for i, j in best_ranges([max_ratio - (b - a) for a, b in zip(ends, ends[1:])]):
         a, b = ends[i], ends[j]
-        if i == j:
-            continue
-        if b - a >= 16 and is_random(run[a:b], max_ratio, path) and any(not NAMES.fullmatch(m[0]) and not KNOWN.fullmatch(m[0]) for m in CORE.finditer(run[a:b])):
+        if b > done and b - a >= 16 and is_random(run[a:b], max_ratio, path) and any(not NAMES.fullmatch(m[0]) and not KNOWN.fullmatch(m[0]) for m in CORE.finditer(run[a:b])):
             while a and run[a - 1].isalnum() and run[a].isalnum():
                 a -= 1
             while b < len(run) and run[b].isalnum() and run[b - 1].isalnum():
                 b += 1
+            done = b
             yield a, b
-        todo += [(first, i), (j, last)]
 
 
 def random_spans(run: str, max_ratio: float, path: str | None = None) -> list[tuple[int, int]]:

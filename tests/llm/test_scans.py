@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -192,6 +193,32 @@ def test_agreed_classes_and_whole_tokens(library):
     assert " the" in whole and all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in sorted(whole)[::50])
 
 
+LONG = ["https://host/" + "ab/" * 10_000 + "/a1b", "qx/longwordlongword/" * 50_000, "a1" * 500_000, "Z" * 1_000_000, "sha1-" * 200_000, "password" + " " * 1_000_000, "0" * 1_000_000, "ab1/" * 250_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=lambda t: t[:12])
+def test_secrets_take_linear_time(text):
+    secrets.find("warm 0123456789abcdefgh")
+    began = time.time()
+    secrets.find(text)
+    assert time.time() - began < 3
+
+
+@given(st.lists(st.sampled_from([-3.0, -2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5]), max_size=30))
+def test_best_ranges_are_those_of_repeated_search(values):
+    found, todo = [], [(0, len(values))]
+    while todo:
+        first, last = todo.pop()
+        sums = [(sum(values[i:j]), -j, i) for i in range(first, last) for j in range(i + 1, last + 1)]
+        best = max((s for s, _, _ in sums), default=0)
+        if best > 0:
+            end = min(-j for s, j, _ in sums if s == best)
+            start = max(i for s, j, i in sums if s == best and -j == end)
+            found.append((start, end))
+            todo += [(first, start), (end, last)]
+    assert sorted(secrets.best_ranges(values)) == sorted(found)
+
+
 # urls
 
 
