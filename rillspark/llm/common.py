@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from rillspark.session import workers_find_us
 
-__all__ = ["raw_bytes", "shared_dir", "slices", "table", "text_or_empty", "workers_find_us", "written"]
+__all__ = ["col", "fresh", "raw_bytes", "shared_dir", "slices", "table", "temporary", "text_or_empty", "workers_find_us", "written"]
+
+#: Tables written inside `temporary`, a list for each that is open.
+OPEN: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, a local one if all runs in one process (as in
+    tests); on a cluster that is an error, as executors wouldn't see it."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="rillspark-")
@@ -33,13 +40,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder as Parquet and read again: lineage ends there, whatever executors are lost."""
+    """df written to the shared folder as Parquet and read again: lineage ends there, whatever executors are lost. The table
+    is deleted at the end of the `temporary` block it was written in, if any, else left to whoever runs the job."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if OPEN:
+        OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at its end; what they return must be used up or written before."""
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def col(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names that none of `taken` clashes with, in any case of letters."""
+    taken, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

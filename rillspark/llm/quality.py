@@ -13,8 +13,10 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillspark.llm.common import col, fresh
+
 SPACES = " \t\n\x0b\f\r"
-GAP = r"[ \t\n\x0B\f\r]+"
+GAP, WORD = r"[ \t\n\x0B\f\r]+", r"[^ \t\n\x0B\f\r]+"  # with a further + they give nothing back
 #: Phrases of lines that stand around a text and aren't part of it.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "is licensed under", "released under the", "terms of use", "privacy policy",
@@ -108,32 +110,37 @@ def line_fails(line: Column, rules: LineRules) -> Column:
         navigation = inner.contains("|") & (held(inner, "|") >= rules.pipes) & (held(inner, "|") >= rules.pipe_share * n_words)
         symbols = inner.rlike("[#*$%&|<>]") & (F.length(without(inner, r"[^#*$%&|<>]+")) > rules.symbol_share * F.length(inner))
         shouting = inner.contains("!!") & (held(inner, "!!") >= 2 * rules.shouts) & (held(inner, "!!") >= 2 * rules.shout_share * n_words)
-        unended = ~F.right(inner, F.lit(1)).isin(*ENDS) & ~inner.rlike(rf"(?:[^ ]+{GAP}){{{rules.short_words - 1}}}[^ ]")
+        unended = ~F.right(inner, F.lit(1)).isin(*ENDS) & ~inner.rlike(rf"^(?:{WORD}+{GAP}+){{{rules.short_words - 1}}}{WORD}")
         return (inner != "") & (navigation | shouting | unended | symbols | boilerplate)
 
     return bound(F.trim(line, F.lit(SPACES)), fails)
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "kept_chars", "base_failed", "kept", "clean_text")
+
+
 def with_quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, kept_chars, base_failed, kept and
     clean_text (the text without failing lines), beside its own columns; the added ones replace columns of those names.
 
     Null and empty texts have no words and fail; clean_text is null for null. Repeated rows are judged alike, each for
     itself. A text without words loses nothing but fails the base rule. An empty table gives an empty table."""
-    t = F.col(text)
-    own = [c for c in docs.columns if c.lower() not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_lines", "kept_chars", "base_failed", "kept", "clean_text"}]
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    t_, words, kept, worded_, n_lines = fresh([*docs.columns, *ADDED], "text", "words", "good", "worded", "n_lines")
+    t = F.col(t_)
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     chars = lambda c: long(F.length(reduce(lambda x, mark: F.replace(x, F.lit(mark), F.lit("")), SPACES, c)))
-    lines = F.split(t, "\n")
+    given = col(text)
+    lines = F.split(given, "\n")
     worded = F.filter(lines, lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
     good = F.filter(lines, lambda x: ~line_fails(x, rules))
-    step = docs.select(*[F.col(f"`{c}`") for c in own], words_of(t).alias("__words"), good.alias("__good"), worded.alias("__worded"), F.size(lines).alias("__n_lines"))
-    n = F.size("__words")
-    clean = F.array_join("__good", "\n")
+    step = docs.select(*map(col, own), given.alias(t_), words_of(given).alias(words), good.alias(kept), worded.alias(worded_), F.size(lines).alias(n_lines))
+    n = F.size(words)
+    clean = F.array_join(kept, "\n")
     step = step.select(
-        *[F.col(f"`{c}`") for c in own], long(n).alias("n_words"), long(F.length(F.array_join("__words", ""))).alias("word_chars"), long(F.length(without(t, r"[^#*$%&|<>]+"))).alias("n_symbols"),
-        long(F.when(t.isNotNull(), F.size("__worded") - F.size(F.array_distinct("__worded")))).alias("n_dup_lines"), long(repeat_words(F.col("__words"), n)).alias("n_repeat_words"),
-        long(F.when(t.isNotNull(), F.col("__n_lines") - F.size("__good"))).alias("n_bad_lines"), chars(clean).alias("kept_chars"), F.when(t.isNotNull(), clean).alias("clean_text"),
+        *map(col, own), long(n).alias("n_words"), long(F.length(F.array_join(words, ""))).alias("word_chars"), long(F.length(without(t, r"[^#*$%&|<>]+"))).alias("n_symbols"),
+        long(F.when(t.isNotNull(), F.size(worded_) - F.size(F.array_distinct(worded_)))).alias("n_dup_lines"), long(repeat_words(F.col(words), n)).alias("n_repeat_words"),
+        long(F.when(t.isNotNull(), F.col(n_lines) - F.size(kept))).alias("n_bad_lines"), chars(clean).alias("kept_chars"), F.when(t.isNotNull(), clean).alias("clean_text"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return step.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("kept_chars") >= rules.keep_share * F.col("word_chars")))
@@ -142,7 +149,9 @@ def with_quality(docs: DataFrame, rules: LineRules = LineRules(), text: str = "t
 def kept_only(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
     """with_quality's rows that are kept. The verdict is filtered beside a row number, which keeps Catalyst from moving
     the filter, and with it all that the verdict is made of, below the projections that compute it once."""
-    return with_quality(docs, rules, text).withColumn("__row", F.monotonically_increasing_id()).where("kept AND __row >= 0").drop("__row")
+    judged = with_quality(docs, rules, text)
+    (row,) = fresh(judged.columns, "row")
+    return judged.withColumn(row, F.monotonically_increasing_id()).where(F.col("kept") & (F.col(row) >= 0)).drop(row)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,63 @@ def test_quality_filter_and_clashes(odd, empty):
     assert quality.with_quality(odd).count() == len(ODD) and quality.kept_only(odd).count() == 0
 
 
+def plain_line_fails(line, rules=quality.LineRules()):
+    inner = line.strip(quality.SPACES)
+    words, low = re.findall(r"[^\x20\x09-\x0D]+", inner), inner.lower()
+    if not words:
+        return False
+    apart = [x for x in quality.BOILERPLATE if not any(y in x for y in quality.BOILERPLATE if y != x)]
+    phrases = sum(len(x) * low.count(x) for x in apart)
+    boilerplate = any(x in low for x in quality.BOILERPLATE) and (len(words) <= rules.boilerplate_words or phrases >= rules.boilerplate_share * len(low))
+    navigation = inner.count("|") >= max(rules.pipes, rules.pipe_share * len(words))
+    shouting = inner.count("!!") >= max(rules.shouts, rules.shout_share * len(words))
+    symbols = len(re.findall(r"[#*$%&|<>]", inner)) > rules.symbol_share * len(inner)
+    unended = len(words) < rules.short_words and not inner.endswith(quality.ENDS)
+    return boilerplate or navigation or shouting or symbols or unended
+
+
+def plain_verdict_of(text):
+    lines = (text or "").split("\n")
+    good = [x for x in lines if not plain_line_fails(x)]
+    chars = lambda t: len(re.sub(r"[\x20\x09-\x0D]", "", t))
+    *_, failed = plain_quality(text)
+    kept = "\n".join(good)
+    return not failed and chars(kept) >= 0.5 * chars(text or ""), None if text is None else kept, len(lines) - len(good) if text is not None else 0
+
+
+PARTS = ["Home", "about", "|", " ", "  ", "\t", "\n", "terms of use", "!!", "!", "word", "other words here", ".", "$$", "#", "All rights reserved", "\x0b", "\r", "é", "…"]
+
+
+def test_line_rules_match_plain_ones(spark, sf):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(PARTS, k=rng.randrange(1, 60))) for _ in range(800)] + ["a\t\t\t\t\t\tb", "a b c", "a b c d", "a\x0bb\tc  d"]
+    long = " ".join(f"w{i}" for i in range(60))
+    texts += [f"{long}\n{t}" for t in texts[:300]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    got = [(r.doc_id, (r.kept, r.clean_text, r.n_bad_lines)) for r in quality.with_quality(docs).collect()]
+    assert sorted(got, key=repr) == sorted(((r.doc_id, plain_verdict_of(r.text)) for r in docs.collect()), key=repr)
+
+
+def test_quality_names_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "x " * 60, "kept me", 5, "y")], "doc_id long, clean_text string, __words string, `a``b` int, row string")
+    r = quality.with_quality(docs, text="clean_text").first()
+    assert r.n_words == 60 and r["__words"] == "kept me" and r["a`b"] == 5 and r["row"] == "y"
+    long = " ".join(f"word{i}" for i in range(60)) + "."
+    kept = quality.kept_only(spark.createDataFrame([(1, long, 7, "g")], "doc_id long, text string, __row int, good string"))
+    assert kept.select("__row", "good").collect() == [(7, "g")]
+
+
+@pytest.mark.parametrize("text", ["z" * 1_000_000, "a " * 500_000, "\t" * 1_000_000, "z" * 500_000 + "\t" * 500_000 + "z", "|" * 1_000_000, "a\n" * 500_000], ids=["word", "words", "tabs", "gap", "pipes", "lines"])
+def test_quality_takes_linear_time(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    quality.with_quality(docs.limit(0)).collect()
+    began = time.time()
+    quality.with_quality(docs).select("kept", "n_bad_lines").collect()
+    assert time.time() - began < 8
+
+
 def test_quality_is_native(odd):
     plan = quality.with_quality(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
