@@ -28,7 +28,8 @@ SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int, n_toxic
 
 @dataclass(frozen=True)
 class Model:
-    """Log-odds of words and the bias of a sentence; prior: the score of a text without words."""
+    """Log-odds of features and the bias of a sentence; prior: the score of every text where nothing could be learned, that
+    is without weights."""
 
     weights: dict[str, float]
     bias: float
@@ -71,9 +72,10 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], min_docs: int = 8, l1: float = 7e-4, l2: float = 2e-4, rounds: int = 160, rate: float = 0.15) -> Model:
-    """Weights by gradient descent (Adam) on the documents' log-likelihood, classes weighted alike. Without texts, or
-    with one class only, every score is the share of the label 1 (0.5 without texts), smoothed."""
+def fit(texts: list[str], labels: list[int], min_docs: int = 8, l1: float = 7e-4, l2: float = 2e-4, rounds: int = 320, rate: float = 0.15) -> Model:
+    """Weights by gradient descent (Adam) on the documents' log-likelihood, classes weighted alike. Without texts, with one
+    class only or without a feature of `min_docs` documents there are no weights, and the prior, the share of the label 1,
+    smoothed (0.5 without texts), is every score."""
     prior = (sum(labels) + 1) / (len(labels) + 2)
     seen: dict[str, int] = {}
     for t in texts:
@@ -82,7 +84,7 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 8, l1: float = 7e-4
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= min_docs))}
     del seen
     if len(set(labels)) < 2 or not vocabulary:
-        return Model({}, float(np.log(prior / (1 - prior))), prior)
+        return Model({}, 0.0, prior)
     y = np.array(labels, float)
     found, sizes, bag_of = array("i"), array("i"), array("i")
     for i, t in enumerate(texts):
@@ -114,8 +116,10 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 8, l1: float = 7e-4
 
 
 def score(text: str | None, model: Model) -> tuple[float, list[tuple[int, int]]]:
-    """The noisy-or of a text's sentences, and those with a score of a half or more. A text without words has the prior
-    of sentences without any known word."""
+    """The noisy-or of a text's sentences, and those with a score of a half or more. A text without words has no sentence
+    and so the score 0. A model without weights gives every text its prior and finds no sentence."""
+    if not model.weights:
+        return model.prior, []
     get, none, found = model.known.get, 0.0, []
     for start, end, words in sentences(text or ""):
         seen = set().union(*filter(None, map(get, words)))
@@ -124,25 +128,39 @@ def score(text: str | None, model: Model) -> tuple[float, list[tuple[int, int]]]
         none += math.log1p(-min(p, 1 - 1e-12))
         if p >= 0.5:
             found.append((start, end))
-    return -math.expm1(none), found
+    return 0.0 - math.expm1(none), found
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[str], list[int]]:
-    """At most `most` labelled texts that aren't held out, of those with the smallest hashes of their ids. A document
-    with several labels takes the largest; null labels aren't used."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int, most_bytes: int = 64 << 20) -> tuple[list[str], list[int]]:
+    """At most `most` labelled texts that aren't held out and at most `most_bytes` of them together, in the order of the
+    hashes of their ids; a text for which there is no room is passed over. A document with several labels takes the
+    largest; null labels aren't used. Sizes are read first, so that no text comes to the driver that isn't used."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).collect()
-    return [r.text or "" for r in rows], [int(r.toxic) for r in rows]
+    chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # `most` rows
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_key")]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    sizes = rows.select("doc_id", "text_key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).join(chosen, "doc_id").orderBy(*order).limit(most).collect()
+    room, fits, copies = most_bytes, [], {}
+    for r in sizes:
+        if r.n <= room:
+            room -= r.n
+            fits.append((r.doc_id, r.text_key))
+            copies[fits[-1]] = copies.get(fits[-1], 0) + 1
+    if not fits:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame(list(copies), "doc_id long, text_key long")
+    found = rows.join(F.broadcast(wanted), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).collect()
+    texts, toxic = {(r.doc_id, r.text_key): r.text or "" for r in found}, {r.doc_id: int(r.toxic) for r in sizes}
+    return [texts[k] for k in fits], [toxic[k[0]] for k in fits]
 
 
 def with_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """One row per row of docs (doc_id, text). Null and empty texts get the score of no sentence, 0; a null doc_id isn't
-    held out; repeated rows are each scored. toxic_spans locates offending sentences as start:end, comma-joined."""
+    """One row per row of docs (doc_id, text). Null and empty texts get the score of no sentence, 0, or the prior of a model
+    without weights; a null doc_id isn't held out; repeated rows are each scored. toxic_spans locates offending sentences as start:end, comma-joined."""
     workers_find_us(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the training sample
 
@@ -158,7 +176,7 @@ def with_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
     return docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(scan, SCHEMA)
 
 
-#: Labelled texts that the model is fitted on, at most.
+#: Labelled texts that the model is fitted on, at most, beside 64 MB of them.
 SAMPLE = 3000
 
 

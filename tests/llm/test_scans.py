@@ -318,7 +318,40 @@ def test_toxicity(spark, odd):
     assert s > 0.7 > toxicity.score(clean, m)[0] and ["badword" in bad[a:b] for a, b in spans] == [True]
     got = toxicity.with_toxicity(odd, m).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
-    assert all(r.score == 0 for r in got if r.doc_id in (2, 3, 4)) and toxicity.fit([], []).prior == 0.5
+    assert all(str(r.score) == "0.0" for r in got if r.doc_id in (2, 3, 4)) and toxicity.fit([], []).prior == 0.5
+
+
+def test_one_class_gives_the_prior(odd):
+    m = toxicity.fit(["One two three. Four five six."] * 20, [1] * 20)
+    assert not m.weights and m.prior == 21 / 22
+    assert {r.score for r in toxicity.with_toxicity(odd, m).collect()} == {m.prior}
+
+
+def test_scores_are_the_noisy_or_of_sentences():
+    import math
+
+    m = toxicity.Model({"bad": 3.0, "badl*": 0.5, "good": -1.0}, -1.5, 0.5)
+    sigma = lambda z: 1 / (1 + math.exp(-z))
+    text = "A bad day. Good good badly!\nNothing here"
+    s, spans = toxicity.score(text, m)
+    assert s == pytest.approx(1 - (1 - sigma(1.5)) * (1 - sigma(-2.0)) * (1 - sigma(-1.5)), abs=1e-12)
+    assert [text[a:b] for a, b in spans] == ["A bad day."]
+
+
+def test_held_out_recall(spark):
+    """What the model finds of held-out labels at the threshold of the query."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op7(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").collect()
+    toxic, clean = [r.predicted for r in got if r.toxic == 1], [r.predicted for r in got if r.toxic == 0]
+    assert sum(toxic) >= 0.88 * len(toxic) and sum(clean) <= 0.01 * len(clean) and len(toxic) > 100
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(40)] + [(3, "x" * 30)], "doc_id long, text string")
+    labels = spark.range(40).selectExpr("id as doc_id", "1 as toxic")
+    texts, _ = toxicity.training_sample(docs, labels, 100, 500)
+    assert 0 < sum(map(len, texts)) <= 500
+    assert len(toxicity.training_sample(docs, labels, 100)[0]) >= len(texts)
 
 
 def test_held_out_labels_are_not_learned(spark):
