@@ -20,8 +20,9 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rillspark.llm.common import slices, workers_find_us
+from rillspark.llm.common import col, slices, workers_find_us
 
 #: The pre-tokenizer's expression in a byte-level tokenizer file with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -245,9 +246,9 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def with_ids(docs: DataFrame, path: str | None = None, extra: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text), and with `extra` the ids and the
-    decoded text. Null is encoded as an empty text, which has no ids; repeated rows are each answered; a text is
+def with_ids(docs: DataFrame, path: str | None = None, extra: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text), with `extra` the ids and the decoded
+    text, and the columns of docs named by `keep`. Null is encoded as an empty text, which has no ids; repeated rows are each answered; a text is
     encoded whole, however long. No row leaves its partition."""
     workers_find_us(docs.sparkSession)
     path = path or default_path()
@@ -269,9 +270,14 @@ def with_ids(docs: DataFrame, path: str | None = None, extra: bool = False) -> D
                 texts = [t.decode("utf-8", "replace") for t in texts]
                 columns = [part["doc_id"], counts, [sha(decimals[digits[a] : max(digits[a], digits[b] - 1)]) for a, b in cuts], [sha(t.encode()) for t in texts]]
                 columns += [[ids[a:b] for a, b in cuts], texts] if extra else []
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k, _) in zip(columns, kinds)], names=[n for n, _, _ in kinds])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, ", ".join(f"{n} {s}" for n, _, s in kinds))
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k, _) in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([*arrays, *(part[f"keep{i}"] for i in range(len(keep)))], names=[*(n for n, _, _ in kinds), *keep])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *(col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
+    schema = StructType.fromDDL(", ".join(f"{n} {s}" for n, _, s in kinds))
+    for i, c in enumerate(keep):
+        schema.add(c, rows.schema[f"keep{i}"].dataType)
+    return rows.mapInArrow(scan, schema)
 
 
 def with_counts(docs: DataFrame, path: str | None = None, limit: int = 512) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillspark.session import workers_find_us
 
-__all__ = ["col", "fresh", "raw_bytes", "shared_dir", "slices", "table", "temporary", "text_or_empty", "workers_find_us", "written"]
+__all__ = ["col", "forget", "fresh", "raw_bytes", "shared_dir", "slices", "table", "temporary", "text_or_empty", "workers_find_us", "written"]
 
 #: Tables written inside `temporary`, a list for each that is open.
 OPEN: list[list[str]] = []
@@ -39,17 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
     """df written to the shared folder as Parquet and read again: lineage ends there, whatever executors are lost. The table
-    is deleted at the end of the `temporary` block it was written in, if any, else left to whoever runs the job."""
+    is deleted at the end of the `temporary` block it was written in, if any, unless its path is to be added to `kept`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if OPEN:
+    if kept is not None:
+        kept.append(path)
+    elif OPEN:
         OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that operators write inside are deleted at its end; what they return must be used up or written before."""
@@ -57,9 +65,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in OPEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        forget(spark, OPEN.pop())
 
 
 def col(name: str) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import raw_bytes, slices, table, workers_find_us, written
+from rillspark.llm.common import fresh, raw_bytes, slices, table, workers_find_us, written
 
 SPAN = 13  # words of a window
 GRAM = 5  # words of a gram; a window holds SPAN - GRAM + 1 of them
@@ -249,8 +249,9 @@ def with_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated by items, with all their columns."""
     hit = with_contamination(docs, items).where("contaminated").select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["doc_id"]) & (keyed["__key"] == hit["text_key"]), "left_anti").drop("__key")
+    (key,) = fresh([*docs.columns, "text_key"], "key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["doc_id"]) & (keyed[key] == hit["text_key"]), "left_anti").drop(key)
 
 
 def keys_equal(a: DataFrame, b: DataFrame):

@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillspark.llm import bpe, decontaminate, lm_score, quality, secrets, simhash, suffixes, toxicity, urls
-
-import corpus_pipeline
+from rillspark.llm import bpe, decontaminate, lm_score, pipeline, quality, secrets, simhash, suffixes, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filters": urls.op8,
         "op9_token_counts": bpe.op9,
         "op10_bpe": bpe.op10,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

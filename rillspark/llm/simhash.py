@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import slices, table, workers_find_us, written
+from rillspark.llm.common import col, fresh, slices, table, workers_find_us, written
 
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
 #: First bit and width of each block.
@@ -193,7 +193,7 @@ def with_components(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: of those with the smallest doc_id (null if none has one) that with the
-    smallest hash of its text; of equal rows one stays."""
+    smallest hash of its text; of those equal in both that with the smallest hash of all its columns."""
     found = written(with_components(docs), "components")
     lowest = F.col("doc_id").eqNullSafe(F.col("component_id"))
     named = found.where(lowest)  # more than one of a component only for repeated or missing ids
@@ -201,10 +201,14 @@ def without_copies(docs: DataFrame) -> DataFrame:
     named = named.join(first, "root")
     others = named.where("text_key != first_key").select("doc_id", "text_key")
     dropped = found.where(~lowest).select("doc_id", "text_key").union(others).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    kept = keyed.join(dropped, keyed["doc_id"].eqNullSafe(dropped["doc_id"]) & (keyed["__key"] == dropped["text_key"]), "left_anti").drop("__key")
+    (key,) = fresh([*docs.columns, "text_key"], "key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    kept = keyed.join(dropped, keyed["doc_id"].eqNullSafe(dropped["doc_id"]) & (keyed[key] == dropped["text_key"]), "left_anti").drop(key)
     equal_rows = not named.where("text_key = first_key").groupBy("root").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if equal_rows else kept
+    if not equal_rows:
+        return kept
+    row = F.struct(*map(col, docs.columns))
+    return kept.groupBy(F.col("doc_id").alias("i"), F.col("text").alias("t")).agg(F.min_by(row, F.xxhash64(*map(col, docs.columns))).alias("row")).select("row.*")
 
 
 def hexadecimal(fp: Column) -> Column:

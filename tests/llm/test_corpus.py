@@ -239,3 +239,24 @@ def test_pipeline_stages(spark, tmp_path, sf):
     assert stages["token_ids"](spark, docs, sf).count() == len(rows)
     for stage in stages.values():
         assert stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_pipeline_deletes_what_it_wrote(spark, tmp_path, sf):
+    import os
+
+    from rillspark.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, sf).select("doc_id", "ids", "decoded", "lang").collect()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert len(got) and all(r.ids is not None and r.decoded is not None for r in got) and left == {"secret_scans"}
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    docs = spark.createDataFrame([(1, "one two three four", "a", 1), (2, "one two three four", "b", 2), (1, "one two three four", "c", 3)], "doc_id long, text string, __key string, key int")
+    kept = simhash.without_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == 1
+    items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    assert decontaminate.without_contaminated(docs, items.where("false")).columns == docs.columns
+    assert decontaminate.without_contaminated(docs, items).count() == 0
