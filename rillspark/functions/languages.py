@@ -182,7 +182,7 @@ BRACES = (r"\n(?=(?:(?:export|public|private|protected|internal|static|abstract|
 TAGS = (r"\n(?=<[A-Za-z!?])", r"\n(?=\s{1,4}<[A-Za-z])", r"(?<=>)\s*(?=<)")
 #: Separators of the languages that have a grammar of their own, coarse to fine; the general ones follow.
 LADDERS = {
-    "python": (r"\n(?=(?:class|def|async\s+def|@)\b?)", r"\n(?=[^\s)\]}])", r"\n(?=(?:\t|    )(?:class|def|async\s+def|@))", r"\n(?=(?:\t|    )\S)"),
+    "python": (r"\n(?=(?:class|def|async\s+def)\b|@)", r"\n(?=[^\s)\]}])", r"\n(?=(?:\t|    )(?:class|def|async\s+def|@))", r"\n(?=(?:\t|    )\S)"),
     "ruby": (r"\n(?=(?:class|module|def)\b)", r"\n(?=\s+(?:class|module|def)\b)"),
     "markdown": (r"\n(?=#\s)", r"\n(?=##\s)", r"\n(?=###\s)", r"\n(?=#{4,6}\s)", r"\n(?=```)"),
     "sql": (r"(?<=;)\s*\n", r"\n(?=(?i:select|from|where|group|order|join|union|with)\b)"),

@@ -6,8 +6,8 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +24,10 @@ LEVEL_COST = 512
 OVERLAP_COST = 512
 LINE_BREAK_COST = 64
 SMALL_COST = 1048576
+#: Above all depths, and above all costs of chunks.
+NONE, NEVER = 1 << 30, 1 << 60
+#: Ends whose chunks' own costs are in memory together.
+BLOCK = 4096
 
 
 def compiled(pattern: str) -> re.Pattern:
@@ -82,17 +86,6 @@ class CustomLanguage:
     aliases: tuple[str, ...] = ()
 
 
-@dataclass(frozen=True)
-class Atom:
-    """A piece that isn't divided. boundary: how coarse the separator before it is (less is coarser)."""
-
-    start: int
-    end: int
-    boundary: int
-    inner_breaks: int
-    breaks_before: int
-
-
 def break_level(gap: str) -> int:
     """0 without a line break, 1 with single ones, 2 with two of a kind in a row; CR LF is one."""
     runs = re.findall(r"[\r\n]+", gap)
@@ -100,6 +93,17 @@ def break_level(gap: str) -> int:
 
 
 class RecursiveSplitter:
+    """Chunks of least cost.
+
+    Text is cut into pieces by one pass for each separator, coarse to fine: a pass divides the pieces that are still larger
+    than a chunk's overlap (or its least size, without one). What separates two pieces has the depth of its pass. Pieces
+    without text go, the rest are known by arrays: bytes where they begin and end, the least depth before each, the line
+    breaks before and within each.
+
+    A chunk is a range of pieces. Its own cost depends on nothing else and is worked out for all ends at once, one length
+    of ranges after the other: too small; ends at finer separators than one inside; ends at lesser line breaks than some
+    inside. What remains, the cost of what goes before a chunk, is a relaxation over ends from left to right."""
+
     def __init__(self, custom: Sequence[CustomLanguage] = ()):
         self.custom: dict[str, tuple[re.Pattern, ...]] = {}
         self.plain = tuple(map(compiled, PLAIN))
@@ -118,111 +122,119 @@ class RecursiveSplitter:
         known = languages.LADDERS.get(languages.names().get(name, ""), ())
         return (*map(re.compile, known), *self.plain)
 
-    def atoms(self, text: str, seps: tuple[re.Pattern, ...], size, small: int) -> list[Atom]:
-        out: list[Atom] = []
-        low = 0  # the coarsest level passed since the last atom
-
-        def take(start: int, end: int, level: int) -> None:
-            nonlocal low
-            body = text[start:end].rstrip(WHITE)
-            inner = body.lstrip(WHITE)
-            if not inner:
-                return
-            start, end = start + len(body) - len(inner), start + len(body)
-            before = out[-1].end if out else 0
-            gap = text[before:start]
-            breaks = break_level(gap)
-            out.append(Atom(before + len(gap.rstrip(" \t")) if breaks else start, end, low, break_level(inner), breaks))
-            low = level
-
-        def descend(start: int, end: int, k: int, level: int) -> None:
-            nonlocal low
-            if size(start, end) <= small or k == len(seps):
-                take(start, end, level)
-                return
-            at = start
-            for m in seps[k].finditer(text[start:end]):
-                descend(at, start + m.start(), k + 1, level + 1)
-                at = start + m.end()
-            if at < end:
-                descend(at, end, k + 1, level + 1)
-            low = min(low, level)
-
-        descend(0, len(text), 0, 1)
-        out.append(Atom(len(text), len(text), 0, 0, 2))
-        return out
-
     def spans(self, text: str, chunk_size: int, min_chunk_size: int | None = None, chunk_overlap: int | None = None, language: str | None = None) -> list[tuple[int, int]]:
         """The spans, in characters, of the cheapest chunks; sizes are in UTF-8 bytes."""
         least = chunk_size // 2 if min_chunk_size is None else min_chunk_size
         overlap = min(chunk_overlap or 0, least)
-        offsets = range(len(text) + 1) if text.isascii() else [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in text)]
-        size = lambda a, b: offsets[b] - offsets[a]
-        atoms = self.atoms(text, self.ladder(language), size, overlap or least)
-        return self.cheapest(atoms, offsets, chunk_size, least, overlap)
-
-    def cheapest(self, atoms: list[Atom], offsets: Sequence[int], most: int, least: int, overlap: int) -> list[tuple[int, int]]:
-        """Dynamic programming over atoms: best[i] is the least cost of chunks that end with atom i - 1.
-
-        What a chunk that starts with atom s follows, and at which cost, depends on s alone once all atoms within the
-        overlap of its start are known; it is worked out once."""
-        total = offsets[-1]
-        begins, ends = [offsets[a.start] for a in atoms], [offsets[a.end] for a in atoms]
-        boundaries, edges, inner = [a.boundary for a in atoms], [a.breaks_before for a in atoms], [a.inner_breaks for a in atoms]
-        lack = (lambda at: (total - at) * OVERLAP_COST // overlap) if overlap else lambda at: 0
-        gaps = [0, *accumulate(LEVEL_COST // i for i in range(1, 2 + max(boundaries)))]
-        best, behind, came = [0], [lack(0)], [(0, 0)]
-        far = 1 + max(boundaries)
-        follows: list[tuple[int, int] | None] = [None] * len(atoms)
-
-        def follow(s: int, i: int) -> tuple[int, int]:
-            if not overlap:
-                found = follows[s] = (best[s] + OVERLAP_COST // 2, s)
-                return found
-            last = bisect_right(ends, begins[s] + overlap) - 1
-            p = min(range(s, max(s, min(i, last)) + 1), key=lambda q: (best[q] + behind[q], -q))
-            found = (best[p] + OVERLAP_COST - max(0, lack(begins[s]) - behind[p]), p)
-            if i >= last:
-                follows[s] = found
-            return found
-
-        for i in range(len(atoms) - 1):
-            end, after, edge = ends[i], boundaries[i + 1], edges[i + 1]
-            level, breaks = far, 0  # finest boundary and most line breaks inside the chunk
-            least_cost, first, previous = None, 0, 0
-            for s in range(i, -1, -1):
-                width, boundary = end - begins[s], boundaries[s]
-                cost = SMALL_COST if width < least else 0
-                if boundary > level:
-                    cost += gaps[boundary - level]
-                if after > level:
-                    cost += gaps[after - level]
-                if breaks:
-                    if breaks > edges[s]:
-                        cost += LINE_BREAK_COST * (breaks - edges[s])
-                    if breaks > edge:
-                        cost += LINE_BREAK_COST * (breaks - edge)
-                if width > most:
-                    if least_cost is None:
-                        least_cost, first, previous = cost + best[s], s, s
-                    break
-                before, p = follows[s] or follow(s, i)
-                cost += before
-                if least_cost is None or cost < least_cost:
-                    least_cost, first, previous = cost, s, p
-                if boundary < level:
-                    level = boundary
-                if inner[s] > breaks:
-                    breaks = inner[s]
-            best.append(least_cost)
-            came.append((first, previous))
-            behind.append(lack(end))
-        out, i = [], len(atoms) - 1
-        while i > 0:
-            start, previous = came[i]
-            out.append((atoms[start].start, atoms[i - 1].end))
-            i = previous
-        return out[::-1]
+        offsets = byte_offsets(text)
+        pieces = Pieces(text, cut_by_levels(text, self.ladder(language), offsets, overlap or least), offsets)
+        return [(int(pieces.start[a]), int(pieces.end[b])) for a, b in cheapest(pieces, chunk_size, least, overlap)]
+
+
+def byte_offsets(text: str) -> np.ndarray:
+    """The byte at which each character begins, and the number of bytes."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64))])
+
+
+def cut_by_levels(text: str, separators: Sequence[re.Pattern], offsets: np.ndarray, enough: int) -> list[tuple[int, int, int]]:
+    """(start, end, depth of the separator before) of pieces in order; the depth of the first is 0, that of the separators
+    of the first pass 2."""
+    pieces = [(0, len(text), 0)]
+    for depth, pattern in enumerate(separators, 2):
+        finer: list[tuple[int, int, int]] = []
+        for start, end, before in pieces:
+            if offsets[end] - offsets[start] <= enough:
+                finer.append((start, end, before))
+                continue
+            marks = [(start + m.start(), start + m.end()) for m in pattern.finditer(text[start:end])]
+            begins, ends = [start, *(b for _, b in marks)], [*(a for a, _ in marks), end]
+            finer += zip(begins, ends, [before, *[depth] * len(marks)])
+        if len(finer) == len(pieces) and all(offsets[b] - offsets[a] <= enough for a, b, _ in finer):
+            return finer
+        pieces = finer
+    return pieces
+
+
+class Pieces:
+    """Pieces with text, without white space around them, by arrays; a last, empty one stands for the end of the text."""
+
+    def __init__(self, text: str, cut: list[tuple[int, int, int]], offsets: np.ndarray):
+        start, end, depth, outer, inner, least, after = [], [], [], [], [], 0, 0
+        for a, b, before in cut:
+            least = min(least, before)
+            held = text[a:b].strip(WHITE)
+            if held:
+                a += len(text[a:b]) - len(text[a:b].lstrip(WHITE))
+                gap = text[after:a]
+                outer.append(break_level(gap))
+                start.append(after + len(gap.rstrip(" \t")) if outer[-1] else a)  # what indents a line belongs to it
+                after = a + len(held)
+                end.append(after)
+                depth.append(least)
+                inner.append(break_level(held))
+                least = NONE
+        self.start, self.end = np.array(start, np.int64), np.array(end, np.int64)
+        self.depth, self.outer, self.inner = (np.array([*x, last], np.int64) for x, last in ((depth, 0), (outer, 2), (inner, 0)))
+        self.total = int(offsets[-1])
+        self.begins, self.ends = np.append(offsets[self.start], self.total), np.append(offsets[self.end], self.total)
+
+
+def own_costs(p: Pieces, first: int, last: int, most: int, least: int) -> np.ndarray:
+    """[n - 1, i - first]: the cost of a chunk of n pieces that ends with piece i, by itself; NEVER if it is too large, unless
+    it is one piece."""
+    i = np.arange(first, last)
+    gap_cost = np.concatenate([[0], np.cumsum(LEVEL_COST // np.arange(1, 2 + max(2, int(p.depth.max()))))])
+    level, breaks, out = np.full(len(i), NONE), np.zeros(len(i), np.int64), []
+    for n in range(1, last + 1):
+        s = np.maximum(i - n + 1, 0)
+        width = p.ends[i] - p.begins[s]
+        if n > 1:
+            level, breaks = np.minimum(level, p.depth[s + 1]), np.maximum(breaks, p.inner[s + 1])
+        steps = lambda at: gap_cost[np.maximum(p.depth[at] - level, 0)] + LINE_BREAK_COST * np.maximum(breaks - p.outer[at], 0)  # noqa: B023, E731
+        cost = np.where(width < least, SMALL_COST, 0) + steps(s) + steps(i + 1)
+        if n > 1:
+            cost[(i - n + 1 < 0) | (width > most)] = NEVER
+            if (cost == NEVER).all():
+                break
+        out.append(cost)
+    return np.array(out)
+
+
+def cheapest(p: Pieces, most: int, least: int, overlap: int) -> list[tuple[int, int]]:
+    """The first and last piece of each chunk. best[q]: the least cost of chunks that cover the first q pieces. A chunk that
+    begins with piece s follows chunks that cover s or, within the overlap, more; `before[s]` is the cost of the best of those
+    known so far and `covers[s]` how much they cover, chosen by `rank[s]`, their cost and what they lack of the text."""
+    n = len(p.start)
+    lack = (p.total - p.begins) * OVERLAP_COST // overlap if overlap else np.zeros(n + 1, np.int64)
+    left = (p.total - np.concatenate([[0], p.ends[:n]])) * OVERLAP_COST // overlap if overlap else np.zeros(n + 1, np.int64)
+    reach = np.searchsorted(p.ends, p.begins + overlap, "right") - 1 if overlap else np.arange(n + 1)
+    early = np.searchsorted(reach, np.arange(n + 1))  # the first piece whose reach covers q
+    best, before, rank, covers = (np.zeros(n + 1, np.int64) for _ in range(4))
+    came, costs, at = [(0, 0)], np.zeros((0, 0)), 0
+    for i in range(n):
+        before[i], rank[i], covers[i] = best[i] + (OVERLAP_COST if overlap else OVERLAP_COST // 2), best[i] + left[i], i
+        if overlap and early[i] < i:
+            s = early[i] + np.flatnonzero(rank[i] <= rank[early[i] : i])
+            rank[s], covers[s], before[s] = rank[i], i, best[i] + OVERLAP_COST - np.maximum(0, lack[s] - left[i])
+        if i >= at + costs.shape[1]:
+            at, costs = i, own_costs(p, i, min(n, i + BLOCK), most, least)
+        own = costs[:, i - at][: i + 1]
+        if p.ends[i] - p.begins[i] > most:
+            best[i + 1] = own[0] + best[i]
+            came.append((i, i))
+            continue
+        whole = own + before[i - len(own) + 1 : i + 1][::-1]
+        k = int(whole.argmin())
+        best[i + 1] = whole[k]
+        came.append((i - k, int(covers[i - k])))
+    out, q = [], n
+    while q:
+        out.append((came[q][0], q - 1))
+        q = came[q][1]
+    return out[::-1]
 
 
 def split_recursively(text: Column, chunk_size: Column | int, min_chunk_size: Column | int | None = None, chunk_overlap: Column | int | None = None, language: Column | str | None = None, custom_languages: Sequence[CustomLanguage] = ()) -> Column:

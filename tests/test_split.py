@@ -1,5 +1,7 @@
+import random
+
 import pytest
-from rillspark.functions import languages
+from rillspark.functions import languages, split
 from rillspark.functions.split import CustomLanguage, RecursiveSplitter, break_level, rows, separator_spans, split_by_separators, split_recursively
 
 
@@ -86,3 +88,75 @@ def test_languages(spark):
     assert [languages.detect(f) for f in files] == expected
     df = spark.createDataFrame([(f,) for f in files], "f string")
     assert [r[0] for r in df.select(languages.language_of(df.f)).collect()] == expected
+
+
+def test_every_ladder_compiles():
+    splitter = RecursiveSplitter()
+    for name in languages.LADDERS:
+        assert splitter.ladder(name) and splitter.spans("a b\n\nc d {\n e;\n}\n", 6, 2, 0, name)
+
+
+def test_python_is_cut_at_definitions():
+    t = "import some_module\n\nclass A:\n    def f(self):\n        return 1\n\n    def g(self):\n        return 2\n\n@d\ndef h():\n    pass\n"
+    assert texts(t, 60, 10, 0, "python") == ["import some_module", "class A:\n    def f(self):\n        return 1", "    def g(self):\n        return 2", "@d\ndef h():\n    pass"]
+
+
+def plain_cost(p, s, i, least):
+    """The cost of a chunk of pieces s to i by itself."""
+    inside, breaks = min(p.depth[s + 1 : i + 1], default=None), max(p.inner[s + 1 : i + 1], default=0)
+    cost = 1048576 if p.ends[i] - p.begins[s] < least else 0
+    for at in (s, i + 1):
+        if inside is not None:
+            cost += sum(512 // k for k in range(1, p.depth[at] - inside + 1))
+        cost += 64 * max(0, breaks - p.outer[at])
+    return cost
+
+
+def plain_chunks(p, most, least, overlap):
+    n = len(p.start)
+    missing = lambda at: (p.total - at) * 512 // overlap
+    best, came = [0], [None]
+    left = [missing(0) if overlap else 0] + [missing(e) if overlap else 0 for e in p.ends[:n]]
+    for i in range(n):
+        found = []
+        for s in range(i, -1, -1):
+            if p.ends[i] - p.begins[s] > most:
+                if s == i:
+                    found.append((plain_cost(p, s, i, least) + best[s], -s, s))
+                break
+            if overlap:
+                q = min((q for q in range(s, i + 1) if q == s or p.ends[q] <= p.begins[s] + overlap), key=lambda q: (best[q] + left[q], -q))
+                before = best[q] + 512 - max(0, missing(p.begins[s]) - left[q])
+            else:
+                q, before = s, best[s] + 256
+            found.append((plain_cost(p, s, i, least) + before, -s, q))
+        cost, s, q = min(found, key=lambda x: x[:2])
+        best.append(cost)
+        came.append((-s, q))
+    out, q = [], n
+    while q:
+        out.append((came[q][0], q - 1))
+        q = came[q][1]
+    return out[::-1]
+
+
+def test_chunks_are_the_cheapest_by_the_plain_formula(monkeypatch):
+    monkeypatch.setattr(split, "BLOCK", 7)
+    rng = random.Random(4)
+    for _ in range(300):
+        t = "".join(rng.choices(["a", "bc", "é", " ", "\n", "\n\n", ". ", ", ", "\r\n", "\t", "日。"], k=rng.randrange(0, 60)))
+        most = rng.randrange(4, 30)
+        least, overlap = rng.randrange(0, most), rng.choice([0, 0, 3, 8])
+        overlap = min(overlap, least)
+        offsets = split.byte_offsets(t)
+        p = split.Pieces(t, split.cut_by_levels(t, RecursiveSplitter().ladder(None), offsets, overlap or least), offsets)
+        assert split.cheapest(p, most, least, overlap) == plain_chunks(p, most, least, overlap), (t, most, least, overlap)
+        assert all(a < b for a, b in RecursiveSplitter().spans(t, most, least, overlap))
+
+
+def test_depths_of_separators():
+    t = "a b. c\n\n d, e"
+    offsets = split.byte_offsets(t)
+    p = split.Pieces(t, split.cut_by_levels(t, RecursiveSplitter().ladder(None), offsets, 1), offsets)
+    assert [t[a:b] for a, b in zip(p.start, p.end)] == ["a", "b", "c", " d", "e"]
+    assert p.depth.tolist() == [0, 7, 4, 2, 6, 0] and p.outer.tolist() == [0, 0, 0, 2, 0, 2]
