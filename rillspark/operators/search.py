@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -100,9 +102,27 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2
     return counted.where(some).select(key, F.round(score, 6).alias("score"))
 
 
-def rrf(first: DataFrame, second: DataFrame, key: str, k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two rankings (key, rank)."""
-    both = first.select(key, F.col("rank").alias("r1")).join(second.select(key, F.col("rank").alias("r2")), key)
+def rrf(rows: DataFrame, key: str, first: list[Column], second: list[Column], k: int, constant: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of two rankings of all rows, each by columns that tell all rows apart: key, r1, r2, score.
+
+    No ranking of all rows is made. The k-th best score is above 1 / (constant + k), and a row beyond `depth` of both
+    rankings can't have more than 2 / (constant + depth + 1), so that the first `depth` of each, exactly, hold the result.
+    Their ranks in the other ranking are counted: one pass over all rows says between which of them each row lies."""
+    depth = constant + 2 * k - 1
+    ordered = rows.select(key, F.struct(*first).alias("o1"), F.struct(*second).alias("o2"))
+    found = ordered.orderBy("o1").limit(depth).union(ordered.orderBy("o2").limit(depth)).distinct().collect()  # 2 * depth at most
+    if not found:
+        return ordered.select(key, *(F.lit(0).cast("bigint").alias(r) for r in ("r1", "r2")), F.lit(0.0).alias("score")).limit(0)
+    spark, kinds, places = rows.sparkSession, ordered.schema, {}
+    for o in ("o1", "o2"):
+        places[o] = sorted({tuple(r[o]) for r in found})
+        listed = F.array(*(F.struct(*map(F.lit, x)) for x in places[o])).cast(T.ArrayType(kinds[o].dataType))
+        ordered = ordered.withColumn(f"n{o}", F.size(F.filter(listed, lambda x: x < F.col(o))))  # noqa: B023
+    lies = F.explode(F.array(*(F.struct(F.lit(o).alias("o"), F.col(f"n{o}").alias("n")) for o in places)))
+    counts = {(r.o, r.n): r.rows for r in ordered.select(lies.alias("x")).groupBy("x.o", "x.n").agg(F.count("*").alias("rows")).collect()}
+    ranks = {o: dict(zip(x, accumulate(counts.get((o, n), 0) for n in range(len(x))))) for o, x in places.items()}
+    ranked = [(r[key], ranks["o1"][tuple(r.o1)], ranks["o2"][tuple(r.o2)]) for r in found]
+    both = spark.createDataFrame(ranked, T.StructType([kinds[key], T.StructField("r1", T.LongType()), T.StructField("r2", T.LongType())]))
     return both.withColumn("score", F.round(1 / (F.lit(constant) + F.col("r1")) + 1 / (F.lit(constant) + F.col("r2")), 9)).orderBy(F.desc("score"), key).limit(k)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.functions import model
@@ -71,20 +71,20 @@ def maxsim(spark, sf):
     return rows.groupBy("label").agg(F.round(sum(best[1:], best[0]), 6).alias("score"))
 
 
-@query(f"""WITH d AS (SELECT vec_id, label, {COSINE} AS c, {L2.format('e.embedding', 'q.v')} AS l FROM embeddings e, {Q}),
-a AS (SELECT vec_id, row_number() OVER (ORDER BY round(c, 6), vec_id) AS r1 FROM d), b AS (SELECT vec_id, row_number() OVER (ORDER BY label, round(l, 6), vec_id) AS r2 FROM d)
-SELECT vec_id, r1, r2, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2), 9) AS score FROM a JOIN b USING (vec_id) WHERE r1 <= 100 AND r2 <= 100 ORDER BY score DESC, vec_id LIMIT 10""")
-def hybrid_rrf(spark, sf):
-    """Two rankings cut at 100 by a sort with a limit, ranked and fused."""
-    rows = table(spark, sf, "embeddings")
-    q = S.vector(first_vector(rows))
-    c, l = F.round(S.distance(F.col("embedding"), q, "cosine"), 6), F.round(S.distance(F.col("embedding"), q, "l2"), 6)
+WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
-    def ranked(order: list) -> DataFrame:
-        top = rows.select("vec_id", "label", c.alias("c"), l.alias("l")).orderBy(*order).limit(100)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
-    return S.rrf(ranked(["c", "vec_id"]), ranked(["label", "l", "vec_id"]), "vec_id", 10).select("vec_id", "r1", "r2", "score")
+@query(f"""WITH d AS (SELECT vec_id, {L2.format('e.embedding', 'q.v')} AS l, CASE WHEN list_has_any({WORDS}, ['idiot', 'licensed']) THEN 0 ELSE 1 END AS m FROM embeddings e JOIN documents ON vec_id = doc_id, {Q}),
+r AS (SELECT vec_id, row_number() OVER (ORDER BY round(l, 6), vec_id) AS r1, row_number() OVER (ORDER BY m, vec_id) AS r2 FROM d)
+SELECT vec_id, r1, r2, round(1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2), 9) AS score FROM r ORDER BY score DESC, vec_id LIMIT 10""")
+def hybrid_rrf(spark, sf):
+    """Nearness of vectors and matching words, each a ranking of all rows, fused."""
+    docs = table(spark, sf, "documents").select("doc_id", S.match_any(F.col("text"), ["idiot", "licensed"]).alias("hit"))
+    vectors = table(spark, sf, "embeddings")
+    q = S.vector(first_vector(vectors))
+    rows = vectors.join(docs, F.col("vec_id") == F.col("doc_id"))
+    near = F.round(S.distance(F.col("embedding"), q, "l2"), 6)
+    return S.rrf(rows, "vec_id", [near.alias("d"), F.col("vec_id")], [F.when(F.col("hit"), 0).otherwise(1).alias("m"), F.col("vec_id")], 10)
 
 
 @query("SELECT doc_id, source, n_chars, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3")
@@ -93,9 +93,6 @@ def topk_per_group(spark, sf):
     return S.topk_per_group(docs, ["source"], [F.desc("n_chars"), F.asc("doc_id")], 3)
 
 
-WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-
-
 @query(f"SELECT doc_id, len(list_filter({WORDS}, lambda x: x IN ('the', 'token'))) AS score, n_chars FROM documents WHERE list_has_any({WORDS}, ['the', 'token']) ORDER BY score DESC, n_chars DESC, doc_id LIMIT 50")
 def fts_rank(spark, sf):
     docs = table(spark, sf, "documents")
