@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from rillspark.schema import check_name, merge_schemas
 from rillspark.session import workers_find_us
+from rillspark.sinks.keyed import Folder
 
 
 class GeneratedField:
@@ -71,7 +72,8 @@ class Scope:
         if self not in cache:
             df = self.base(spark, cache)
             for name, make in self.ops:
-                df = df.withColumn(self.column(name), make())
+                memo = cache.get("memo") if isinstance(make, Remembered) else None
+                df = make.into(df, self.column(name), memo) if memo else df.withColumn(self.column(name), make())
             cache[self] = df
         return cache[self]
 
@@ -79,10 +81,39 @@ class Scope:
         return spark.range(1).select()
 
 
+@dataclass(frozen=True)
+class Remembered:
+    """A call of a function whose results are kept: `cache` is among its options."""
+
+    fn: Any
+    args: Callable[[], list]
+
+    def __call__(self) -> Column:
+        return self.fn(*self.args())
+
+    def into(self, df: DataFrame, out: str, folder: str) -> DataFrame:
+        """df with `out`, evaluated only for inputs that have no result in the folder, once each; those are added to it. A
+        result belongs to the function's name and behaviour version."""
+        from rillspark.operators.incremental import memoized
+
+        spark, path = df.sparkSession, f"{folder}/{self.fn.name}-{self.fn.options.behavior_version}"
+        args = [a if isinstance(a, Column) else F.lit(a) for a in self.args()]
+        names = [f"__in{i}" for i in range(len(args))]
+        df = df.withColumns(dict(zip(names, args)))
+        store = Folder(spark, path)
+        known = spark.read.parquet(path) if store.fs.exists(store.at("")) else None
+        compute = lambda rows: rows.withColumn("output", self.fn(*map(F.col, names)))
+        _, now = memoized(df, known, names, self.fn.name, compute)
+        fresh = now if known is None else now.join(known.select("input_fp"), "input_fp", "left_anti")
+        fresh.write.mode("append").parquet(path)
+        done, _ = memoized(df, spark.read.schema(now.schema).parquet(path), names, self.fn.name, lambda rows: rows.withColumn("output", F.lit(None).cast(now.schema["output"].dataType)))
+        return done.withColumnRenamed("output", out).drop(*names)
+
+
 class SourceScope(Scope):
     def __init__(self, flow: Flow, name: str, source: Any):
         super().__init__(flow, flow.root, None, name)
-        self.source = source
+        self.source, self.refresh_interval, self.limits = source, None, (None, None)
 
     def base_fields(self) -> list[str]:
         return list(self.source.schema().names)
@@ -144,7 +175,7 @@ class Slice:
         return column
 
     def data_type(self) -> T.DataType:
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         return self.scope.frame(spark, {}).select(self.col().alias("x")).schema["x"].dataType
 
     def __getitem__(self, name: str) -> Slice:
@@ -294,7 +325,8 @@ class Flow:
         self.query_handlers: dict[str, Callable[..., Any]] = {}
 
     def add_source(self, source: Any, *, name: str | None = None, refresh_interval: Any = None, max_inflight_rows: int | None = None, max_inflight_bytes: int | None = None) -> SourceTable:
-        """Rows in flight are bounded by Spark's task slots; the two limits are kept for streams' batch sizes."""
+        """refresh_interval: seconds between passes of a live update. The limits bound what an update's tasks hand to Python
+        functions at once."""
         name = check_name(name or f"source_{len(self.sources)}", "source")
         if name in self.sources:
             raise ValueError(f"source {name!r} is defined already")
@@ -308,6 +340,9 @@ class Flow:
         slices = [a for a in (*args, *kwargs.values()) if isinstance(a, Slice)]
         scope = lowest([s.scope for s in slices], self.root)
         col = lambda a: a.col() if isinstance(a, Slice) else a
+        if getattr(getattr(fn, "options", None), "cache", False):
+            given = fn.given(*args, **kwargs)
+            return scope.define(f"_t{next(self.ids)}", Remembered(fn, lambda: list(map(col, given))))
         return scope.define(f"_t{next(self.ids)}", lambda: fn(*map(col, args), **{k: col(v) for k, v in kwargs.items()}))
 
     def add_collector(self, name: str | None = None, scope: Scope | None = None) -> Collector:
@@ -328,10 +363,11 @@ class Flow:
     def add_query_handler(self, name: str, fn: Callable[..., Any]) -> None:
         self.query_handlers[check_name(name, "query handler")] = fn
 
-    def compile(self, spark: SparkSession, rows: dict[str, DataFrame] | None = None, owned: bool = False) -> dict[str, DataFrame]:
-        """The DataFrame of each collector. rows: what to read for a source instead of its whole table."""
+    def compile(self, spark: SparkSession, rows: dict[str, DataFrame] | None = None, owned: bool = False, memo: str | None = None) -> dict[str, DataFrame]:
+        """The DataFrame of each collector. rows: what to read for a source instead of its whole table. memo: the folder of
+        cached functions' results; without one they are evaluated like others."""
         workers_find_us(spark)
-        cache: dict = {("rows", n): df for n, df in (rows or {}).items()}
+        cache: dict = {("rows", n): df for n, df in (rows or {}).items()} | {"memo": memo}
         return {c.name: c.frame(spark, cache, owned) for c in self.collectors if c.parts}
 
     def frames_of(self, spark: SparkSession, slice_: Slice) -> DataFrame:

@@ -7,8 +7,12 @@ class is prepared once per worker.
 from __future__ import annotations
 
 import concurrent.futures
+import contextlib
+import fcntl
 import inspect
 import logging
+import os
+import tempfile
 import time
 import typing
 from collections.abc import Callable, Iterator
@@ -30,6 +34,10 @@ TIMEOUT_S = 1800.0
 
 @dataclass(frozen=True)
 class Options:
+    """gpu: batches of all workers of a machine run one after another. cache: results are kept by input and behaviour version
+    in an indexer's folder, so that later updates don't evaluate them again; outside an indexer it does nothing.
+    arg_relationship: what an argument is to the result (such as the text of an embedding), for whoever asks the registry."""
+
     gpu: bool = False
     cache: bool = False
     batching: bool = False
@@ -85,6 +93,14 @@ def runs_before(seconds: float, name: str, call: Callable[[], Any]) -> Any:
         pool.shutdown(wait=False, cancel_futures=True)
 
 
+@contextlib.contextmanager
+def one_at_a_time() -> Iterator[None]:
+    """The machine's accelerator is one worker's at a time; the others wait at a lock of this machine."""
+    with open(os.path.join(tempfile.gettempdir(), "rillspark-gpu.lock"), "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        yield
+
+
 class Operator:
     """What @function and @executor_class make: called with Columns (or constants) it is a Column."""
 
@@ -97,14 +113,16 @@ class Operator:
         self.optional = [type(None) in typing.get_args(k) for k in self.kinds]
         REGISTRY[name] = self
 
+    def given(self, *args: Any, **kwargs: Any) -> list[Any]:
+        """The value of each parameter, in order."""
+        named = dict(zip((p.name for p in self.parameters), args)) | kwargs
+        out = [named[p.name] if p.name in named else p.default for p in self.parameters]
+        if inspect.Parameter.empty in [v for v in out if isinstance(v, type)]:
+            raise TypeError(f"{self.name} needs {', '.join(p.name for p, v in zip(self.parameters, out) if v is inspect.Parameter.empty)}")
+        return out
+
     def __call__(self, *args: Any, **kwargs: Any) -> Column:
-        given = dict(zip((p.name for p in self.parameters), args)) | kwargs
-        columns = []
-        for p in self.parameters:
-            value = given[p.name] if p.name in given else p.default
-            if value is inspect.Parameter.empty:
-                raise TypeError(f"{self.name} needs {p.name}")
-            columns.append(value if isinstance(value, Column) else F.lit(value).cast("string") if value is None else F.lit(value))
+        columns = [v if isinstance(v, Column) else F.lit(v).cast("string") if v is None else F.lit(v) for v in self.given(*args, **kwargs)]
         out = self.udf()(*columns)
         if isinstance(self.returns.data_type, T.StructType):
             needed = [c.isNotNull() for c, o in zip(columns, self.optional) if not o]
@@ -125,15 +143,12 @@ class Operator:
                 live = [i for i, r in enumerate(rows) if all(o or v is not None for v, o in zip(r, optional))]
                 out: list[Any] = [None] * len(rows)
                 args = [tuple(typed(v, k) for v, k in zip(rows[i], kinds)) for i in live]
-                if options.batching:
-                    for at in range(0, len(args), most):
-                        part = args[at : at + most]
-                        found = runs_before(options.timeout, name, lambda part=part: fn(*map(list, zip(*part))))
-                        for i, x in zip(live[at : at + most], found):
-                            out[i] = plain(x)
-                else:
-                    done = runs_before(options.timeout * max(1, len(args)), name, lambda args=args: [fn(*a) for a in args])
-                    for i, x in zip(live, done):
+                with one_at_a_time() if options.gpu else contextlib.nullcontext():
+                    if options.batching:
+                        found = (x for at in range(0, len(args), most) for x in runs_before(options.timeout, name, lambda at=at: fn(*map(list, zip(*args[at : at + most])))))  # noqa: B023
+                    else:
+                        found = runs_before(options.timeout * max(1, len(args)), name, lambda args=args: [fn(*a) for a in args])
+                    for i, x in zip(live, found):
                         out[i] = plain(x)
                 yield pd.DataFrame([r or dict.fromkeys(names) for r in out], columns=names) if names else pd.Series(out, dtype=object)
 

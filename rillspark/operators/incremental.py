@@ -1,20 +1,25 @@
 """Incremental updates as joins: which rows changed in data or in logic, what they give now, what to write and delete.
 
-Tracking holds one row per source row: its ordinal, the hash of its content and of the flow's logic when it was
-processed, and the keys it gave. A first update and all later ones run the same plan; rows that didn't change are not
-read beyond their keys where the source has ordinals, and are not evaluated. Targets are written before tracking, so
-that a run that breaks off between is repeated with the same result.
+Tracking holds one row per source row: its ordinal and the hashes of its content and of the flow's logic when it was
+processed; targets know the owner of each of their rows. A first update and all later ones run the same plan. Sources are
+listed by keys and ordinals; values are asked for of the keys alone that these don't settle, and what comes from files or
+connectors is kept until the update ends, so that it is fetched once. Rows that didn't change are not evaluated. Targets
+are written before tracking, so that a run that breaks off between is repeated with the same result. Passes of one indexer
+wait for each other; of two processes that update one folder, the later one fails when it commits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import threading
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillspark.flow import Flow
 from rillspark.schema import compatibility
@@ -48,7 +53,7 @@ def latest(changes: DataFrame, keys: list[str], ordinal: str, tracked: DataFrame
 
 def logic_fingerprint(flow: Flow, source: str, version: Any = None) -> str:
     """Of what a source's rows go through: the plan of each collector that they reach, and the exports' keys."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.active()
     scope, parts = flow.sources[source], []
     for c in flow.collectors:
         mine = [p for p in c.parts if scope in p.scope.ancestors()]
@@ -66,12 +71,27 @@ class Update:
         return "; ".join(f"{s}: {', '.join(f'{n} {a}' for a, n in sorted(d.items()))}" for s, d in self.stats.items())
 
 
+@contextmanager
+def limits(spark: SparkSession, of_sources: list[tuple[int | None, int | None]]):
+    """Rows and bytes that a task hands to Python at once, no more than any source allows in flight."""
+    names, before = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"), {}
+    for name, found in zip(names, zip(*of_sources)):
+        if least := min(filter(None, found), default=None):
+            before[name] = spark.conf.get(name, None)
+            spark.conf.set(name, str(least))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
 class Indexer:
     """A flow and the folder that holds its tracking and targets. version: anything that stands for the logic beyond
     the plan, such as behaviour versions of functions."""
 
     def __init__(self, flow: Flow, spark: SparkSession, path: str, version: Any = None):
-        self.flow, self.spark, self.folder, self.version = flow, spark, Folder(spark, path), version
+        self.flow, self.spark, self.folder, self.version, self.lock = flow, spark, Folder(spark, path), version, threading.RLock()
 
     def exports(self):
         return [(c, e) for c in self.flow.collectors for e in c.exports]
@@ -81,14 +101,15 @@ class Indexer:
         return KeyedTarget(self.spark, path, export.primary_key_fields)
 
     def state(self) -> dict:
-        return self.folder.read("tracking.json") or {"version": 0, "path": None, "exports": {}}
+        return self.folder.read("tracking") or {"version": 0, "path": None, "exports": {}}
 
     def tracking(self) -> DataFrame:
         path = self.state()["path"]
         return self.spark.read.parquet(path) if path else self.spark.createDataFrame([], TRACKING)
 
-    def changes(self, name: str, mode: str = "normal") -> DataFrame:
-        """key (JSON), the key's columns, action, ordinal, content_fp and old ordinal of every row listed or tracked."""
+    def changes(self, name: str, mode: str = "normal", keep: str | None = None) -> DataFrame:
+        """key (JSON), the key's columns, action, ordinal, content_fp and old ordinal of every row listed or tracked. keep: a
+        folder for the listing and for fetched values, so that neither is asked for twice."""
         source, logic = self.flow.sources[name].source, logic_fingerprint(self.flow, name, self.version)
         listed = source.listing(self.spark).withColumn("key", key_json(source.keys)).withColumn("_listed", F.lit(True))
         tracked = self.tracking().where(F.col("source") == name).select("key", F.col("ordinal").alias("_old_ordinal"), F.col("content_fp").alias("_old_fp"), (F.col("logic_fp") == logic).alias("_same_logic"), F.lit(True).alias("_tracked"))
@@ -96,46 +117,68 @@ class Indexer:
         yes = lambda c: F.coalesce(F.col(c), F.lit(False))
         same_logic = yes("_same_logic") & F.lit(mode == "normal")
         first = action(yes("_listed"), yes("_tracked"), F.col("_ordinal"), F.col("_old_ordinal"), same_logic, F.lit(False))
-        both = both.withColumn("action", first)
-        rows = source.read(self.spark)
-        prints = rows.select(*source.keys, row_fp(rows.columns).alias("content_fp")).withColumn("key", key_json(source.keys)).select("key", "content_fp")
-        wanted = both.where("action IN ('insert', 'update')").select("key")
-        seen = both.join(prints.join(wanted, "key", "left_semi"), "key", "left")
+        both = self.kept(both.withColumn("action", first), keep, "listed")
+        wanted = both.where("action IN ('insert', 'update')").select(*source.keys)
+        rows = source.values(self.spark, wanted)
+        rows = self.kept(rows, keep, "values") if source.fetched else rows
+        prints = rows.select(key_json(source.keys).alias("key"), row_fp(rows.columns).alias("content_fp"))
+        seen = both.join(prints, "key", "left")
         second = action(yes("_listed"), yes("_tracked"), F.col("_ordinal"), F.col("_old_ordinal"), same_logic, F.col("content_fp") == F.col("_old_fp"))
-        return seen.withColumn("action", second).select("key", *source.keys, "action", F.col("_ordinal").alias("ordinal"), F.coalesce("content_fp", "_old_fp").alias("content_fp"), F.col("_old_ordinal"))
+        kind = T.StructType([T.StructField(k, listed.schema[k].dataType) for k in source.keys])
+        keys = [F.coalesce(F.col(k), F.from_json("key", kind)[k]).alias(k) for k in source.keys]  # those of rows that went
+        return seen.withColumn("action", second).select("key", *keys, "action", F.col("_ordinal").alias("ordinal"), F.coalesce("content_fp", "_old_fp").alias("content_fp"), F.col("_old_ordinal"))
+
+    def kept(self, df: DataFrame, folder: str | None, what: str) -> DataFrame:
+        if not folder:
+            return df
+        df.write.mode("overwrite").parquet(f"{folder}/{what}")
+        return self.spark.read.schema(df.schema).parquet(f"{folder}/{what}")
 
     def update(self, mode: str = "normal") -> Update:
-        """One pass over all sources. mode: normal, reexport or full_reprocess (the latter two take every row)."""
+        """One pass over all sources. mode: normal, reexport (every row is evaluated and all that it gives written again) or
+        full_reprocess (as if nothing were tracked or stored: targets are emptied first)."""
+        with self.lock, limits(self.spark, [s.limits for s in self.flow.sources.values()]):
+            return self.passed(mode)
+
+    def passed(self, mode: str) -> Update:
         state, stats = self.state(), {}
         self.drop_stale(state)
         version = state["version"] + 1
         diffs: dict[str, DataFrame] = {}
         for name in self.flow.sources:
-            path = f"{self.folder.path}/diff/{version}/{name}"
-            self.changes(name, mode).write.mode("overwrite").parquet(path)  # feeds several writes
-            diffs[name] = self.spark.read.parquet(path)
+            folder = f"{self.folder.path}/diff/{version}/{name}"
+            diffs[name] = self.kept(self.changes(name, mode, folder), folder, "changes")  # feeds several writes
             stats[name] = {r.action: r["count"] for r in diffs[name].groupBy("action").count().collect()}
         if any(set(s) - {"no_change"} for s in stats.values()) or set(state["exports"]) != {e.name for _, e in self.exports()}:
-            changed = {n: self.rows_of(n, d.where("action IN ('insert', 'update', 'reprocess')")) for n, d in diffs.items()}
-            new = self.flow.compile(self.spark, changed, owned=True)
+            changed = {n: self.rows_of(n, d.where("action IN ('insert', 'update', 'reprocess')"), f"{self.folder.path}/diff/{version}/{n}") for n, d in diffs.items()}
+            if mode == "full_reprocess":
+                self.folder.delete("memo")
+            new = self.flow.compile(self.spark, changed, owned=True, memo=f"{self.folder.path}/memo")
             touched = None
             for n, d in diffs.items():
                 part = d.where("action != 'no_change'").select(F.lit(n).alias("_source"), F.col("key").alias("_owner"))
                 touched = part if touched is None else touched.union(part)
             for collector, export in self.exports():
-                self.write(export, new[collector.name], touched)
+                self.write(export, new[collector.name], touched, mode)
         self.write_tracking(diffs, version)
         return Update(stats)
 
-    def rows_of(self, name: str, wanted: DataFrame) -> DataFrame:
+    def rows_of(self, name: str, wanted: DataFrame, folder: str) -> DataFrame:
         source = self.flow.sources[name].source
-        return source.read(self.spark).withColumn("__key", key_json(source.keys)).join(wanted.select(F.col("key").alias("__key")), "__key", "left_semi").drop("__key")
-
-    def write(self, export, rows: DataFrame, touched: DataFrame) -> None:
-        """Rows with the same key and values as before are carried over; others of touched owners go."""
+        if not source.fetched:
+            return source.values(self.spark, wanted.select(*source.keys))
+        rows = self.spark.read.schema(source.schema()).parquet(f"{folder}/values")
+        (key,) = [next(n for n in ("key", "key_", "key__") if n not in rows.columns)]
+        return rows.withColumn(key, key_json(source.keys)).join(wanted.select(F.col("key").alias(key)), key, "left_semi").drop(key)
+
+    def write(self, export, rows: DataFrame, touched: DataFrame, mode: str = "normal") -> None:
+        """Rows with the same key and values as before are left alone, unless all are to be written again; others of touched
+        owners go. Of the old rows only keys, owners and hashes of values are read."""
         target = self.target(export)
+        if mode == "full_reprocess":
+            target.drop()
         if export.setup_by_user is False and target.state()["schema"] is not None:
-            have, now = target.rows().drop("_key", "_source", "_owner", "_version").schema, rows.drop("_source", "_owner").schema
+            have, now = target.rows().drop("_key", "_source", "_owner", "_version", "_fp").schema, rows.drop("_source", "_owner").schema
             how = compatibility(have, now, export.primary_key_fields)
             if how == "incompatible":
                 target.drop()
@@ -147,8 +190,8 @@ class Indexer:
         if old is None:
             upserts, gone = rows, self.spark.createDataFrame([], "_key string, _source string, _owner string")
         else:
-            mine = old.join(touched, ["_source", "_owner"], "left_semi").select("_key", "_source", "_owner", row_fp(values).alias("_fp"))
-            upserts = keyed.withColumn("_fp", row_fp(values)).join(mine, ["_key", "_source", "_owner", "_fp"], "left_anti").select(*rows.columns)
+            mine = old.select("_key", "_source", "_owner", "_fp").join(touched, ["_source", "_owner"], "left_semi")
+            upserts = keyed.withColumn("_fp", row_fp(values)).join(mine, ["_key", "_source", "_owner", "_fp"], "left_anti").select(*rows.columns) if mode == "normal" else rows
             gone = mine.join(keyed.select("_key", "_source", "_owner"), ["_key", "_source", "_owner"], "left_anti").select("_key", "_source", "_owner")
         if hasattr(export.target, "apply"):
             left = gone if old is None else gone.join(old.join(gone, ["_key", "_source", "_owner"], "left_anti").select("_key"), "_key", "left_anti").join(keyed.select("_key"), "_key", "left_anti")
@@ -170,7 +213,7 @@ class Indexer:
         path = f"{self.folder.path}/tracking/v{version}"
         out.write.mode("overwrite").parquet(path)
         before = self.state()
-        self.folder.write("tracking.json", {"version": version, "path": path, "exports": {e.name: e.primary_key_fields for _, e in self.exports()}, "sources": list(self.flow.sources)})
+        self.folder.write("tracking", {"version": version, "path": path, "exports": {e.name: e.primary_key_fields for _, e in self.exports()}, "sources": list(self.flow.sources)})
         if before["path"]:
             self.folder.delete(f"tracking/v{before['version']}")
         self.folder.delete(f"diff/{version}")
@@ -181,7 +224,7 @@ class Indexer:
         for _, export in self.exports() if gone else []:
             rows = self.target(export).rows()
             if rows is not None:
-                self.target(export).merge(rows.where("false").drop("_key", "_version"), rows.where(F.col("_source").isin(gone)).select("_key", "_source", "_owner"))
+                self.target(export).merge(rows.where("false").drop("_key", "_version", "_fp"), rows.where(F.col("_source").isin(gone)).select("_key", "_source", "_owner"))
 
     def drop(self) -> None:
         for _, export in self.exports():

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import tempfile
 import uuid
 from functools import partial
 
@@ -13,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.flow import Flow
-from rillspark.operators.incremental import Indexer, action, latest, memoized
-from rillspark.sinks.keyed import KeyedTarget, row_fp
+from rillspark.operators.incremental import Indexer, latest, memoized
+from rillspark.sinks.keyed import KeyedTarget
 from rillspark.sinks.targets import Stored, evaluate_and_dump
+from rillspark.session import shared_dir
 from rillspark.sources.files import Files
 from rillspark.sources.tables import Table
 from rillspark.streaming.live import LiveUpdater, apply_changes, windowed_counts
@@ -37,8 +37,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: An edit of the orders: those with status P are new, urgent ones without status P have gone, those with status F have a
@@ -57,13 +56,12 @@ def new_orders(spark, sf) -> DataFrame:
 
 
 def diff(spark, sf) -> DataFrame:
-    prints = lambda df: row_fp(df.columns)
-    old, new = old_orders(spark, sf), new_orders(spark, sf)
-    tracked = old.select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("_old"), prints(old).alias("_old_fp"), F.lit(True).alias("_tracked"))
-    listed = new.select("o_orderkey", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 1).alias("_ordinal"), prints(new).alias("_fp"), F.lit(True).alias("_listed"))
-    both = listed.join(tracked, "o_orderkey", "full")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return both.withColumn("action", action(yes("_listed"), yes("_tracked"), F.col("_ordinal"), F.col("_old"), F.lit(True), F.col("_fp") == F.col("_old_fp")))
+    """The old orders indexed, then what the engine would do with the new ones."""
+    current = {"rows": old_orders}
+    indexer = Indexer(order_flow(lambda s: current["rows"](s, sf)), spark, scratch(spark, "diff"))
+    indexer.update()
+    current["rows"] = new_orders
+    return indexer.changes("source_0")
 
 
 ACTIONS = f"""WITH a AS ({OLD}), b AS ({NEW}), d AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
@@ -140,7 +138,7 @@ def memoized_function(spark, sf):
     return memoized(docs, memo, ["text"], "plus_one/1", compute)[0].select("doc_id", "output")
 
 
-@query()
+@query(CENTS.format(NEW))
 def custom_target(spark, sf):
     """A connector that writes the changes it gets as JSON rows of one key each, by task and update; what they leave is read
     back from there."""
@@ -190,7 +188,7 @@ def evaluate_dump(spark, sf):
     return spark.read.json(f"{path}/out")
 
 
-@query()
+@query(CENTS.format(NEW))
 def live_interval(spark, sf):
     current = {"rows": old_orders}
     indexer = Indexer(order_flow(lambda s: current["rows"](s, sf)), spark, scratch(spark, "live"))
@@ -199,10 +197,10 @@ def live_interval(spark, sf):
         current["rows"] = new_orders
         live.next_status_updates()
     indexer.update()
-    return indexer.target(indexer.flow.collectors[0].exports[0]).read()
+    return indexer.target(indexer.flow.collectors[0].exports[0]).read().select("o_orderkey", "cents")
 
 
-@query()
+@query("SELECT user_id, event_type, max_by(value, ts) AS value FROM events GROUP BY user_id, event_type")
 def live_stream(spark, sf):
     """Events as a stream of changes merged into a keyed target, the latest version of each key."""
     path = scratch(spark, "stream")

@@ -1,20 +1,26 @@
-"""Keyed targets in a folder: Parquet in buckets by key, a pointer that says which version of each bucket counts.
+"""Keyed targets in a folder: Parquet in buckets by key, and a state that says which versions of each bucket count.
 
-An update rewrites only the buckets that it touches and then swaps the pointer, which is one small file; until then
-readers see the old version. Rows of several owners may share a key; readers get that of the latest update, of two from
-one update that of the larger owner.
+An update appends what it changes, rows and marks of deleted ones, as a new version, and then commits by one small file;
+until then readers see the old state. Reading keeps the latest version of each owner's row. A bucket with many versions
+is compacted to one, and when buckets grow too large their number does, so that the cost of an update follows what it
+changes. Rows of several owners may share a key; readers get that of the latest update, of two from one update that of the
+larger owner.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 64
+#: Versions of a bucket from which on it is compacted, and rows of a bucket, on average, above which there are four times
+#: as many.
+DELTAS, LARGE = 6, 4_000_000
+OWN = ["_key", "_source", "_owner", "_version", "_fp", "_deleted"]
 
 
 class Folder:
@@ -28,25 +34,38 @@ class Folder:
     def at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def numbered(self, name: str) -> dict[int, str]:
+        """The files that hold the states of `name`, by number."""
+        if not self.fs.exists(self.at("")):
+            return {}
+        files = (f.getPath().getName() for f in self.fs.listStatus(self.at("")))
+        return {int(m[1]): f for f in files if (m := re.fullmatch(rf"{re.escape(name)}-(\d+)\.json", f))}
+
     def read(self, name: str) -> dict | None:
-        if not self.fs.exists(self.at(name)):
+        """The latest state of `name`."""
+        found = self.numbered(name)
+        if not found:
             return None
-        stream = self.fs.open(self.at(name))
+        stream = self.fs.open(self.at(found[max(found)]))
         try:
             return json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
     def write(self, name: str, value: dict) -> None:
-        """The whole file or nothing: written beside and renamed."""
-        beside = self.at(f".{name}.{uuid.uuid4().hex}")
+        """The next state of `name`, whole or not at all: written beside and renamed to a number that has no file, so that
+        the one before counts until then, and of two writers one fails."""
+        found = self.numbered(name)
+        number, beside = max(found, default=0) + 1, self.at(f".{name}.{uuid.uuid4().hex}")
         stream = self.fs.create(beside, True)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
-        if self.fs.exists(self.at(name)):
-            self.fs.delete(self.at(name), False)
-        if not self.fs.rename(beside, self.at(name)):
-            raise OSError(f"{name} can't be replaced")
+        to = self.at(f"{name}-{number}.json")
+        if self.fs.exists(to) or not self.fs.rename(beside, to):
+            raise OSError(f"{name}: another update has written state {number}")
+        for n, f in found.items():
+            if n < number - 1:
+                self.fs.delete(self.at(f), False)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
@@ -61,25 +80,38 @@ def row_fp(columns: list[str]) -> Column:
 
 
 class KeyedTarget:
-    """One target: its rows with `_key`, `_source`, `_owner` and `_version`, the update that wrote them."""
+    """One target: its rows with `_key`, `_source`, `_owner`, `_version` (the update that wrote them) and `_fp` (their values'
+    hash). buckets: how many to begin with; by default as many as a shuffle has partitions."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = BUCKETS):
-        self.spark, self.folder, self.keys, self.buckets = spark, Folder(spark, path), keys, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
+        self.spark, self.folder, self.keys, self.first = spark, Folder(spark, path), keys, buckets
 
     def state(self) -> dict:
-        return self.folder.read("state.json") or {"version": 0, "buckets": {}, "schema": None}
-
-    def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        """base: of each bucket the version that holds all of it; deltas: how many came after; rows: how many were written."""
+        return self.folder.read("state") or {"version": 0, "buckets": self.first or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "base": [], "deltas": [], "rows": [], "schema": None}
+
+    def written(self, state: dict, only: list[int] | None = None) -> DataFrame:
+        """What counts of all versions, marks of deleted rows included."""
+        schema = T.StructType([*T.StructType.fromJson(state["schema"]), T.StructField("_v", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+        rows = self.spark.read.schema(schema).parquet(f"{self.folder.path}/rows").where(F.col("_v") <= state["version"])
+        if len(set(state["base"])) > 1:
+            rows = rows.where(F.col("_v") >= F.get(F.lit(state["base"]), F.col("_bucket")))
+        else:
+            rows = rows.where(F.col("_v") >= state["base"][0])
+        return rows if only is None else rows.where(F.col("_bucket").isin(only))
 
     def rows(self, only: list[int] | None = None) -> DataFrame | None:
-        """All rows with their owners, of some buckets or all; None before the first update."""
+        """The latest row of each key and owner, of some buckets or all; None before the first update."""
         state = self.state()
-        if state["schema"] is None:
-            return None
-        schema = T.StructType.fromJson(state["schema"])
-        paths = [f"{self.folder.path}/v{v}/_bucket={b}" for b, v in state["buckets"].items() if only is None or int(b) in only]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return None if state["schema"] is None else self.latest(state, only)
+
+    def latest(self, state: dict, only: list[int] | None = None) -> DataFrame:
+        rows = self.written(state, only).drop("_v")
+        if any(state["deltas"][b] for b in (range(state["buckets"]) if only is None else only)):
+            keys = ["_key", "_source", "_owner"]
+            rest = [c for c in rows.columns if c not in keys]
+            rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_version").alias("r")).select(*keys, "r.*")
+        return rows.where("NOT _deleted").drop("_deleted", "_bucket")
 
     def read(self) -> DataFrame:
         rows = self.rows()
@@ -89,45 +121,81 @@ class KeyedTarget:
         best = F.max_by(F.struct(*columns), F.struct("_version", "_source", "_owner"))
         return rows.groupBy("_key").agg(best.alias("r")).select("r.*") if columns else rows.select()
 
+    def put(self, rows: DataFrame, version: int, buckets: int) -> dict[int, int]:
+        """Rows written as a version: how many each bucket got."""
+        path = f"{self.folder.path}/rows/_v={version}"
+        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+        dealt.repartition(buckets, "_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(path)
+        if not any(f.isDirectory() for f in self.folder.fs.listStatus(self.folder.at(f"rows/_v={version}"))):
+            return {}
+        counts = self.spark.read.schema("_bucket int").option("basePath", path).parquet(path).groupBy("_bucket").count()
+        return {r["_bucket"]: r["count"] for r in counts.collect()}
+
     def merge(self, upserts: DataFrame, gone: DataFrame) -> int:
         """Rows of gone (`_key`, `_source`, `_owner`) go, then upserts (columns, `_source`, `_owner`) take the place of
         their owner's rows of the same key. Of equal keys of one owner one stays. The new version is returned."""
-        state = self.state()
-        version = state["version"] + 1
-        upserts = upserts.withColumn("_key", key_json(self.keys)).withColumn("_version", F.lit(version).cast("bigint"))
-        upserts = upserts.dropDuplicates(["_key", "_source", "_owner"])
-        touched = upserts.select(self.bucket(F.col("_key")).alias("b")).union(gone.select(self.bucket(F.col("_key")))).distinct()
-        touched = sorted(r.b for r in touched.collect())  # at most `buckets`
-        if not touched:
-            return state["version"]
-        old = self.rows(touched)
-        rows = upserts
-        if old is not None:
-            named = ["_key", "_source", "_owner"]
-            leave = upserts.select(*named).union(gone.select(*named))
-            rows = old.join(leave, named, "left_anti").unionByName(upserts, allowMissingColumns=True).select(*upserts.columns)
-        out = rows.withColumn("_bucket", self.bucket(F.col("_key")))
-        out.repartition("_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(f"{self.folder.path}/v{version}")
-        left = {int(r._bucket) for r in self.spark.read.parquet(f"{self.folder.path}/v{version}").select("_bucket").distinct().collect()} if not rows.isEmpty() else set()
-        kept = {b: v for b, v in state["buckets"].items() if int(b) not in touched} | {str(b): version for b in touched if b in left}
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
-        self.folder.write("state.json", {"version": version, "buckets": kept, "schema": schema.jsonValue()})
-        for v in {*state["buckets"].values()} - {*kept.values()}:
-            self.folder.delete(f"v{v}")
+        state, keys = self.state(), ["_key", "_source", "_owner"]
+        version, n = state["version"] + 1, state["buckets"]
+        values = [c for c in upserts.columns if c not in ("_source", "_owner")]
+        upserts = upserts.withColumn("_fp", row_fp(values)).withColumn("_key", key_json(self.keys)).dropDuplicates(keys).withColumn("_deleted", F.lit(False))
+        marks = gone.select(*keys).distinct().join(upserts.select(*keys), keys, "left_anti").withColumn("_deleted", F.lit(True))
+        if state["schema"] is None:
+            marks = marks.where("false")
+        rows = upserts.unionByName(marks, allowMissingColumns=True).withColumn("_version", F.lit(version).cast("bigint"))
+        rows = rows.select(*values, *OWN)
+        counts = self.put(rows, version, n)
+        if not counts:
+            self.folder.delete(f"rows/_v={version}")
+            if state["schema"] is not None:
+                return state["version"]
+        fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema]
+        if state["schema"] is None:
+            base, deltas, size = [version] * n, [0] * n, [counts.get(b, 0) for b in range(n)]
+        else:
+            old = T.StructType.fromJson(state["schema"])
+            fields = [f for f in old if f.name not in {x.name for x in fields}] + fields
+            base, deltas = state["base"], [d + (b in counts) for b, d in enumerate(state["deltas"])]
+            size = [x + counts.get(b, 0) for b, x in enumerate(state["rows"])]
+        state = {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue()}
+        self.folder.write("state", state)
+        if sum(size) > LARGE * n:
+            self.compact(state, list(range(n)), 4 * n)
+        elif full := [b for b, d in enumerate(deltas) if d >= DELTAS]:
+            self.compact(state, full)
         return version
 
+    def compact(self, state: dict, some: list[int], buckets: int | None = None, rows: DataFrame | None = None) -> None:
+        """Some buckets as one version each, or all of them as another number of buckets or with other rows."""
+        version, n = state["version"] + 1, buckets or state["buckets"]
+        rows = self.latest(state, None if len(some) == state["buckets"] else some) if rows is None else rows
+        counts = self.put(rows.withColumn("_deleted", F.lit(False)), version, n)
+        if n != state["buckets"]:
+            base, deltas, size = [version] * n, [0] * n, [counts.get(b, 0) for b in range(n)]
+        else:
+            at = set(some)
+            base, deltas = [version if b in at else x for b, x in enumerate(state["base"])], [0 if b in at else x for b, x in enumerate(state["deltas"])]
+            size = [counts.get(b, 0) if b in at else x for b, x in enumerate(state["rows"])]
+        fields = [T.StructField(f.name, f.dataType, True) for f in rows.withColumn("_deleted", F.lit(False)).schema]
+        self.folder.write("state", {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue()})
+        for f in self.folder.fs.listStatus(self.folder.at("rows")):
+            name = f.getPath().getName()
+            v = int(name.split("=")[1]) if name.startswith("_v=") else version
+            if v < min(base):
+                self.folder.delete(f"rows/{name}")
+            elif v < version:
+                for b in some:
+                    if v < base[b]:
+                        self.folder.delete(f"rows/{name}/_bucket={b}")
+
     def evolve(self, schema: T.StructType) -> None:
         """Drop, add and retype value columns; the keys stay."""
-        rows = self.rows()
-        if rows is None:
-            return
         state = self.state()
-        version = state["version"] + 1
-        own = ["_key", "_source", "_owner", "_version"]
+        if state["schema"] is None:
+            return
+        rows = self.latest(state)
+        own = [c for c in OWN if c != "_deleted"]
         cols = [(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
-        out = rows.select(*cols, *own).withColumn("_bucket", self.bucket(F.col("_key")))
-        out.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.folder.path}/v{version}")
-        self.folder.write("state.json", {"version": version, "buckets": dict.fromkeys(state["buckets"], version), "schema": T.StructType([*schema.fields, *[rows.schema[c] for c in own]]).jsonValue()})
+        self.compact(state, list(range(state["buckets"])), rows=rows.select(*cols, *own))
 
     def drop(self) -> None:
         self.folder.delete("")

@@ -6,13 +6,17 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillspark.session import shared_dir
 from rillspark.sources.tables import Source
 
+#: Changed files that a scan is told by name.
+NAMED = 10_000
 BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
 
@@ -88,19 +92,35 @@ class Files(Source):
 
     def __init__(self, path: str, binary: bool = False, included_patterns: list[str] | None = None, excluded_patterns: list[str] | None = None, max_file_size: int | None = None):
         self.path, self.binary, self.included, self.excluded, self.most = path.rstrip("/"), binary, included_patterns, excluded_patterns, max_file_size
-        self.keys = ["filename"]
+        self.keys, self.fetched = ["filename"], True
 
-    def files(self, spark: SparkSession) -> DataFrame:
-        df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path)
+    def named(self, df: DataFrame) -> DataFrame:
+        """Files with their names; those that don't exist for the flow are left out."""
         if self.most is not None:
             df = df.where(F.col("length") <= self.most)  # pushed to the listing
         root = re.sub(r"^[a-z0-9]+:/*", "", self.path).strip("/")
         name = F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*{re.escape(root)}/", "")
         return df.withColumn("filename", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).where(matches(F.col("filename"), self.included, self.excluded))
 
+    def files(self, spark: SparkSession) -> DataFrame:
+        return self.named(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path))
+
+    def contents(self, files: DataFrame) -> DataFrame:
+        return files.select("filename", (F.col("content") if self.binary else decoded("content")).alias("content"))
+
     def read(self, spark: SparkSession) -> DataFrame:
-        content = F.col("content") if self.binary else decoded("content")
-        return self.files(spark).select("filename", content.alias("content"))
+        return self.contents(self.files(spark))
+
+    def values(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
+        """Opens only the files asked for, where they are few enough to be named (the driver lists all names anyway); more
+        are a large part of all and picked from a scan."""
+        names = [r[0] for r in self.files(spark).join(keys, "filename", "left_semi").select("path").limit(NAMED + 1).collect()]
+        if len(names) > NAMED:
+            return super().values(spark, keys)
+        if not names:
+            return spark.createDataFrame([], self.schema())
+        plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(n)) for n in names]
+        return self.contents(self.named(spark.read.format("binaryFile").load(plain)))
 
     def listing(self, spark: SparkSession) -> DataFrame:
         """Reads no contents: the column is pruned from the scan."""
@@ -133,7 +153,7 @@ class DriveFolders(Source):
     export_type)`). Each folder's children are listed by one task; contents are fetched by the tasks that read them."""
 
     def __init__(self, client_factory, root_folder_ids: list[str], binary: bool = False):
-        self.client_factory, self.roots, self.binary, self.keys = client_factory, list(root_folder_ids), binary, ["file_id"]
+        self.client_factory, self.roots, self.binary, self.keys, self.fetched = client_factory, list(root_folder_ids), binary, ["file_id"], True
 
     def walked(self, spark: SparkSession) -> DataFrame:
         make, schema = self.client_factory, "file_id string, filename string, mime_type string, modified bigint, folder boolean"
@@ -144,15 +164,22 @@ class DriveFolders(Source):
                 found = [c for f in b["file_id"] for c in client.children(f)]
                 yield pd.DataFrame(found, columns=["file_id", "filename", "mime_type", "modified", "folder"])
 
+        shared_dir(spark)
         level, out = spark.createDataFrame([(f,) for f in self.roots], "file_id string"), None
         while True:
-            level = level.select("file_id").mapInPandas(children, schema).checkpoint() if spark.sparkContext.getCheckpointDir() else level.select("file_id").mapInPandas(children, schema).cache()
+            level = level.select("file_id").mapInPandas(children, schema).checkpoint()
             out = level.where("NOT folder") if out is None else out.unionByName(level.where("NOT folder"))
             level = level.where("folder")
             if level.isEmpty():
                 return out.dropDuplicates(["file_id"])
 
     def read(self, spark: SparkSession) -> DataFrame:
+        return self.contents(self.walked(spark))
+
+    def values(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
+        return self.contents(self.walked(spark).join(keys, "file_id", "left_semi"))
+
+    def contents(self, files: DataFrame) -> DataFrame:
         make, binary = self.client_factory, self.binary
 
         def fetch(batches):
@@ -161,7 +188,7 @@ class DriveFolders(Source):
                 contents = [client.content(i, EXPORTS.get(m, (None, None))[int(binary)]) for i, m in zip(b["file_id"], b["mime_type"])]
                 yield b[["file_id", "filename", "mime_type"]].assign(content=contents if binary else [decode_text(c) for c in contents])
 
-        return self.walked(spark).mapInPandas(fetch, f"file_id string, filename string, mime_type string, content {'binary' if binary else 'string'}")
+        return files.mapInPandas(fetch, f"file_id string, filename string, mime_type string, content {'binary' if binary else 'string'}")
 
     def listing(self, spark: SparkSession) -> DataFrame:
         return self.walked(spark).select("file_id", F.col("modified").alias("_ordinal"))

@@ -16,9 +16,11 @@ ORDINALS = (T.LongType, T.TimestampNTZType, T.TimestampType)
 
 
 class Source:
-    """keys: names of the key columns. read: all rows. listing: keys and `_ordinal` without values."""
+    """keys: names of the key columns. read: all rows. listing: keys and `_ordinal` without values. values: the rows of some
+    keys. fetched: whether values come one by one at a price, so that they are kept rather than read again."""
 
     keys: list[str]
+    fetched = False
 
     def read(self, spark: SparkSession) -> DataFrame:
         raise NotImplementedError
@@ -28,7 +30,7 @@ class Source:
 
     @cached_property
     def _schema(self) -> T.StructType:
-        return self.read(SparkSession.getActiveSession()).schema
+        return self.read(SparkSession.active()).schema
 
     def ordinal(self) -> str | None:
         return None
@@ -39,6 +41,9 @@ class Source:
         rows = self.read(spark)
         return rows.select(*self.keys, ordinal_of(name, rows.schema).alias("_ordinal"))
 
+    def values(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
+        return self.read(spark).join(keys, self.keys, "left_semi")
+
 
 def ordinal_of(name: str | None, schema: T.StructType):
     """An integer as it is, a time in µs; null without an ordinal."""
@@ -94,6 +99,7 @@ class CustomSource(Source):
     keys: list[str]
     list_rows: Callable[[SparkSession], DataFrame]
     get_value: Callable[[SparkSession, DataFrame], DataFrame]
+    fetched = True
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self.get_value(spark, self.list_rows(spark)).drop("_ordinal")
@@ -102,6 +108,9 @@ class CustomSource(Source):
         rows = self.list_rows(spark)
         return rows if "_ordinal" in rows.columns else rows.withColumn("_ordinal", F.lit(None).cast("bigint"))
 
+    def values(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
+        return self.get_value(spark, keys).drop("_ordinal")
+
 
 def source_connector(keys: list[str]):
     """A class with `list_rows(spark)` and `get_value(spark, keys)` becomes a source when it is called."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,8 +18,10 @@ from rillspark.operators.incremental import Indexer, latest
 @dataclass
 class LiveUpdater:
     """start, wait, abort and status of a flow that is kept up to date. refresh_interval: seconds between passes over
-    the sources; a pass that takes longer delays the next. changes: streams of (key columns, ordinal) that say that
-    something changed; each micro-batch with changes is one pass, its checkpoint the acknowledgement."""
+    the sources, by default the least of the sources' own; a pass that takes longer delays the next. changes: streams of (key
+    columns, ordinal) that say that something changed; each micro-batch with changes is one pass, its checkpoint the
+    acknowledgement. Passes wait for each other. One that fails is repeated after `retry` seconds, twice as many each time up
+    to `retry_most`, as long as it fails; a change is acknowledged when its pass has succeeded."""
 
     indexer: Indexer
     refresh_interval: float | None = None
@@ -26,15 +30,30 @@ class LiveUpdater:
     stats: list[Any] = field(default_factory=list)
     queries: list[Any] = field(default_factory=list)
     on_status: Callable[[Any], None] = lambda status: None
+    retry: float = 5.0
+    retry_most: float = 60.0
+    stopped: threading.Event = field(default_factory=threading.Event)
 
     def passed(self) -> None:
-        self.stats.append(self.indexer.update())
-        self.on_status(self.stats[-1])
+        wait = self.retry
+        while True:
+            try:
+                status = self.indexer.update()
+                break
+            except Exception as error:
+                self.on_status(error)
+                if self.stopped.wait(wait):
+                    raise
+                wait = min(2 * wait, self.retry_most)
+        self.stats.append(status)
+        self.on_status(status)
 
     def start(self) -> LiveUpdater:
         self.passed()
         spark = self.indexer.spark
         streams = list(self.changes)
+        own = [s.refresh_interval for s in self.indexer.flow.sources.values() if s.refresh_interval]
+        self.refresh_interval = self.refresh_interval or min((i.total_seconds() if hasattr(i, "total_seconds") else i for i in own), default=None)
         if self.refresh_interval:
             ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
             self.queries.append(self.stream(ticks, 0, processingTime=f"{self.refresh_interval} seconds", always=True))
@@ -61,7 +80,14 @@ class LiveUpdater:
         for q in self.queries:
             q.awaitTermination(timeout) if timeout else q.awaitTermination()
 
+    async def wait_async(self, timeout: float | None = None) -> None:
+        await asyncio.to_thread(self.wait, timeout)
+
+    async def next_status_updates_async(self, timeout: float = 60.0) -> list[Any]:
+        return await asyncio.to_thread(self.next_status_updates, timeout)
+
     def abort(self) -> None:
+        self.stopped.set()
         for q in self.queries:
             q.stop()
 
@@ -71,6 +97,12 @@ class LiveUpdater:
     def __exit__(self, *_: Any) -> None:
         self.abort()
 
+    async def __aenter__(self) -> LiveUpdater:
+        return await asyncio.to_thread(self.start)
+
+    async def __aexit__(self, *_: Any) -> None:
+        await asyncio.to_thread(self.abort)
+
 
 def apply_changes(spark: SparkSession, stream: DataFrame, keys: list[str], ordinal: str, merge: Callable[[DataFrame], None], checkpoint: str, once: bool = True):
     """Changes of a stream, reduced to the latest of each key in a micro-batch, handed to merge; keys are thereby

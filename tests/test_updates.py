@@ -1,15 +1,20 @@
+import os
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from rillspark.flow import Flow
+from rillspark.functions.udf import function
 from rillspark.operators.incremental import Indexer, action, latest, memoized
 from rillspark.sinks import graph as G
-from rillspark.sinks.keyed import KeyedTarget
+from rillspark.sinks import keyed
+from rillspark.sinks.keyed import Folder, KeyedTarget
 from rillspark.plans import updates
 from rillspark.sinks.targets import CustomTarget, JdbcTable, Stored, evaluate_and_dump, vector_points
-from rillspark.sources.tables import Table
+from rillspark.sources.files import Files
+from rillspark.sources.tables import CustomSource, Table
 from rillspark.streaming.live import LiveUpdater
 
 
@@ -200,3 +205,178 @@ def test_scan_lists_all_files(spark, sf):
 
     got = updates.scan_local_file(spark, sf)
     assert got.count() == len([*pathlib.Path(sf).rglob("*.parquet")]) > 2
+
+
+def plain_flow(source, name="s"):
+    flow = Flow("f")
+    out = flow.add_collector("out")
+    with flow.add_source(source, name=name).row() as r:
+        out.collect(**{f: r[f] for f in source.schema().names})
+    out.export("rows", Stored(), primary_key_fields=source.keys)
+    return flow
+
+
+def test_only_changed_files_are_opened(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"f [{i}]*.txt").write_text(f"text {i}")
+    opened = []
+    contents = Files.contents
+    monkeypatch.setattr(Files, "contents", lambda self, df: opened.append(sorted(df.select("filename").toPandas()["filename"])) or contents(self, df))
+    source = Files(str(folder))
+    source.schema()
+    indexer = Indexer(plain_flow(source), spark, str(tmp_path / "x"))
+    opened.clear()
+    assert indexer.update().stats["s"] == {"insert": 5} and [len(o) for o in opened] == [5]
+    opened.clear()
+    (folder / "f [3]*.txt").write_text("other")
+    os.utime(folder / "f [3]*.txt", (2e9, 2e9))
+    (folder / "f [0]*.txt").unlink()
+    assert indexer.update().stats["s"] == {"update": 1, "delete": 1, "no_change": 3} and opened == [["f [3]*.txt"]]
+    opened.clear()
+    indexer.update()
+    assert opened in ([], [[]])
+    got = {r.filename: r.content for r in indexer.target(indexer.flow.collectors[0].exports[0]).read().collect()}
+    assert got == {"f [3]*.txt": "other", **{f"f [{i}]*.txt": f"text {i}" for i in (1, 2, 4)}}
+
+
+def test_connectors_are_asked_for_changed_keys_once(spark, tmp_path):
+    rows, asked = {1: ("a", 1), 2: ("b", 1), 3: ("c", 1)}, []
+
+    def get_value(s, keys):
+        wanted = sorted(r.id for r in keys.select("id").collect())
+        asked.append(wanted)
+        return s.createDataFrame([(i, rows[i][0]) for i in wanted], "id long, text string")
+
+    source = CustomSource(["id"], lambda s: s.createDataFrame([(i, o) for i, (_, o) in rows.items()], "id long, _ordinal long"), get_value)
+    indexer = Indexer(plain_flow(source), spark, str(tmp_path / "x"))
+    asked.clear()
+    indexer.update()
+    assert asked == [[1, 2, 3]]
+    asked.clear()
+    rows[2] = ("new", 2)
+    rows[4] = ("d", 1)
+    del rows[1]
+    assert indexer.update().stats["s"] == {"update": 1, "insert": 1, "delete": 1, "no_change": 1} and asked == [[2, 4]]
+    got = indexer.target(indexer.flow.collectors[0].exports[0]).read()
+    assert sorted(map(tuple, got.collect())) == [(2, "new"), (3, "c"), (4, "d")]
+
+
+def test_a_crash_before_the_commit_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    current = {"rows": [(1, "a", 1), (2, "b", 1)]}
+    indexer = Indexer(build(current), spark, str(tmp_path / "x"))
+    indexer.update()
+    before, write = rows_of(indexer), Folder.write
+    current["rows"] = [(1, "z", 2)]
+    for name in ("state", "tracking"):
+        def broken(self, what, value, name=name):
+            if what == name:
+                raise OSError("gone")
+            write(self, what, value)
+
+        monkeypatch.setattr(Folder, "write", broken)
+        with pytest.raises(OSError, match="gone"):
+            indexer.update()
+        monkeypatch.setattr(Folder, "write", write)
+        assert rows_of(indexer) == (before if name == "state" else [(1, 0, "Z")])
+    indexer.update()
+    assert rows_of(indexer) == [(1, 0, "Z")] and indexer.update().stats == {"s": {"no_change": 1}}
+
+
+def test_states_are_never_replaced(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "f"))
+    for i in range(4):
+        folder.write("state", {"n": i})
+    assert folder.read("state") == {"n": 3} and len(folder.numbered("state")) == 2
+    late = Folder(spark, str(tmp_path / "f"))
+    late.numbered = lambda name: {2: "state-2.json", 3: "state-3.json"}
+    with pytest.raises(OSError, match="another update"):
+        late.write("state", {"n": 9})
+    assert folder.read("state") == {"n": 3}
+
+
+def test_versions_are_compacted_and_buckets_grow(spark, tmp_path, monkeypatch):
+    rng, held = random.Random(2), {}
+    monkeypatch.setattr(keyed, "LARGE", 40)
+    target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], 2)
+    for step in range(9):
+        up = {rng.randrange(200): f"v{step}" for _ in range(25)}
+        out = rng.sample(sorted(set(held) - set(up)), min(4, len(set(held) - set(up))))
+        target.merge(spark.createDataFrame([(k, v, "s", "o") for k, v in up.items()], "k long, v string, _source string, _owner string"), spark.createDataFrame([(f'{{"k":{k}}}', "s", "o") for k in out], "_key string, _source string, _owner string"))
+        held = {k: v for k, v in held.items() if k not in out} | up
+        assert dict(map(tuple, target.read().collect())) == held
+    state = target.state()
+    assert state["buckets"] == 8 and max(state["deltas"]) < keyed.DELTAS and sum(state["rows"]) >= len(held)
+    assert target.merge(spark.createDataFrame([], "k long, v string, _source string, _owner string"), spark.createDataFrame([], "_key string, _source string, _owner string")) == state["version"]
+
+
+def test_two_passes_at_once_wait_for_each_other(spark, tmp_path):
+    current = {"rows": [(i, "a b", 1) for i in range(5)]}
+    indexer = Indexer(build(current), spark, str(tmp_path / "x"))
+    found = []
+    threads = [threading.Thread(target=lambda: found.append(indexer.update().stats["s"])) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(map(str, found)) == ["{'insert': 5}", "{'no_change': 5}"] and rows_of(indexer) == expected(current["rows"])
+
+
+def test_failing_passes_are_repeated(spark, tmp_path):
+    current, calls, errors = {"rows": [(1, "a", 1)]}, [], []
+    indexer = Indexer(build(current), spark, str(tmp_path / "x"))
+    update = indexer.update
+
+    def flaky(*args):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not now")
+        return update(*args)
+
+    indexer.update = flaky
+    indexer.flow.sources["s"].refresh_interval = 300
+    with LiveUpdater(indexer, retry=0.01, on_status=errors.append) as live:
+        assert live.refresh_interval == 300 and live.next_status_updates()[0].stats["s"] == {"insert": 1}
+    assert len(calls) == 3 and [type(e) for e in errors[:2]] == [OSError, OSError]
+
+
+def test_limits_bound_what_python_gets(spark, tmp_path):
+    current = {"rows": [(i, "a", 1) for i in range(50)]}
+    flow, sizes = build(current), []
+    flow.sources["s"].limits = (7, None)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    indexer, before = Indexer(flow, spark, str(tmp_path / "x")), spark.conf.get(name)
+    passed = indexer.passed
+    indexer.passed = lambda mode: sizes.append(spark.conf.get(name)) or passed(mode)
+    indexer.update()
+    assert sizes == ["7"] and spark.conf.get(name) == before
+
+
+def test_cached_functions_are_evaluated_once_per_input(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    @function(cache=True, behavior_version=1)
+    def shout(text: str, mark: str = "!") -> str:
+        import pathlib
+        import uuid
+
+        (pathlib.Path(str(log)) / uuid.uuid4().hex).write_text(text)
+        return text.upper() + mark
+
+    calls = lambda: sorted(p.read_text() for p in log.iterdir() if p.is_file())
+    current = {"rows": [(1, "a", 1), (2, "a", 1), (3, "b", 1), (4, None, 1)]}
+    flow = Flow("f")
+    out = flow.add_collector("out")
+    with flow.add_source(Table(lambda s: s.createDataFrame(current["rows"], SCHEMA), ["id"]), name="s").row() as r:
+        out.collect(id=r["id"], at=r["version"], word=r["text"].transform(shout))
+    out.export("words", Stored(), primary_key_fields=["id", "at"])
+    indexer = Indexer(flow, spark, str(tmp_path / "x"))
+    indexer.update()
+    assert rows_of(indexer) == [(1, 1, "A!"), (2, 1, "A!"), (3, 1, "B!"), (4, 1, None)] and calls() == ["a", "b"]
+    current["rows"] = [(1, "a", 2), (2, "c", 1), (5, "b", 1)]
+    indexer.update()
+    assert rows_of(indexer) == [(1, 2, "A!"), (2, 1, "C!"), (5, 1, "B!")] and calls() == ["a", "b", "c"]
+    indexer.update("full_reprocess")
+    assert rows_of(indexer) == [(1, 2, "A!"), (2, 1, "C!"), (5, 1, "B!")] and calls() == ["a", "a", "b", "b", "c", "c"]
