@@ -158,8 +158,8 @@ class Indexer:
             for n, d in diffs.items():
                 part = d.where("action != 'no_change'").select(F.lit(n).alias("_source"), F.col("key").alias("_owner"))
                 touched = part if touched is None else touched.union(part)
-            for collector, export in self.exports():
-                self.write(export, new[collector.name], touched, mode)
+            self.setup({c.name: df.drop("_source", "_owner").schema for c, df in ((c, new[c.name]) for c in self.flow.collectors if c.exports)})
+            self.write_all([(export, new[collector.name]) for collector, export in self.exports()], touched, mode)
         self.write_tracking(diffs, version)
         return Update(stats)
 
@@ -171,9 +171,47 @@ class Indexer:
         (key,) = [next(n for n in ("key", "key_", "key__") if n not in rows.columns)]
         return rows.withColumn(key, key_json(source.keys)).join(wanted.select(F.col("key").alias(key)), key, "left_semi").drop(key)
 
-    def write(self, export, rows: DataFrame, touched: DataFrame, mode: str = "normal") -> None:
-        """Rows with the same key and values as before are left alone, unless all are to be written again; others of touched
-        owners go. Of the old rows only keys, owners and hashes of values are read."""
+    def setup(self, schemas: dict[str, T.StructType] | None = None) -> dict[str, list]:
+        """Brings the targets' resources from what they were to what the flow now wants; what was done for each. Those
+        that users set up are left alone, and so are those of exports that the flow no longer has."""
+        if schemas is None:
+            none = {n: s.source.read(self.spark).where("false") for n, s in self.flow.sources.items()}
+            schemas = {n: df.schema for n, df in self.flow.compile(self.spark, none).items()}
+        stores = [(c, e) for c, e in self.exports() if hasattr(e.target, "wanted")]
+        have, want, done = self.folder.read("setup") or {}, {}, {}
+        for c, e in stores:
+            want[e.name] = json.loads(json.dumps(e.target.wanted(schemas[c.name], e.primary_key_fields, e)))
+        places = [(type(e.target).__name__, want[e.name]["name"]) for _, e in stores if "name" in want[e.name]]
+        if len(set(places)) < len(places):
+            raise ValueError("two exports write to one resource")
+        for _, e in stores:
+            if not e.setup_by_user:
+                done[e.name] = e.target.setup(have.get(e.name), want[e.name])
+        if want != have:
+            self.folder.write("setup", want)
+        return done
+
+    def write_all(self, rows: list[tuple[Any, DataFrame]], touched: DataFrame, mode: str) -> None:
+        """Targets outside get their changes before the engine's own tables, from which they are told, change; of
+        relationships first the deletions, then nodes, then the rest."""
+        found = [(export, *self.difference(export, df, touched, mode)) for export, df in rows]
+        outside = [(e.target, up, gone, e.primary_key_fields) for e, up, _, gone in found if hasattr(e.target, "apply")]
+        later = [x for x in outside if getattr(x[0], "after_nodes", False)]
+        sent = lambda up: up.drop("_source", "_owner")
+        for target, up, gone, keys in later:
+            target.apply(sent(up).limit(0), gone, keys)
+        for target, up, gone, keys in outside:
+            if not getattr(target, "after_nodes", False):
+                target.apply(sent(up), gone, keys)
+        for target, up, gone, keys in later:
+            target.apply(sent(up), gone.limit(0), keys)
+        for export, up, owned, _ in found:
+            self.target(export).merge(up, owned)
+
+    def difference(self, export, rows: DataFrame, touched: DataFrame, mode: str = "normal") -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Rows to write, owned rows to take away, and rows that no owner has any more (where the target needs them). Rows with
+        the same key and values as before are left alone, unless all are to be written again. Of the old rows only keys,
+        owners and hashes of values are read."""
         target = self.target(export)
         if mode == "full_reprocess":
             target.drop()
@@ -193,11 +231,15 @@ class Indexer:
             mine = old.select("_key", "_source", "_owner", "_fp").join(touched, ["_source", "_owner"], "left_semi")
             upserts = keyed.withColumn("_fp", row_fp(values)).join(mine, ["_key", "_source", "_owner", "_fp"], "left_anti").select(*rows.columns) if mode == "normal" else rows
             gone = mine.join(keyed.select("_key", "_source", "_owner"), ["_key", "_source", "_owner"], "left_anti").select("_key", "_source", "_owner")
+        left = None
         if hasattr(export.target, "apply"):
             left = gone if old is None else gone.join(old.join(gone, ["_key", "_source", "_owner"], "left_anti").select("_key"), "_key", "left_anti").join(keyed.select("_key"), "_key", "left_anti")
-            kind = rows.select(F.struct(*export.primary_key_fields).alias("k")).schema["k"].dataType
-            export.target.apply(upserts.drop("_source", "_owner"), left.select(F.from_json("_key", kind).alias("k")).select("k.*"), export.primary_key_fields)
-        target.merge(upserts, gone)
+            if getattr(export.target, "needs_old", False) and old is not None:
+                left = old.join(left.select("_key"), "_key", "left_semi").dropDuplicates(["_key"]).select(*values)
+            else:
+                kind = rows.select(F.struct(*export.primary_key_fields).alias("k")).schema["k"].dataType
+                left = left.select("_key").distinct().select(F.from_json("_key", kind).alias("k")).select("k.*")
+        return upserts, gone, left
 
     def write_tracking(self, diffs: dict[str, DataFrame], version: int) -> None:
         old, out = self.tracking(), None
@@ -227,7 +269,10 @@ class Indexer:
                 self.target(export).merge(rows.where("false").drop("_key", "_version", "_fp"), rows.where(F.col("_source").isin(gone)).select("_key", "_source", "_owner"))
 
     def drop(self) -> None:
-        for _, export in self.exports():
+        have = self.folder.read("setup") or {}
+        for _, export in sorted(self.exports(), key=lambda x: not getattr(x[1].target, "after_nodes", False)):
+            if hasattr(export.target, "wanted") and not export.setup_by_user:
+                export.target.setup(have.get(export.name), None)
             self.target(export).drop()
         self.folder.delete("")
 
