@@ -91,3 +91,42 @@ def test_source_connector(spark):
     made = Mine(3)
     assert [tuple(r) for r in made.read(spark).collect()] == [(0, 1), (1, 2), (2, 3)]
     assert [r._ordinal for r in made.listing(spark).collect()] == [0, 10, 20]
+
+
+def test_http(spark, flow, tmp_path):
+    import json
+    import urllib.error
+    import urllib.request
+    from urllib.parse import quote
+
+    from rillspark.server import Api, serve
+
+    running = serve(Api(spark, str(tmp_path / "s")), "127.0.0.1:0", ("http://page",))
+    base = f"http://127.0.0.1:{running.server_address[1]}"
+
+    def ask(path, method="GET"):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{base}{path}", method=method, headers={"Origin": "http://page"})) as r:
+                assert r.headers["Access-Control-Allow-Origin"] == "http://page"
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    key = quote('{"id":1}')
+    try:
+        assert ask("/healthz") == (200, {"status": "ok"}) and "svc" in ask("/api/flows")[1]
+        assert ask("/api/flows/svc")[1]["name"] == "svc" and ask("/api/flows/svc/schema")[1]["out"]["fields"][0]["name"] == "id"
+        assert ask("/api/flows/svc/keys?source=src") == (200, {"keys": [{"id": 1}, {"id": 2}], "next": None})
+        assert [r["w"] for r in ask(f"/api/flows/svc/data?source=src&key={key}")[1]["out"]] == ["a", "b"]
+        assert ask("/api/flows/svc/queryHandlers/find?query=x")[1] == {"results": [{"q": "x"}], "query_info": {}}
+        assert ask(f"/api/flows/svc/rowStatus?source=src&key={key}")[1]["action"] == "insert"
+        assert ask("/api/flows/svc/update", "POST") == (200, {"src": {"insert": 2}})
+        assert ask(f"/api/flows/svc/rowStatus?source=src&key={key}")[1]["action"] == "no_change"
+        assert [ask(p)[0] for p in ("/api/flows/none", "/api/flows/svc/keys", "/other", "/api/flows/svc/x")] == [404] * 4
+    finally:
+        running.shutdown()
+
+
+def test_server_command(spark, flow, tmp_path, capsys):
+    assert cli.main(["server", "json:svc", "--store", str(tmp_path / "s"), "--address", "127.0.0.1:0", "--for-seconds", "0.2"]) == 0
+    assert cli.main(["setup", "json:svc", "--store", str(tmp_path / "s")]) == 0 and "words is new" in capsys.readouterr().out
