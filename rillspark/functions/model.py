@@ -1,7 +1,7 @@
 """Model functions: embeddings, structured extraction and images, each with a client that is passed in.
 
 A client is any object with the method that the function calls; factories run once per worker. Providers are looked up
-by name in a registry; those that need a network register only a factory that imports their library when it is used.
+by name: clients that were registered, else those of `providers`.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import importlib
 import json
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from typing import Any, Protocol
 
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillspark.functions.providers import Client
 from rillspark.types import resolve, wrapped_schema
 
 
@@ -32,11 +33,10 @@ class GenerationClient(Protocol):
     def generate(self, prompt: str, schema: dict, image: bytes | None = None) -> str: ...
 
 
-#: Provider names and the library each needs; (generation, embedding).
+#: Providers with a client over HTTP, and whether they (generate, embed).
 PROVIDERS = {
-    "Ollama": ("ollama", True, True), "OpenAi": ("openai", True, True), "Gemini": ("google.genai", True, True), "Anthropic": ("anthropic", True, False),
-    "LiteLlm": ("litellm", True, False), "OpenRouter": ("openai", True, True), "Voyage": ("voyageai", False, True), "Vllm": ("openai", True, False),
-    "VertexAi": ("google.genai", True, True), "Bedrock": ("boto3", True, False), "AzureOpenAi": ("openai", True, True),
+    "Ollama": (True, True), "OpenAi": (True, True), "Gemini": (True, True), "Anthropic": (True, False), "LiteLlm": (True, False), "OpenRouter": (True, True),
+    "Voyage": (False, True), "Vllm": (True, False), "VertexAi": (True, True), "Bedrock": (True, False), "AzureOpenAi": (True, True),
 }
 _clients: dict[str, Callable[..., Any]] = {}
 
@@ -50,11 +50,9 @@ def client_factory(api_type: str, kind: str) -> Callable[..., Any]:
         return _clients[api_type]
     if api_type not in PROVIDERS:
         raise ValueError(f"unknown provider {api_type!r}")
-    library, generates, embeds = PROVIDERS[api_type]
-    if not (generates if kind == "generation" else embeds):
+    if not PROVIDERS[api_type][kind == "embedding"]:
         raise ValueError(f"{api_type} has no {kind}")
-    importlib.import_module(library)
-    raise NotImplementedError(f"register a client for {api_type}: this build has no network")
+    return partial(Client, api_type)
 
 
 class HashEmbedder:
@@ -83,11 +81,11 @@ def cached_client(make: Callable[..., Any], options: tuple) -> Any:
     return make(**dict(options))
 
 
-def embed_text(text: Column, api_type: str = "Hash", model: str = "hash", dimension: int | None = None, batch_size: int = 64, factory: Callable[..., Any] | None = None) -> Column:
+def embed_text(text: Column, api_type: str = "Hash", model: str = "hash", dimension: int | None = None, batch_size: int = 64, factory: Callable[..., Any] | None = None, **more: Any) -> Column:
     """array<float> of each text, `batch_size` texts a call, shortest first; null for null. A vector of another length
-    than `dimension` fails."""
+    than `dimension` fails. more: what the provider's client needs, such as address and api_key."""
     make = factory or client_factory(api_type, "embedding")
-    options = (("model", model), *((("dimension", dimension),) if dimension else ()))
+    options = (("model", model), *((("dimension", dimension),) if dimension else ()), *sorted(more.items()))
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -106,6 +104,35 @@ def embed_text(text: Column, api_type: str = "Hash", model: str = "hash", dimens
     return embed.asNondeterministic()(text)
 
 
+class SentenceTransformer:
+    """A model of the sentence-transformers library, loaded once per worker; its dimension is the model's own."""
+
+    def __init__(self, model: str, dimension: int | None = None, **arguments: Any):
+        library = importlib.import_module("sentence_transformers")
+        self.loaded = library.SentenceTransformer(model, **arguments)
+        self.dimension = self.loaded.get_sentence_embedding_dimension()
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(x) for x in v] for v in self.loaded.encode(texts, convert_to_numpy=True)]
+
+
+def sentence_transformer_embed(text: Column, model: str, batch_size: int = 512, **arguments: Any) -> Column:
+    """array<float> of each text by a sentence-transformers model; null for null."""
+    return embed_text(text, model=model, batch_size=batch_size, factory=SentenceTransformer, **arguments)
+
+
+def embed_queries(text: Column, factory: Callable[..., Any], model: str = "") -> Column:
+    """array<array<float>>, one vector per token, of each query text, to be held against images' by MaxSim."""
+
+    @F.pandas_udf("array<array<float>>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = cached_client(factory, (("model", model),))
+        for s in batches:
+            yield s.map(client.embed_query, na_action="ignore")
+
+    return embed.asNondeterministic()(text)
+
+
 def embed_images(image: Column, factory: Callable[..., Any], model: str = "") -> Column:
     """array<array<float>>, one vector per patch, of each image."""
 
@@ -118,14 +145,16 @@ def embed_images(image: Column, factory: Callable[..., Any], model: str = "") ->
     return embed.asNondeterministic()(image)
 
 
-def extract(output_type: Any, factory: Callable[..., Any], text: Column | None = None, image: Column | None = None, instruction: str = "", model: str = "") -> Column:
-    """A typed value of what a model says under the type's JSON schema; null if text and image are both null."""
+def extract(output_type: Any, factory: Callable[..., Any] | str, text: Column | None = None, image: Column | None = None, instruction: str = "", model: str = "", **more: Any) -> Column:
+    """A typed value of what a model says under the type's JSON schema; null if text and image are both null. factory: of a
+    client, or a provider's name, whose client takes `more`."""
+    make = client_factory(factory, "generation") if isinstance(factory, str) else factory
     kind = resolve(output_type)
     schema, wrapped = wrapped_schema(kind.data_type, kind.metadata)
 
     @F.pandas_udf("string")
     def generate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        client = cached_client(factory, (("model", model),))
+        client = cached_client(make, (("model", model), *sorted(more.items())))
         for texts, images in batches:
             out = []
             for t, b in zip(texts, images):

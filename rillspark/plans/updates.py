@@ -181,11 +181,14 @@ def scan_local_file(spark, sf):
     return Files(sf, binary=True, included_patterns=["*.parquet"]).listing(spark)
 
 
-@query()
+@query(f"""SELECT '---' || chr(10) || '"key":' || chr(10) || '  "o_orderkey": ' || o_orderkey || chr(10) || '"exports":' || chr(10) || '  "out":' || chr(10) || '    -' || chr(10) || '      "o_orderkey": ' || o_orderkey || chr(10)
+    || '      "cents": ' || cents AS document FROM ({CENTS.format(OLD)})""")
 def evaluate_dump(spark, sf):
+    """Each order's document, read back."""
     path = scratch(spark, "dump")
     evaluate_and_dump(order_flow(lambda s: old_orders(s, sf)), spark, path)
-    return spark.read.json(f"{path}/out")
+    whole = spark.read.option("lineSep", "---\n").text(path).where("value != ''")
+    return whole.select(F.concat(F.lit("---\n"), F.rtrim(F.col("value"), F.lit("\n"))).alias("document"))
 
 
 @query(CENTS.format(NEW))

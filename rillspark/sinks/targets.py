@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,10 +152,43 @@ def vector_points(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), named(vectors, "array<float>").alias("vectors"), named(multi, "array<array<float>>").alias("multi_vectors"), payload.alias("payload"))
 
 
+def yaml_of(value: Any, indent: int = 0) -> str:
+    """Plain data as YAML: nested lists and maps by indentation, texts of several lines as blocks, others quoted as JSON."""
+    pad = "  " * indent
+    if isinstance(value, dict) and value:
+        return "".join(f"{pad}{json.dumps(str(k), ensure_ascii=False)}:{inner(v, indent)}" for k, v in value.items())
+    if isinstance(value, list) and value:
+        return "".join(f"{pad}-{inner(v, indent)}" for v in value)
+    return pad + inner(value, indent).lstrip()
+
+
+def inner(v: Any, indent: int) -> str:
+    if isinstance(v, dict | list) and v:
+        return "\n" + yaml_of(v, indent + 1)
+    if isinstance(v, str) and "\n" in v and v.strip() and v[0] not in " \n" and not v.endswith("\n") and v.replace("\n", "").replace("\t", " ").isprintable():
+        return " |-\n" + "".join(f"{'  ' * (indent + 1)}{line}\n" if line else "\n" for line in v.split("\n"))
+    return " " + json.dumps(v, ensure_ascii=False) + "\n"
+
+
 def evaluate_and_dump(flow: Any, spark: SparkSession, path: str) -> list[str]:
-    """Every collector's records as JSON under path, by owner; no target is written. The folders' names are returned."""
-    out = []
+    """What each source row gives, as YAML; no target is written. A row's key and the records of every collector make one
+    document, in a folder by source that is split by the start of the key's hash. The folders' names are returned."""
+
+    def documents(batches):
+        for b in batches:
+            texts = []
+            for source, owner, records in zip(b["_source"], b["_owner"], b["records"]):
+                found: dict[str, list] = {}
+                for r in sorted(map(json.loads, records), key=lambda r: json.dumps(r, sort_keys=True)):
+                    found.setdefault(r["collector"], []).append(json.loads(r["record"]))
+                texts.append("---\n" + yaml_of({"key": json.loads(owner or "{}"), "exports": found}))
+            yield pd.DataFrame({"source": b["_source"], "part": b["part"], "value": texts})
+
+    rows = None
     for name, df in flow.compile(spark, owned=True).items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
-        out.append(name)
-    return out
+        record = F.to_json(F.struct(*[c for c in df.columns if c not in ("_source", "_owner")]), {"ignoreNullFields": "false"})
+        one = df.select("_source", "_owner", F.to_json(F.struct(F.lit(name).alias("collector"), record.alias("record"))).alias("r"))
+        rows = one if rows is None else rows.union(one)
+    by_row = rows.groupBy("_source", "_owner").agg(F.collect_list("r").alias("records")).withColumn("part", F.substring(F.md5("_owner"), 1, 2))
+    by_row.mapInPandas(documents, "source string, part string, value string").write.mode("overwrite").partitionBy("source", "part").text(path)
+    return sorted(flow.sources)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.operators.incremental import Indexer, latest
+from rillspark.streaming.changes import Feed
 
 
 @dataclass
@@ -20,12 +21,14 @@ class LiveUpdater:
     """start, wait, abort and status of a flow that is kept up to date. refresh_interval: seconds between passes over
     the sources, by default the least of the sources' own; a pass that takes longer delays the next. changes: streams of (key
     columns, ordinal) that say that something changed; each micro-batch with changes is one pass, its checkpoint the
-    acknowledgement. Passes wait for each other. One that fails is repeated after `retry` seconds, twice as many each time up
+    acknowledgement. feeds: services asked every `poll` seconds, told when a pass has followed. Passes wait for each other. One that fails is repeated after `retry` seconds, twice as many each time up
     to `retry_most`, as long as it fails; a change is acknowledged when its pass has succeeded."""
 
     indexer: Indexer
     refresh_interval: float | None = None
     changes: list[DataFrame] = field(default_factory=list)
+    feeds: list[Feed] = field(default_factory=list)
+    poll: float = 1.0
     checkpoint: str | None = None
     stats: list[Any] = field(default_factory=list)
     queries: list[Any] = field(default_factory=list)
@@ -58,8 +61,23 @@ class LiveUpdater:
             ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
             self.queries.append(self.stream(ticks, 0, processingTime=f"{self.refresh_interval} seconds", always=True))
         self.queries += [self.stream(s, i + 1, availableNow=True) if getattr(s, "available_now", False) else self.stream(s, i + 1, processingTime="0 seconds") for i, s in enumerate(streams)]
+        for feed in self.feeds:
+            threading.Thread(target=self.follow, args=(feed,), daemon=True).start()
         return self
 
+    def follow(self, feed: Feed) -> None:
+        position: dict = {}
+        while not self.stopped.is_set():
+            try:
+                found, after = feed.poll(position)
+                if found:
+                    self.passed()
+                feed.done(after)
+                position = after
+            except Exception as error:
+                self.on_status(error)
+            self.stopped.wait(self.poll)
+
     def stream(self, df: DataFrame, n: int, always: bool = False, **trigger: Any):
         def each(batch: DataFrame, _: int) -> None:
             if always or not batch.isEmpty():

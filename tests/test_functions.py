@@ -1,8 +1,10 @@
+import json
 from dataclasses import dataclass
 
 import pytest
 from pyspark.sql import functions as F
 
+from rillspark.functions.providers import Client
 from rillspark.functions import model, text
 from rillspark.functions.udf import Options, executor_class, function, runs_before
 from rillspark.operators import search as S
@@ -124,3 +126,71 @@ def test_search(spark):
     c = F.col("t")
     got = t.select(S.match_any(c, ["fox", "zzz"]), S.match_all(c, ["quick", "brown"]), S.match_phrase(c, "quick brown")).collect()
     assert [tuple(r) for r in got] == [(True, True, True), (False, True, False), (False, False, False)]
+
+
+def test_provider_requests():
+    sent = []
+
+    def client(kind, answer, **more):
+        return Client(kind, "m", api_key="k", send=lambda url, body, headers: sent.append((url, body, headers)) or answer, **more)
+
+    chat = {"choices": [{"message": {"content": "{}"}}]}
+    made = {
+        "OpenAi": (chat, {}, "https://api.openai.com/v1/chat/completions", "Authorization"), "AzureOpenAi": (chat, {"address": "https://x"}, "https://x/openai/deployments/m/chat/completions?api-version=2024-10-21", "api-key"),
+        "Ollama": ({"response": "{}"}, {}, "http://127.0.0.1:11434/api/generate", "Authorization"), "Anthropic": ({"content": [{"type": "tool_use", "input": {}}]}, {}, "https://api.anthropic.com/v1/messages", "x-api-key"),
+        "Gemini": ({"candidates": [{"content": {"parts": [{"text": "{}"}]}}]}, {}, "https://generativelanguage.googleapis.com/v1beta/models/m:generateContent", "x-goog-api-key"),
+        "Bedrock": ({"output": {"message": {"content": [{"toolUse": {"input": {}}}]}}}, {"region": "r"}, "https://bedrock-runtime.r.amazonaws.com/model/m/converse", "Authorization"),
+    }
+    for kind, (answer, more, url, header) in made.items():
+        assert client(kind, answer, **more).generate("p", {"type": "object"}, b"\x89PNG") == "{}"
+        assert sent[-1][0] == url and header in sent[-1][2] and "iVBORw" in str(sent[-1][1])
+    data = {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}
+    assert client("Voyage", data, dimension=1).embed(["a", "b"]) == [[1.0], [2.0]] and sent[-1][1]["output_dimension"] == 1
+    assert client("Gemini", {"embeddings": [{"values": [1.0]}]}).embed(["a"]) == [[1.0]] and client("Ollama", {"embeddings": [[1.0]]}).embed(["a"]) == [[1.0]]
+    assert client("VertexAi", {"predictions": [{"embeddings": {"values": [1.0]}}]}, project="p", location="l").embed(["a"]) == [[1.0]]
+    with pytest.raises(ValueError):
+        Client("AzureOpenAi", "m")
+
+
+def test_providers_by_name(spark, monkeypatch):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        failed = []
+
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            status = 200 if self.failed else 503
+            self.failed.append(1)
+            answer = {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in enumerate(body["input"])]} if "input" in body else {"choices": [{"message": {"content": json.dumps({"value": [len(body["messages"][0]["content"][0]["text"])]})}}]}
+            data = json.dumps(answer).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            return None
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address = f"http://127.0.0.1:{server.server_address[1]}"
+    df = spark.createDataFrame([("abc",), (None,), ("de",)], "t string")
+    assert [r[0] for r in df.select(model.embed_text(F.col("t"), "OpenAi", "m", address=address)).collect()] == [[3.0], None, [2.0]]
+    assert [r[0] for r in df.select(model.extract(list[int], "Vllm", F.col("t"), model="m", address=address)).collect()] == [[3], None, [2]]
+    server.shutdown()
+
+
+def test_query_vectors_and_missing_libraries(spark):
+    class Late:
+        def __init__(self, model):
+            pass
+
+        def embed_query(self, text):
+            return [[float(len(w))] for w in text.split()]
+
+    df = spark.createDataFrame([("a bc",), (None,)], "t string")
+    assert [r[0] for r in df.select(model.embed_queries(F.col("t"), Late)).collect()] == [[[1.0], [2.0]], None]
+    with pytest.raises(ModuleNotFoundError):
+        model.SentenceTransformer("m")

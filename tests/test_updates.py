@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import threading
@@ -12,9 +13,10 @@ from rillspark.sinks import graph as G
 from rillspark.sinks import keyed
 from rillspark.sinks.keyed import Folder, KeyedTarget
 from rillspark.plans import updates
-from rillspark.sinks.targets import CustomTarget, JdbcTable, Stored, evaluate_and_dump, vector_points
+from rillspark.sinks.targets import CustomTarget, JdbcTable, Stored, evaluate_and_dump, vector_points, yaml_of
 from rillspark.sources.files import Files
 from rillspark.sources.tables import CustomSource, Table
+from rillspark.streaming.changes import ChannelFeed, QueueFeed, RecentFeed, TableFeed
 from rillspark.streaming.live import LiveUpdater
 
 
@@ -184,8 +186,27 @@ def test_points_and_dump(spark, tmp_path):
     got = {r.id: (r.vectors, r.multi_vectors, r.payload) for r in vector_points(rows, "id").collect()}
     assert got["a"] == ({"v": [1.0, 2.0]}, {}, '{"n":3}') and got["b"][0] == {} and got["b"][1] == {"m": [[1.0]]}
     current = {"rows": [(1, "a b", 1)]}
-    assert evaluate_and_dump(build(current), spark, str(tmp_path / "d")) == ["out"]
-    assert spark.read.json(str(tmp_path / "d/out")).count() == 2
+    assert evaluate_and_dump(build(current), spark, str(tmp_path / "d")) == ["s"]
+    (text,) = [p.read_text() for p in (tmp_path / "d").rglob("part-*")]
+    assert text.strip() == """---
+"key":
+  "id": 1
+"exports":
+  "out":
+    -
+      "id": 1
+      "at": 0
+      "word": "A"
+    -
+      "id": 1
+      "at": 1
+      "word": "B\""""
+
+
+def test_yaml():
+    assert yaml_of({"a": [], "b": {}, "c": None, "d": ["x", [1, True]], "e": "two\n\nlines", "f": " lead\n"}) == (
+        '"a": []\n"b": {}\n"c": null\n"d":\n  - "x"\n  -\n    - 1\n    - true\n"e": |-\n  two\n\n  lines\n"f": " lead\\n"\n'
+    )
 
 
 def test_live(spark, tmp_path):
@@ -380,3 +401,61 @@ def test_cached_functions_are_evaluated_once_per_input(spark, tmp_path):
     assert rows_of(indexer) == [(1, 2, "A!"), (2, 1, "C!"), (5, 1, "B!")] and calls() == ["a", "b", "c"]
     indexer.update("full_reprocess")
     assert rows_of(indexer) == [(1, 2, "A!"), (2, 1, "C!"), (5, 1, "B!")] and calls() == ["a", "a", "b", "b", "c", "c"]
+
+
+class Says:
+    def __init__(self, **lists):
+        self.lists, self.deleted = lists, []
+
+    def receive(self, most):
+        return self.lists.pop("receive", [])
+
+    def notifications(self):
+        return self.lists.pop("notifications", [])
+
+    def messages(self):
+        return self.lists.pop("messages", [])
+
+    def delete(self, receipt):
+        self.deleted.append(receipt)
+
+    def recent(self, page):
+        return self.lists["pages"][page] if page < len(self.lists["pages"]) else []
+
+    def covered(self, i):
+        return i != "other"
+
+
+def test_feeds():
+    body = json.dumps({"Records": [{"eventName": f"Object{k}:x", "s3": {"object": {"key": f"{p}/f{k}"}}} for k, p in (("Created", "in"), ("Removed", "in"), ("Created", "out"))]})
+    created = [('{"filename": "fCreated"}', None, False), ('{"filename": "fRemoved"}', None, True)]
+    queue = QueueFeed(Says(receive=[("r1", body), ("r2", "{}")]), "in")
+    found, after = queue.poll({})
+    assert found == created and queue.client.deleted == []
+    queue.done(after)
+    assert queue.client.deleted == ["r1", "r2"] and ChannelFeed(Says(messages=[body]), "in").poll({})[0] == created
+    rows = TableFeed(Says(notifications=['{"op": "UPDATE", "fields": {"id": 1, "at": 5}}', '{"op": "DELETE", "fields": {"id": 2}}']), "at")
+    assert rows.poll({})[0] == [('{"id": 1}', 5, False), ('{"id": 2}', None, True)]
+    made = TableFeed.statements("t", ["id"], "at", "ch")
+    assert "json_build_object('id', NEW.\"id\", 'at', NEW.\"at\")" in made[0] and made[2].endswith("EXECUTE FUNCTION ch_notify()")
+    drive = RecentFeed(Says(pages=[[("a", 9), ("other", 8)], [("b", 7), ("c", 3)], [("d", 1)]]))
+    found, after = drive.poll({"modified": 3})
+    assert found == [('{"file_id": "a"}', 9, False), ('{"file_id": "b"}', 7, False)] and after == {"modified": 9} and drive.poll(after)[0] == []
+
+
+def test_a_feed_is_told_after_the_pass(spark, tmp_path):
+    current = {"rows": [(1, "a", 1)]}
+    indexer = Indexer(build(current), spark, str(tmp_path / "x"))
+    feed = QueueFeed(Says(), "")
+    with LiveUpdater(indexer, feeds=[feed], poll=0.05, retry=0.01) as live:
+        live.next_status_updates()
+        update, failed = indexer.update, []
+        indexer.update = lambda *a: failed.append(feed.client.deleted[:]) or (update(*a) if len(failed) > 1 else 1 / 0)
+        current["rows"] = [(1, "b", 2)]
+        feed.client.lists["receive"] = [("r", json.dumps({"Records": [{"eventName": "ObjectCreated:Put", "s3": {"object": {"key": "k"}}}]}))]
+        assert live.next_status_updates()[0].stats["s"] == {"update": 1} and failed == [[], []]
+        for _ in range(100):
+            if feed.client.deleted:
+                break
+            threading.Event().wait(0.05)
+    assert feed.client.deleted == ["r"]
