@@ -5,7 +5,8 @@ first, by recursion on the names of the strings between them, and all others are
 has a priority queue: suffixes with their common prefix lengths enter it in the order of what induced them, which is
 their own order, and leave it from the front. Queues move to disk when they hold too much; the text, types, names and
 LMS order of a shard stay in memory, so that shards are kept small. Common prefix lengths are carried along, so that
-neighbours that share `length` bytes are known when the last queue is read, without a look at the text.
+neighbours that share `length` bytes are known when the last queue is read; as those of LMS positions come from hashes, the
+bytes of such neighbours are compared.
 
 `with_removed` finds bytes in strings of `length` that start at more than one place in all documents. Each such string
 keeps an anchor, the gram with the smallest hash in it (the rightmost of equal ones); equal strings have equal anchors
@@ -150,6 +151,34 @@ class Inducer:
             self.queues[g].push(p[yes[a:b]], carried[a:b])
 
 
+def same_strings(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether the strings of `length` at a and b are equal, symbol by symbol, about `most` symbols at a time."""
+    out, ends = np.zeros(len(a), bool), np.cumsum(length)
+    start = 0
+    while start < len(a):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        n = length[start:stop]
+        first = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(first, n)
+        differ = text[np.repeat(a[start:stop], n) + within] != text[np.repeat(b[start:stop], n) + within]
+        out[start:stop] = ~np.logical_or.reduceat(differ, first) if len(n) else out[start:stop]
+        start = stop
+    return out
+
+
+def same_windows(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of one length at a and b are equal; by words of 64 bits where the length allows."""
+    words = length * text.itemsize // 8 if length * text.itemsize % 8 == 0 else 0
+    if words:
+        view = np.lib.stride_tricks.as_strided(text.view(np.uint8)[:8].view(np.uint64), (len(text) - length + 1, words), (text.itemsize, 8), writeable=False)
+    else:
+        view = np.lib.stride_tricks.sliding_window_view(text, length)
+    inside = (a <= len(text) - length) & (b <= len(text) - length)
+    out = np.zeros(len(a), bool)
+    out[inside] = (view[a[inside]] == view[b[inside]]).all(axis=1)
+    return out
+
+
 class Shard:
     """Symbols of texts, each ended by 0. A 0 is less than all else and differs from every other 0."""
 
@@ -229,6 +258,8 @@ class Shard:
         length = following[order] - order + 1
         h = self.hashes()(order, length)
         new = np.concatenate([[True], (length[1:] != length[:-1]) | (h[1:] != h[:-1])])
+        alike = np.flatnonzero(~new)  # equal hashes: the symbols decide
+        new[alike] = ~same_strings(self.text, order[alike - 1], order[alike], length[alike])
         names = np.zeros(self.n, np.int32)
         names[order] = np.cumsum(new)
         if new.all():
@@ -256,10 +287,15 @@ class Shard:
         found, previous = np.zeros(self.n, bool), None
         for at, common, _ in self.induce(order, self.common(order)):
             long = np.flatnonzero(common >= length)
-            found[at[long]] = True
-            found[at[long[long > 0] - 1]] = True
-            if previous is not None and common[0] >= length:
-                found[previous] = True
+            before = at[long - 1]
+            if len(long) and long[0] == 0:
+                before[0] = at[0] if previous is None else previous
+            for i in range(0, len(long), 1 << 14):  # prefixes were compared by hashes: the symbols decide
+                a, b = at[long[i : i + (1 << 14)]], before[i : i + (1 << 14)]
+                same = (a != b) & (self.stop[np.searchsorted(self.stop, np.maximum(a, b))] - np.maximum(a, b) >= length)
+                same &= self.stop[np.searchsorted(self.stop, np.minimum(a, b))] - np.minimum(a, b) >= length
+                same &= same_windows(self.text, a, b, length)
+                found[a[same]] = found[b[same]] = True
             previous = at[-1]
         return found
 
@@ -290,7 +326,7 @@ def repeated(texts: list[bytes], length: int = LENGTH, held: int = HELD) -> list
         return []
     flat = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    text = np.insert(flat.astype(np.int32) + 1, ends, 0)
+    text = np.insert(flat.astype(np.int16) + 1, ends, 0)
     found = Shard(text, length, held).near(length)
     starts = np.concatenate([[0], ends[:-1] + np.arange(1, len(texts))])
     return [np.flatnonzero(found[a : a + len(t)]) for a, t in zip(starts, texts)]
@@ -304,8 +340,20 @@ def runs_of(offsets: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(offsets[np.concatenate([[0], cut + 1])].tolist(), offsets[np.concatenate([cut, [len(offsets) - 1]])].tolist()))
 
 
-def anchors(flat: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """hash, text, and first and last start (in the text) of the strings that have it, of each anchor."""
+def anchors(flat: np.ndarray, offsets: np.ndarray, length: int, most: int = 1 << 26) -> tuple[np.ndarray, ...]:
+    """hash, text, and first and last start (in the text) of the strings that have it, of each anchor. Of more than `most`
+    bytes so many starts are taken at a time; an anchor on both sides of a cut is returned for each."""
+    if len(flat) > most + length:
+        parts = []
+        for a in range(0, len(flat), most):
+            b = min(len(flat), a + most + length - 1)
+            inner = np.unique(np.concatenate([[a], offsets[(offsets > a) & (offsets < b)], [b]])) - a
+            h, d, low, high = anchors(flat[a:b], inner, length, most + length)
+            begin = inner[d] + a
+            text = np.searchsorted(offsets, begin, "right") - 1
+            shift = begin - offsets[text]
+            parts.append((h, text, low + shift, high + shift))
+        return tuple(map(np.concatenate, zip(*parts)))
     n = len(flat) - length + 1
     if n <= 0:
         return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
@@ -590,7 +638,8 @@ def with_removed(docs: DataFrame, length: int = LENGTH, text: bool = False) -> D
 
     Null counts as an empty text. Texts of fewer than `length` bytes keep all. Repeated rows are documents of their own
     and so copies of each other, from `length` bytes on. Matches don't cross documents. Grams of an anchor and copies of
-    a context are told apart by hashes of 64 and 128 bits; whether strings are equal is decided by sorting them."""
+    a context are told apart by hashes of 64 and 128 bits; strings that these or a hash of their symbols make neighbours are
+    compared byte by byte."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     spans = removed_spans(keyed, length)
     joined = keyed.join(spans, keys_equal(keyed, spans), "left").select(keyed["doc_id"], keyed["text"], spans["spans"])

@@ -260,3 +260,28 @@ def test_stages_keep_columns_named_like_their_own(spark):
     items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     assert decontaminate.without_contaminated(docs, items.where("false")).columns == docs.columns
     assert decontaminate.without_contaminated(docs, items).count() == 0
+
+
+def test_symbols_decide_where_hashes_agree(monkeypatch):
+    """With a hash that is the same for all strings, names and prefixes come from the symbols."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(b"ab", k=rng.randrange(0, 80))) for _ in range(30)]
+    right = [x.tolist() for x in suffixes.repeated(texts, 8)]
+    assert any(right)
+    monkeypatch.setattr(suffixes.Shard, "common", lambda self, order: np.full(len(order), self.cap, np.uint16))
+    found = [set(x.tolist()) for x in suffixes.repeated(texts, 8)]
+    assert all(f <= set(r) for f, r in zip(found, right))
+    monkeypatch.undo()
+    text = np.array([1, 2, 1, 2, 1, 3], np.int16)
+    assert suffixes.same_strings(text, np.array([0, 0, 1]), np.array([2, 2, 3]), np.array([3, 4, 1]), 2).tolist() == [True, False, True]
+    assert suffixes.same_windows(text, np.array([0, 0, 4]), np.array([2, 2, 0]), 3).tolist() == [True, True, False]
+    assert suffixes.same_windows(text, np.array([0, 1]), np.array([2, 2]), 4).tolist() == [False, False]
+
+
+def test_anchors_of_long_texts_are_found_in_parts():
+    rng = random.Random(9)
+    texts = [bytes(rng.choices(b"abc", k=k)) for k in (900, 0, 50, 1700, 300)]
+    flat, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    starts = lambda found: sorted((int(h), int(d), i) for h, d, a, b in zip(*found) for i in range(a, b + 1))
+    whole = suffixes.anchors(flat, offsets, 60)
+    assert starts(suffixes.anchors(flat, offsets, 60, 500)) == starts(whole) and len(whole[0])
