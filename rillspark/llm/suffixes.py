@@ -5,8 +5,8 @@ first, by recursion on the names of the strings between them, and all others are
 has a priority queue: suffixes with their common prefix lengths enter it in the order of what induced them, which is
 their own order, and leave it from the front. Queues move to disk when they hold too much; the text, types, names and
 LMS order of a shard stay in memory, so that shards are kept small. Common prefix lengths are carried along, so that
-neighbours that share `length` bytes are known when the last queue is read; as those of LMS positions come from hashes, the
-bytes of such neighbours are compared.
+neighbours that share `length` bytes are known when the last queue is read. Those of LMS positions come from hashes, and
+bytes are compared wherever a wrong one could make a string seem repeated.
 
 `with_removed` finds bytes in strings of `length` that start at more than one place in all documents. Each such string
 keeps an anchor, the gram with the smallest hash in it (the rightmost of equal ones); equal strings have equal anchors
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,7 @@ class Shard:
     def runs(self, at: np.ndarray) -> np.ndarray:
         return np.minimum(self.turn[at] - at + 1, self.cap)
 
+    @cached_property
     def hashes(self):
         power, inverse = powers(1 << max(21, self.n.bit_length()))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * power[: self.n])])
@@ -256,7 +258,7 @@ class Shard:
         following = np.full(self.n, 0)
         following[all_[:-1]] = all_[1:]
         length = following[order] - order + 1
-        h = self.hashes()(order, length)
+        h = self.hashes(order, length)
         new = np.concatenate([[True], (length[1:] != length[:-1]) | (h[1:] != h[:-1])])
         alike = np.flatnonzero(~new)  # equal hashes: the symbols decide
         new[alike] = ~same_strings(self.text, order[alike - 1], order[alike], length[alike])
@@ -271,7 +273,7 @@ class Shard:
         """Common prefix of each position with the one before it, up to cap, by binary search over hashes of prefixes."""
         if not len(order):
             return np.zeros(0, np.uint16)
-        h, a, b = self.hashes(), order[:-1], order[1:]
+        h, a, b = self.hashes, order[:-1], order[1:]
         end = self.stop[np.searchsorted(self.stop, order)] - order
         most = np.minimum(np.minimum(end[:-1], end[1:]), self.cap)
         low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
@@ -279,23 +281,32 @@ class Shard:
             mid = (low + high + 1) // 2
             same = h(a, mid) == h(b, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        for i in np.flatnonzero(~self.confirmed(a, b, low)):  # the hashes of different prefixes are equal
+            low[i] = int(np.flatnonzero(self.text[a[i] : a[i] + low[i]] != self.text[b[i] : b[i] + low[i]])[0])
         return np.concatenate([[0], low]).astype(np.uint16)
 
+    def confirmed(self, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Whether prefixes are equal, looked up in the text where it can matter: a common prefix of `cap` symbols is induced
+        from one that is less by the distance to an LMS position at most."""
+        far = int(np.diff(np.flatnonzero(self.lms), prepend=-1).max())
+        out = np.ones(len(a), bool)
+        whole, part = np.flatnonzero(common == self.cap), np.flatnonzero((common >= self.cap - far) & (common < self.cap) & (common > 0))
+        for i in range(0, len(whole), 1 << 14):
+            at = whole[i : i + (1 << 14)]
+            out[at] = same_windows(self.text, a[at], b[at], self.cap)
+        out[part] = same_strings(self.text, a[part], b[part], common[part])
+        return out
+
     def near(self, length: int) -> np.ndarray:
         """Whether each position's suffix shares `length` symbols with another suffix."""
         order = self.sorted_lms()
         found, previous = np.zeros(self.n, bool), None
         for at, common, _ in self.induce(order, self.common(order)):
             long = np.flatnonzero(common >= length)
-            before = at[long - 1]
-            if len(long) and long[0] == 0:
-                before[0] = at[0] if previous is None else previous
-            for i in range(0, len(long), 1 << 14):  # prefixes were compared by hashes: the symbols decide
-                a, b = at[long[i : i + (1 << 14)]], before[i : i + (1 << 14)]
-                same = (a != b) & (self.stop[np.searchsorted(self.stop, np.maximum(a, b))] - np.maximum(a, b) >= length)
-                same &= self.stop[np.searchsorted(self.stop, np.minimum(a, b))] - np.minimum(a, b) >= length
-                same &= same_windows(self.text, a, b, length)
-                found[a[same]] = found[b[same]] = True
+            found[at[long]] = True
+            found[at[long[long > 0] - 1]] = True
+            if previous is not None and common[0] >= length:
+                found[previous] = True
             previous = at[-1]
         return found
 
