@@ -29,7 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Code points on whose classes the regex module and the tokenizers library agree; texts with others are cut by the library.
 AGREED = r"\x00-՗Ḁ-ỿ‐-⁤₠-₿℀-⅏←-⏿─-➿　-ゖ゙-ヿ一-龥가-힣！-ﾾ\U0001f300-\U0001f64f"
 #: Slots of pre-tokens that a worker keeps; it forgets them all when there are more.
-MEMORY = 600_000
+MEMORY = 300_000
 
 
 def byte_letters() -> list[str]:
