@@ -93,21 +93,26 @@ def fit(texts: list[str], labels: list[int], min_docs: int = 8, l1: float = 7e-4
             found.extend(sorted(known))
             sizes.append(len(known))
             bag_of.append(i)
-    columns, bag, at = np.array(found, np.int32), np.array(bag_of, np.int32), len(sizes)
-    rows = np.repeat(np.arange(at, dtype=np.int32), np.array(sizes))
+    columns, bag, n = np.array(found, np.int32), np.array(bag_of, np.int32), np.array(sizes)
     del found
+    worded = np.flatnonzero(n)  # sentences with features, whose columns stand in a row
+    begins, rows = np.cumsum(n)[worded] - n[worded], np.repeat(np.arange(len(n), dtype=np.int32), n)
+    by_column = np.argsort(columns, kind="stable")
+    heads, of = np.cumsum(np.bincount(columns, minlength=len(vocabulary))), rows[by_column]
+    heads = np.concatenate([[0], heads[:-1]])
     w, b = np.zeros(len(vocabulary)), -4.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     share = y.mean()
     importance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
     for step in range(1, rounds + 1):
-        z = np.bincount(rows, w[columns], at) + b
+        z = np.full(len(n), b)
+        z[worded] += np.add.reduceat(w[columns], begins) if len(worded) else 0.0
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))
         full = np.clip(1 - none, 1e-9, 1)
         slope = importance * np.where(y == 1, none / full, -1.0)  # d log-likelihood / d(-log none)
         dz = slope[bag] * p
-        grad = np.append(l1 * np.tanh(20 * w) + l2 * w - np.bincount(columns, dz[rows], len(w)), -dz.sum())
+        grad = np.append(l1 * np.tanh(20 * w) + l2 * w - np.add.reduceat(dz[of], heads), -dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
