@@ -65,6 +65,7 @@ class Digests:
         self.lengths = np.frombuffer(data, "<i8", m, at := at + 8 * n + 8).tolist()
         self.block = np.frombuffer(data, np.uint8, n, at := at + 8 * m)
         self.text = at + n
+        self.longest = int(np.diff(self.ends).max(initial=0))  # in bytes, so that no rule has more characters
 
     def stored(self, k: int) -> str:
         return self.data[self.text + int(self.ends[k]) : self.text + int(self.ends[k + 1])].decode()
@@ -102,7 +103,7 @@ def judge(urls: list[str | None], d: Digests, default: str = "allow") -> list[tu
     split = list(map(parts, urls))
     strings, owners = [], []
     for i, (host, path) in enumerate(split):
-        at = 0
+        at = 0 if len(host) <= d.longest else host.find(".", len(host) - d.longest - 1) + 1 or -1  # no rule fits a longer end
         while host and at >= 0:
             suffix = host[at:]
             for n in d.lengths:

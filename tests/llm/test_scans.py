@@ -299,6 +299,17 @@ def test_urls(spark):
     assert urls.with_verdicts(rows.where("false")).count() == 0
 
 
+def test_hosts_of_many_labels_take_linear_time(tmp_path):
+    path = str(tmp_path / "d")
+    urls.save(urls.RULES, path)
+    d, began = urls.Digests(path), time.time()
+    url = "http://" + "a." * 500_000 + "example.com/en/"
+    assert urls.judge([url], d)[0][2:] == plain_verdict(url)[2:] == ("example.com/en/", "block") and time.time() - began < 3
+    for n in range(40):
+        url = f"http://{'b' * n}.example.com/en/x"
+        assert urls.judge([url], d)[0] == plain_verdict(url)
+
+
 def test_collisions_are_confirmed(tmp_path):
     path = str(tmp_path / "d")
     urls.save([("com/", "block"), ("net/", "allow")], path)
