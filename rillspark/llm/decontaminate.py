@@ -54,7 +54,7 @@ def steps_of(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     last = np.full(1 << ROW, base, np.uint64)
     last[0] = 1
     last = np.multiply.accumulate(last)
-    high = np.full((n >> ROW) + 1, last[-1] * base, np.uint64)
+    high = np.full((n >> ROW) + 1, (last[-1:] * base)[0], np.uint64)
     high[0] = 1
     return np.multiply.accumulate(high), last
 
