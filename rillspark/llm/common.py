@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rillspark.session import workers_find_us
 
-__all__ = ["col", "forget", "fresh", "raw_bytes", "shared_dir", "slices", "table", "temporary", "text_or_empty", "workers_find_us", "written"]
+__all__ = ["col", "forget", "fresh", "later", "raw_bytes", "shared_dir", "slices", "table", "temporary", "text_or_empty", "workers_find_us", "written"]
 
 #: Tables written inside `temporary`, a list for each that is open.
 OPEN: list[list[str]] = []
@@ -58,6 +58,12 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def later(paths: list[str]) -> None:
+    """Tables whose path was kept go with those of the open `temporary` block after all."""
+    if OPEN:
+        OPEN[-1] += paths
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that operators write inside are deleted at its end; what they return must be used up or written before."""

@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.llm.common import col, fresh, slices, table, workers_find_us, written
+from rillspark.llm.common import col, forget, fresh, later, slices, table, temporary, workers_find_us, written
 
 BITS, BUDGET, SHINGLE, SEED = 64, 2, 3, 42
 #: First bit and width of each block.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 #: Node pairs that are taken down together; more are put off, so that memory stays bounded.
 FRONT = 1 << 19
+#: Edges from which on a node may have more of them than a task should.
+MANY = 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -143,16 +145,19 @@ def links(nodes: DataFrame) -> DataFrame:
     return places.mapInArrow(join, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 60, many: int = MANY) -> DataFrame:
     """node, root (the smallest node reachable) of each node with an edge (a, b), root left out.
 
-    Alternating large and small stars, until nothing changes; every round is a written table, so that no lineage grows."""
+    Alternating large and small stars, until nothing changes; every round is a written table, so that no lineage grows, and
+    the one before is deleted. The smallest neighbours of more than `many` edges are written too: Spark splits a join at a
+    node of very many edges only where both sides are plain shuffles. A round about halves the longest path, so that `most`
+    rounds are enough for any number of nodes; if not, an error is raised."""
     spark = edges.sparkSession
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, hold) -> DataFrame:
         """Each node's neighbours (large: the larger ones; else the smaller ones and itself) joined to its smallest."""
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = hold(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
         joined = both.join(least, "a")
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -163,12 +168,18 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    last: list[str] = []
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges", last)
     before = state(now)
     for _ in range(most):
-        now = written(star(star(now, True), False), "stars")
-        after = state(now)
+        hold = written if before[0] > many else lambda df, name: df
+        kept: list[str] = []
+        with temporary(spark):
+            new = written(star(hold(star(now, True, hold), "large-star"), False, hold), "stars", kept)
+        forget(spark, last)
+        now, last, after = new, kept, state(new)
         if after == before:
+            later(last)
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = after
     raise RuntimeError(f"components did not settle in {most} rounds")
@@ -186,7 +197,7 @@ def with_components(docs: DataFrame) -> DataFrame:
     roots = components(links(nodes))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lowest")
     classes = rooted.join(lowest, "root").select("fp", "root", "component_id")
     return base.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 

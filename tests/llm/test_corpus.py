@@ -284,3 +284,21 @@ def test_anchors_of_long_texts_are_found_in_parts():
     starts = lambda found: sorted((int(h), int(d), i) for h, d, a, b in zip(*found) for i in range(a, b + 1))
     whole = suffixes.anchors(flat, offsets, 60)
     assert starts(suffixes.anchors(flat, offsets, 60, 500)) == starts(whole) and len(whole[0])
+
+
+@pytest.mark.parametrize("many", [0, 1 << 20])
+def test_components_of_stars_and_paths(spark, many):
+    rng = random.Random(6)
+    edges = [(1000, i) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(70)] + [(rng.randrange(4000, 4060), rng.randrange(4000, 4060)) for _ in range(40)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), many=many).collect()}
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    assert found == {x: top(x) for e in edges for x in e if top(x) != x}
