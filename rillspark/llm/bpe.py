@@ -188,8 +188,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of pre-tokens, each worked out once per worker: slot s holds ids[starts[s] : starts[s] + lengths[s]]."""
 
-    def __init__(self, path: str):
-        self.vocabulary = vocabulary(path)
+    def __init__(self, path: str, held: int = MEMORY):
+        self.vocabulary, self.held = vocabulary(path), held
         self.digits = np.frombuffer("".join(f"{k}," for k in range(len(self.vocabulary.bytes))).encode(), np.uint8)
         self.digit_lengths = np.array([len(str(k)) + 1 for k in range(len(self.vocabulary.bytes))])
         self.digit_starts = np.cumsum(self.digit_lengths) - self.digit_lengths
@@ -216,7 +216,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text's."""
         tokens = [self.vocabulary.pre_tokens(t) for t in texts]
-        if len(self.slots) > MEMORY:
+        if len(self.slots) > self.held:
             self.forget()
         new = {w for x in tokens for w in x}.difference(self.slots)
         if new:
@@ -236,8 +236,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, held: int = MEMORY) -> Encoder:
+    return Encoder(path, held)
 
 
 def default_path() -> str:
@@ -246,9 +246,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def with_ids(docs: DataFrame, path: str | None = None, extra: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def with_ids(docs: DataFrame, path: str | None = None, extra: bool = False, keep: tuple[str, ...] = (), held: int = MEMORY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text), with `extra` the ids and the decoded
-    text, and the columns of docs named by `keep`. Null is encoded as an empty text, which has no ids; repeated rows are each answered; a text is
+    text, and the columns of docs named by `keep`. held: pre-tokens that a worker keeps, all for as long as it lives, or fewer
+    for one task, where other stages' workers need the room. Null is encoded as an empty text, which has no ids; repeated rows are each answered; a text is
     encoded whole, however long. No row leaves its partition."""
     workers_find_us(docs.sparkSession)
     path = path or default_path()
@@ -256,10 +257,10 @@ def with_ids(docs: DataFrame, path: str | None = None, extra: bool = False, keep
     kinds += [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.string(), "string")] if extra else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, held)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 2 << 20 if held >= MEMORY else 1 << 20):
                 ids, counts = e.encode([t or "" for t in part["text"].to_pylist()])
                 chars = np.concatenate([[0], np.cumsum(e.char_lengths[ids])])
                 digits = np.concatenate([[0], np.cumsum(e.digit_lengths[ids])])
@@ -272,6 +273,8 @@ def with_ids(docs: DataFrame, path: str | None = None, extra: bool = False, keep
                 columns += [[ids[a:b] for a, b in cuts], texts] if extra else []
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k, _) in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([*arrays, *(part[f"keep{i}"] for i in range(len(keep)))], names=[*(n for n, _, _ in kinds), *keep])
+        if held < MEMORY:
+            e.forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", *(col(c).alias(f"keep{i}") for i, c in enumerate(keep)))
     schema = StructType.fromDDL(", ".join(f"{n} {s}" for n, _, s in kinds))

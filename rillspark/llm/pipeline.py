@@ -36,7 +36,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids and the texts that they decode to again, with digests of both, language and source."""
-    return bpe.with_ids(docs.select(*COLUMNS), extra=True, keep=("lang", "source"))
+    return bpe.with_ids(docs.select(*COLUMNS), extra=True, keep=("lang", "source"), held=100_000)
 
 
 STAGES = [
