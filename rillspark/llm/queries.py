@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rillspark.llm import align, bpe, decontaminate, divergence, lm_score, pipeline, quality, secrets, simhash, suffixes, toxicity, urls
+from rillspark.llm import align, bpe, decontaminate, divergence, lm_score, pipeline, quality, secrets, simhash, suffixes, toxicity, urls, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": bpe.op10,
         "op11_source_divergence": divergence.op11,
         "op12_tokenizer_alignment": align.op12,
+        "op13_html_extraction": wrappers.op13,
         "pipeline": pipeline.run,
     }
 
