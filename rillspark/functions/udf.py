@@ -21,10 +21,11 @@ from functools import lru_cache, reduce
 from operator import and_
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rillspark.types import loosened, members, resolve
 
@@ -65,9 +66,7 @@ def typed(value: Any, annotation: Any) -> Any:
     """A row as the struct the annotation names."""
     if annotation is None or value is None:
         return value
-    if isinstance(value, float) and int in (annotation, *typing.get_args(annotation)) and float not in (annotation, *typing.get_args(annotation)):
-        return int(value)  # pandas holds integers with nulls as floats
-    if (fields := members(annotation)) is not None and isinstance(value, (dict, pd.Series)):
+    if (fields := members(annotation)) is not None and isinstance(value, dict):
         return annotation(**{n: typed(value[n], t) for n, t in fields})
     if typing.get_origin(annotation) is list and not isinstance(value, str):
         return [typed(v, typing.get_args(annotation)[0]) for v in value]
@@ -131,15 +130,16 @@ class Operator:
 
     def udf(self):
         make, options, optional, kinds, name = self.make, self.options, self.optional, self.kinds, self.name
-        names = self.returns.data_type.names if isinstance(self.returns.data_type, T.StructType) else None
+        kind = loosened(self.returns.data_type)
+        arrow = to_arrow_type(kind)
 
-        @F.pandas_udf(loosened(self.returns.data_type))
-        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        @F.arrow_udf(kind)
+        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             fn = make()
             most = options.max_batch_size or 1 << 30
             for given in batches:
                 columns = given if isinstance(given, tuple) else (given,)
-                rows = [tuple(None if is_null(v) else v for v in r) for r in zip(*(values(c) for c in columns))]
+                rows = list(zip(*(values(c) for c in columns)))
                 live = [i for i, r in enumerate(rows) if all(o or v is not None for v, o in zip(r, optional))]
                 out: list[Any] = [None] * len(rows)
                 args = [tuple(typed(v, k) for v, k in zip(rows[i], kinds)) for i in live]
@@ -150,17 +150,15 @@ class Operator:
                         found = runs_before(options.timeout * max(1, len(args)), name, lambda args=args: [fn(*a) for a in args])
                     for i, x in zip(live, found):
                         out[i] = plain(x)
-                yield pd.DataFrame([r or dict.fromkeys(names) for r in out], columns=names) if names else pd.Series(out, dtype=object)
+                yield pa.array(out, arrow)
 
         return run.asNondeterministic()  # evaluated once, also where filters are inferred from its result
 
 
-def values(column) -> list:
-    return column.to_dict("records") if isinstance(column, pd.DataFrame) else column.tolist()
-
-
-def is_null(v: Any) -> bool:
-    return v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA
+def values(column: pa.Array) -> list:
+    """What a function gets: nulls as None, integers whole, not-a-number as it is in nested values and as None by itself."""
+    found = column.to_pylist(maps_as_pydicts="lossy")
+    return [None if v != v else v for v in found] if pa.types.is_floating(column.type) else found
 
 
 def camel(name: str) -> str:

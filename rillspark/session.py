@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -39,3 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
+
+
+def for_batches(df: DataFrame, use: Callable[[Iterator[list[dict[str, Any]]]], None]) -> int:
+    """Hands each task's rows to use, as batches of dicts whose values are what they were: integers beside nulls stay
+    integers, and so do those in structs and lists. How many rows there were is returned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+
+        def rows() -> Iterator[list[dict[str, Any]]]:
+            nonlocal n
+            for b in batches:
+                if b.num_rows:
+                    n += b.num_rows
+                    yield b.to_pylist(maps_as_pydicts="lossy")
+
+        use(rows())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.mapInArrow(run, "n bigint").agg({"n": "sum"}).first()[0] or 0

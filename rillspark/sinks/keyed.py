@@ -1,17 +1,24 @@
-"""Keyed targets in a folder: Parquet in buckets by key, and a state that says which versions of each bucket count.
+"""Keyed targets in a folder: Parquet in buckets by key, and a state that says which writes of it count.
 
-An update appends what it changes, rows and marks of deleted ones, as a new version, and then commits by one small file;
-until then readers see the old state. Reading keeps the latest version of each owner's row. A bucket with many versions
-is compacted to one, and when buckets grow too large their number does, so that the cost of an update follows what it
-changes. Rows of several owners may share a key; readers get that of the latest update, of two from one update that of the
-larger owner.
+A writer puts what it changes, rows and marks of deleted ones, into a folder of its own attempt and then commits by the next
+number of one small file, which only one writer can make. Whoever finds the number taken looks at what was committed since:
+where that has none of the same keys, it commits its attempt after it; else it fails and nothing has changed. Readers see
+the attempts of one state, in the order of their versions, and keep the latest version of each owner's row; of rows with
+ordinals that with the largest, whenever it came, so that late changes change nothing and marks of deleted rows stay. A
+bucket with many versions is compacted to one, and when buckets grow too large their number does, so that the cost of an
+update follows what it changes. Attempts that are replaced stay for one more compaction, for readers of the state before.
+Rows of several owners may share a key; readers get that of the latest update, of two from one update that of the larger
+owner.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +27,16 @@ from pyspark.sql import types as T
 #: Versions of a bucket from which on it is compacted, and rows of a bucket, on average, above which there are four times
 #: as many.
 DELTAS, LARGE = 6, 4_000_000
-OWN = ["_key", "_source", "_owner", "_version", "_fp", "_deleted"]
+OWN = ["_key", "_source", "_owner", "_version", "_ordinal", "_fp", "_deleted"]
+#: Age in seconds of an attempt that no state names, after which a compaction takes it away: its writer has gone.
+LEFT = 86_400
+#: Owners that a read is told by name, so that files and row groups without them aren't read.
+NAMED = 500
+LAST = 2**63 - 1
+
+
+class Conflict(OSError):
+    """Another writer has committed what this one was to change."""
 
 
 class Folder:
@@ -29,43 +45,70 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.jvm = spark.sparkContext._jvm
         self.path = path.rstrip("/")
-        self.fs = self.at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.at("").getFileSystem(self.conf)
 
     def at(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def names(self, name: str = "") -> list[str]:
+        return [f.getPath().getName() for f in self.fs.listStatus(self.at(name))] if self.fs.exists(self.at(name)) else []
+
     def numbered(self, name: str) -> dict[int, str]:
         """The files that hold the states of `name`, by number."""
-        if not self.fs.exists(self.at("")):
-            return {}
-        files = (f.getPath().getName() for f in self.fs.listStatus(self.at("")))
-        return {int(m[1]): f for f in files if (m := re.fullmatch(rf"{re.escape(name)}-(\d+)\.json", f))}
+        return {int(m[1]): f for f in self.names() if (m := re.fullmatch(rf"{re.escape(name)}-(\d+)\.json", f))}
 
-    def read(self, name: str) -> dict | None:
-        """The latest state of `name`."""
+    def numbered_state(self, name: str) -> tuple[int, dict | None]:
+        """The number of the latest state of `name` and the state; 0 and None before the first."""
         found = self.numbered(name)
         if not found:
-            return None
+            return 0, None
         stream = self.fs.open(self.at(found[max(found)]))
         try:
-            return json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+            return max(found), json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
-    def write(self, name: str, value: dict) -> None:
-        """The next state of `name`, whole or not at all: written beside and renamed to a number that has no file, so that
-        the one before counts until then, and of two writers one fails."""
+    def read(self, name: str) -> dict | None:
+        """The latest state of `name`."""
+        return self.numbered_state(name)[1]
+
+    def write(self, name: str, value: dict, after: int | None = None) -> int:
+        """The next state of `name`, or that after the one that was read, whole or not at all: written beside and moved to a
+        number that has no file, so that the one before counts until then, and of two writers one fails."""
         found = self.numbered(name)
-        number, beside = max(found, default=0) + 1, self.at(f".{name}.{uuid.uuid4().hex}")
+        number, beside = (max(found, default=0) if after is None else after) + 1, self.at(f".{name}.{uuid.uuid4().hex}")
         stream = self.fs.create(beside, True)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
-        to = self.at(f"{name}-{number}.json")
-        if self.fs.exists(to) or not self.fs.rename(beside, to):
-            raise OSError(f"{name}: another update has written state {number}")
+        if number <= max(found, default=0) or not self.moved(beside, self.at(f"{name}-{number}.json")):
+            self.fs.delete(beside, False)
+            raise Conflict(f"{name}: another update has written state {number}")
         for n, f in found.items():
             if n < number - 1:
                 self.fs.delete(self.at(f), False)
+        return number
+
+    def moved(self, beside, to) -> bool:
+        """Whether the file got a name that had none. Local files get it by a link and others by a move that doesn't replace,
+        each of which the file system grants to one writer."""
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                path = lambda p: self.jvm.java.io.File(p.toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(path(to), path(beside))
+                self.fs.delete(beside, False)
+            else:
+                options = self.jvm.org.apache.hadoop.fs.Options
+                kinds = self.jvm.java.lang.reflect.Array.newInstance(options.Rename.NONE.getClass(), 1)
+                kinds[0] = options.Rename.NONE
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(beside, to, kinds)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
@@ -79,39 +122,64 @@ def row_fp(columns: list[str]) -> Column:
     return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})) if columns else F.lit("")
 
 
+def any_of(column: str, values: list[str]) -> Column:
+    """The column is one of values, as equalities that reach the files' Bloom filters."""
+    found = sorted(set(values))
+    return reduce(or_, [F.col(column) == v for v in found]) if found else F.lit(False)
+
+
 class KeyedTarget:
-    """One target: its rows with `_key`, `_source`, `_owner`, `_version` (the update that wrote them) and `_fp` (their values'
-    hash). buckets: how many to begin with; by default as many as a shuffle has partitions."""
+    """One target: its rows with `_key`, `_source`, `_owner`, `_version` (the update that wrote them), `_ordinal` (null where
+    there is none) and `_fp` (their values' hash). buckets: how many to begin with; by default as many as a shuffle has
+    partitions."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
         self.spark, self.folder, self.keys, self.first = spark, Folder(spark, path), keys, buckets
 
+    def numbered_state(self) -> tuple[int, dict]:
+        number, state = self.folder.numbered_state("state")
+        return number, state or {"version": 0, "buckets": self.first or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "base": [], "deltas": [], "rows": [], "schema": None, "attempts": {}, "replaced": []}
+
     def state(self) -> dict:
-        """base: of each bucket the version that holds all of it; deltas: how many came after; rows: how many were written."""
-        return self.folder.read("state") or {"version": 0, "buckets": self.first or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "base": [], "deltas": [], "rows": [], "schema": None}
+        """base: of each bucket the version that holds all of it; deltas: how many came after; rows: how many were written;
+        attempts: the version of each; replaced: those that the last compaction has made needless."""
+        return self.numbered_state()[1]
 
     def written(self, state: dict, only: list[int] | None = None) -> DataFrame:
         """What counts of all versions, marks of deleted rows included."""
-        schema = T.StructType([*T.StructType.fromJson(state["schema"]), T.StructField("_v", T.LongType()), T.StructField("_bucket", T.IntegerType())])
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder.path}/rows").where(F.col("_v") <= state["version"])
-        if len(set(state["base"])) > 1:
-            rows = rows.where(F.col("_v") >= F.get(F.lit(state["base"]), F.col("_bucket")))
-        else:
-            rows = rows.where(F.col("_v") >= state["base"][0])
-        return rows if only is None else rows.where(F.col("_bucket").isin(only))
+        schema = T.StructType.fromJson(state["schema"])
+        if not state["attempts"]:
+            return self.spark.createDataFrame([], T.StructType([*schema, T.StructField("_bucket", T.IntegerType())]))
+        schema = T.StructType([*schema, T.StructField("_a", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+        top = f"{self.folder.path}/rows"
+        rows = self.spark.read.schema(schema).option("basePath", top).parquet(*(f"{top}/_a={a}" for a in state["attempts"]))
+        version = F.element_at(F.create_map(*(F.lit(x) for a, v in state["attempts"].items() for x in (a, v))), F.col("_a")).cast("bigint")
+        base = F.get(F.lit(state["base"]), F.col("_bucket")) if len(set(state["base"])) > 1 else F.lit(state["base"][0])
+        rows = rows.where(version >= base)  # of partition columns alone: other files aren't listed for the scan
+        if only is not None:
+            rows = rows.where(F.col("_bucket").isin(only))
+        return rows.withColumn("_version", F.coalesce("_version", version)).drop("_a")
 
-    def rows(self, only: list[int] | None = None) -> DataFrame | None:
-        """The latest row of each key and owner, of some buckets or all; None before the first update."""
+    def rows(self, only: list[int] | None = None, columns: list[str] | None = None, owners: list[tuple[str, str]] | None = None) -> DataFrame | None:
+        """The latest row of each key and owner, of some buckets or all; None before the first update. columns: those of the
+        values that are wanted, so that no others are read. owners: (source, owner) whose rows are wanted, few enough to be
+        named; files and row groups that have none of them are not read."""
         state = self.state()
-        return None if state["schema"] is None else self.latest(state, only)
+        return None if state["schema"] is None else self.latest(state, only, columns, owners)
 
-    def latest(self, state: dict, only: list[int] | None = None) -> DataFrame:
-        rows = self.written(state, only).drop("_v")
-        if any(state["deltas"][b] for b in (range(state["buckets"]) if only is None else only)):
+    def latest(self, state: dict, only: list[int] | None = None, columns: list[str] | None = None, owners: list[tuple[str, str]] | None = None, marks: bool = False) -> DataFrame:
+        rows = self.written(state, only)
+        if columns is not None:
+            rows = rows.select(*columns, *OWN, "_bucket")
+        if owners is not None:
+            rows = rows.where(any_of("_owner", [o for _, o in owners])).where(F.col("_source").isin(sorted({s for s, _ in owners})))
+        if state.get("ordinals") or any(state["deltas"][b] for b in (range(state["buckets"]) if only is None else only)):
             keys = ["_key", "_source", "_owner"]
             rest = [c for c in rows.columns if c not in keys]
-            rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_version").alias("r")).select(*keys, "r.*")
-        return rows.where("NOT _deleted").drop("_deleted", "_bucket")
+            has = F.col("_ordinal").isNotNull()  # of one ordinal the first version counts, without any the last
+            order = F.struct(F.coalesce("_ordinal", F.lit(LAST)), F.when(has, -F.col("_version")).otherwise(F.col("_version")), "_fp")
+            rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+        return rows.drop("_bucket") if marks else rows.where("NOT _deleted").drop("_deleted", "_bucket")
 
     def read(self) -> DataFrame:
         rows = self.rows()
@@ -121,34 +189,70 @@ class KeyedTarget:
         best = F.max_by(F.struct(*columns), F.struct("_version", "_source", "_owner"))
         return rows.groupBy("_key").agg(best.alias("r")).select("r.*") if columns else rows.select()
 
-    def put(self, rows: DataFrame, version: int, buckets: int) -> dict[int, int]:
-        """Rows written as a version: how many each bucket got."""
-        path = f"{self.folder.path}/rows/_v={version}"
-        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
-        dealt.repartition(buckets, "_bucket").write.partitionBy("_bucket").mode("overwrite").parquet(path)
-        if not any(f.isDirectory() for f in self.folder.fs.listStatus(self.folder.at(f"rows/_v={version}"))):
+    def put(self, rows: DataFrame, attempt: str, buckets: int) -> dict[int, int]:
+        """Rows written as an attempt, in order of owner and with Bloom filters of it: how many each bucket got."""
+        path = f"{self.folder.path}/rows/_a={attempt}"
+        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")).repartition(buckets, "_bucket")
+        writer = dealt.sortWithinPartitions("_bucket", "_source", "_owner").write.partitionBy("_bucket").option("parquet.bloom.filter.enabled#_owner", "true").option("parquet.bloom.filter.expected.ndv#_owner", "100000")
+        writer.mode("errorifexists").parquet(path)
+        if not any(f.isDirectory() for f in self.folder.fs.listStatus(self.folder.at(f"rows/_a={attempt}"))):
             return {}
         counts = self.spark.read.schema("_bucket int").option("basePath", path).parquet(path).groupBy("_bucket").count()
         return {r["_bucket"]: r["count"] for r in counts.collect()}
 
-    def merge(self, upserts: DataFrame, gone: DataFrame) -> int:
+    def merge(self, upserts: DataFrame, gone: DataFrame, ordinal: str | None = None) -> int:
         """Rows of gone (`_key`, `_source`, `_owner`) go, then upserts (columns, `_source`, `_owner`) take the place of
-        their owner's rows of the same key. Of equal keys of one owner one stays. The new version is returned."""
-        state, keys = self.state(), ["_key", "_source", "_owner"]
-        version, n = state["version"] + 1, state["buckets"]
+        their owner's rows of the same key. Of equal keys of one owner one stays. The new version is returned. ordinal: a
+        column of both that says how new a change is; of one key and owner the newest counts, whatever came before."""
+        keys = ["_key", "_source", "_owner"]
         values = [c for c in upserts.columns if c not in ("_source", "_owner")]
-        upserts = upserts.withColumn("_fp", row_fp(values)).withColumn("_key", key_json(self.keys)).dropDuplicates(keys).withColumn("_deleted", F.lit(False))
-        marks = gone.select(*keys).distinct().join(upserts.select(*keys), keys, "left_anti").withColumn("_deleted", F.lit(True))
-        if state["schema"] is None:
-            marks = marks.where("false")
-        rows = upserts.unionByName(marks, allowMissingColumns=True).withColumn("_version", F.lit(version).cast("bigint"))
-        rows = rows.select(*values, *OWN)
-        counts = self.put(rows, version, n)
+        of = lambda df: df.withColumn("_ordinal", (F.col(ordinal) if ordinal else F.lit(None)).cast("bigint"))
+        upserts = of(upserts).withColumn("_fp", row_fp(values)).withColumn("_key", key_json(self.keys)).withColumn("_deleted", F.lit(False))
+        marks = of(gone).select(*keys, "_ordinal").withColumn("_deleted", F.lit(True))
+        number, state = self.numbered_state()
+        if ordinal:
+            both = upserts.unionByName(marks, allowMissingColumns=True)
+            rest = [c for c in both.columns if c not in keys]
+            newest = F.struct(F.coalesce("_ordinal", F.lit(LAST)), ~F.col("_deleted"), "_fp")
+            rows = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("r")).select(*keys, "r.*")
+        else:
+            upserts, marks = upserts.dropDuplicates(keys), marks.distinct().join(upserts.select(*keys), keys, "left_anti")
+            rows = upserts.unionByName(marks if state["schema"] else marks.where("false"), allowMissingColumns=True)
+        rows = rows.withColumn("_version", F.lit(None).cast("bigint")).select(*values, *OWN)
+        attempt = uuid.uuid4().hex
+        counts = self.put(rows, attempt, state["buckets"])
         if not counts:
-            self.folder.delete(f"rows/_v={version}")
+            self.folder.delete(f"rows/_a={attempt}")
             if state["schema"] is not None:
                 return state["version"]
         fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema]
+        return self.commit(number, state, attempt, counts, fields, bool(ordinal))
+
+    def commit(self, number: int, state: dict, attempt: str, counts: dict[int, int], fields: list[T.StructField], ordinals: bool) -> int:
+        """The attempt after the state that it was made for, or after what others have committed since, if that has none of
+        its keys."""
+        while True:
+            new = self.after(state, attempt, counts, fields, ordinals)
+            try:
+                number = self.folder.write("state", new, number)
+                break
+            except Conflict:
+                number, now = self.numbered_state()
+                if counts and (now["buckets"] != state["buckets"] or (not ordinals and self.meets(attempt, state, now))):
+                    self.folder.delete(f"rows/_a={attempt}")
+                    raise
+                state = now
+        try:
+            if sum(new["rows"]) > LARGE * new["buckets"]:
+                self.compact(number, new, list(range(new["buckets"])), 4 * new["buckets"])
+            elif full := [b for b, d in enumerate(new["deltas"]) if d >= DELTAS]:
+                self.compact(number, new, full)
+        except Conflict:
+            pass  # whoever came between finds the same bucket full
+        return new["version"]
+
+    def after(self, state: dict, attempt: str, counts: dict[int, int], fields: list[T.StructField], ordinals: bool) -> dict:
+        version, n = state["version"] + 1, state["buckets"]
         if state["schema"] is None:
             base, deltas, size = [version] * n, [0] * n, [counts.get(b, 0) for b in range(n)]
         else:
@@ -156,46 +260,62 @@ class KeyedTarget:
             fields = [f for f in old if f.name not in {x.name for x in fields}] + fields
             base, deltas = state["base"], [d + (b in counts) for b, d in enumerate(state["deltas"])]
             size = [x + counts.get(b, 0) for b, x in enumerate(state["rows"])]
-        state = {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue()}
-        self.folder.write("state", state)
-        if sum(size) > LARGE * n:
-            self.compact(state, list(range(n)), 4 * n)
-        elif full := [b for b, d in enumerate(deltas) if d >= DELTAS]:
-            self.compact(state, full)
-        return version
-
-    def compact(self, state: dict, some: list[int], buckets: int | None = None, rows: DataFrame | None = None) -> None:
-        """Some buckets as one version each, or all of them as another number of buckets or with other rows."""
-        version, n = state["version"] + 1, buckets or state["buckets"]
-        rows = self.latest(state, None if len(some) == state["buckets"] else some) if rows is None else rows
-        counts = self.put(rows.withColumn("_deleted", F.lit(False)), version, n)
+        attempts = state["attempts"] | ({attempt: version} if counts else {})
+        return {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue(), "attempts": attempts, "replaced": state["replaced"], "ordinals": bool(state.get("ordinals") or ordinals)}
+
+    def meets(self, attempt: str, before: dict, now: dict) -> bool:
+        """Whether what was committed since has keys of the attempt."""
+        since = [a for a, v in now["attempts"].items() if v > before["version"]]
+        if not set(before["attempts"]) <= set(now["attempts"]):  # compacted, so that they can't be told apart
+            return True
+        top = f"{self.folder.path}/rows"
+        keys = lambda names: self.spark.read.schema("_key string").option("basePath", top).parquet(*(f"{top}/_a={a}" for a in names)).select("_key")
+        return bool(since) and not keys([attempt]).join(keys(since), "_key", "left_semi").isEmpty()
+
+    def compact(self, number: int, state: dict, some: list[int], buckets: int | None = None, rows: DataFrame | None = None) -> None:
+        """Some buckets as one version each, or all of them as another number of buckets or with other rows. Rows with
+        ordinals keep their marks of deletion, so that changes which come later still find them."""
+        version, n, attempt = state["version"] + 1, buckets or state["buckets"], uuid.uuid4().hex
+        if rows is None:
+            rows = self.latest(state, None if len(some) == state["buckets"] else some, marks=True)
+            rows = rows if state.get("ordinals") else rows.where("NOT _deleted")
+        elif "_deleted" not in rows.columns:
+            rows = rows.withColumn("_deleted", F.lit(False))
+        counts = self.put(rows, attempt, n)
         if n != state["buckets"]:
             base, deltas, size = [version] * n, [0] * n, [counts.get(b, 0) for b in range(n)]
         else:
             at = set(some)
             base, deltas = [version if b in at else x for b, x in enumerate(state["base"])], [0 if b in at else x for b, x in enumerate(state["deltas"])]
             size = [counts.get(b, 0) if b in at else x for b, x in enumerate(state["rows"])]
-        fields = [T.StructField(f.name, f.dataType, True) for f in rows.withColumn("_deleted", F.lit(False)).schema]
-        self.folder.write("state", {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue()})
+        fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema]
+        attempts = {a: v for a, v in state["attempts"].items() if v >= min(base)} | ({attempt: version} if counts else {})
+        replaced = [a for a in state["attempts"] if a not in attempts]
+        made = {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue(), "attempts": attempts, "replaced": replaced, "ordinals": bool(state.get("ordinals"))}
+        try:
+            self.folder.write("state", made, number)
+        except Conflict:
+            self.folder.delete(f"rows/_a={attempt}")
+            raise
+        self.sweep(attempts, replaced, state["replaced"])
+
+    def sweep(self, attempts: dict[str, int], replaced: list[str], before: list[str]) -> None:
+        """Deletes what the compaction before has replaced, and attempts of writers that have gone."""
+        old = (time.time() - LEFT) * 1000
         for f in self.folder.fs.listStatus(self.folder.at("rows")):
-            name = f.getPath().getName()
-            v = int(name.split("=")[1]) if name.startswith("_v=") else version
-            if v < min(base):
-                self.folder.delete(f"rows/{name}")
-            elif v < version:
-                for b in some:
-                    if v < base[b]:
-                        self.folder.delete(f"rows/{name}/_bucket={b}")
+            name = f.getPath().getName().removeprefix("_a=")
+            if name in before or (name not in attempts and name not in replaced and f.getModificationTime() < old):
+                self.folder.delete(f"rows/_a={name}")
 
     def evolve(self, schema: T.StructType) -> None:
         """Drop, add and retype value columns; the keys stay."""
-        state = self.state()
+        number, state = self.numbered_state()
         if state["schema"] is None:
             return
         rows = self.latest(state)
         own = [c for c in OWN if c != "_deleted"]
         cols = [(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
-        self.compact(state, list(range(state["buckets"])), rows=rows.select(*cols, *own))
+        self.compact(number, state, list(range(state["buckets"])), rows=rows.select(*cols, *own))
 
     def drop(self) -> None:
         self.folder.delete("")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillspark.session import for_batches
 from rillspark.sinks.targets import HnswVectorIndexMethod, IvfFlatVectorIndexMethod, JdbcTable, VectorIndexDef
 
 Changes = list[tuple[dict, dict | None]]
+#: Steps that take a resource's rows away.
+DROPS = re.compile(r"\bDROP (NODE |REL )?TABLE\b|\bDELETE\b|delete_collection|delete_index|drop_table")
 
 
 def plain(v: Any) -> Any:
-    """A value of a pandas row as JSON takes it."""
+    """A value of a row as JSON takes it."""
     if isinstance(v, np.ndarray | list | tuple):
         return [plain(x) for x in v]
     if isinstance(v, np.generic):
@@ -74,6 +78,14 @@ class Store:
     def change(self, old: dict | None, new: dict | None) -> list[Any]:
         raise NotImplementedError
 
+    def place(self) -> str | None:
+        """The name of the resource in its store; None for that of the export."""
+        return next((getattr(self, n) for n in ("table", "collection", "index") if isinstance(getattr(self, n, None), str)), None)
+
+    def rebuilds(self, old: dict | None, new: dict | None) -> bool:
+        """Whether a change of description takes the resource's rows away, so that all have to be sent again."""
+        return bool(old and new and old != new) and any(DROPS.search(str(s)) for s in self.change(old, new))
+
     def run(self, client: Any, steps: list[Any]) -> None:
         """Steps are (method, arguments) of the client."""
         for method, arguments in steps:
@@ -95,15 +107,14 @@ class Store:
         names = [c for c in rows.columns if c not in {*keys, "_deleted"}]
         old = self.needs_old
 
-        def run(parts):
+        def use(parts: Iterator[list[dict]]) -> None:
             client = connect()
-            for p in parts:
-                records = [{c: plain(v) for c, v in r.items()} for r in p.to_dict("records")]
+            for rows in parts:
+                records = [{c: plain(v) for c, v in r.items()} for r in rows]
                 gone = lambda r: {n: r[n] for n in names} | {"_gone": True} if old else None
                 mutate(client, [({k: r[k] for k in keys}, gone(r) if r["_deleted"] else {n: r[n] for n in names}) for r in records])
-                yield p.iloc[:0].assign(n=0)[["n"]]
 
-        rows.repartition(*keys).mapInPandas(run, "n bigint").count()
+        for_batches(rows.repartition(*keys), use)
 
 
 # relational

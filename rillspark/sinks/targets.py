@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillspark.session import for_batches
+
 METRICS = {"CosineSimilarity": "cosine", "L2Distance": "l2", "InnerProduct": "ip"}
 
 
@@ -74,19 +76,18 @@ class JdbcTable:
 def send(df: DataFrame, statement: str, connect: Callable[[], Any], most: int) -> None:
     size = max(1, most // max(1, len(df.columns)))
 
-    def run(batches):
-        connection, n = connect(), 0
-        cursor = connection.cursor()
-        for b in batches:
-            rows = list(map(tuple, b.astype(object).where(b.notna(), None).to_numpy()))
+    def use(batches: Iterator[list[dict]]) -> None:
+        connection = None
+        for rows in batches:
+            connection = connection or connect()
+            cursor = connection.cursor()
             for at in range(0, len(rows), size):
-                cursor.executemany(statement, rows[at : at + size])
-            n += len(rows)
-        connection.commit()
-        connection.close()
-        yield b.iloc[:0].assign(n=0)[["n"]] if n else b.iloc[:0].assign(n=0)[["n"]]
+                cursor.executemany(statement, [tuple(r.values()) for r in rows[at : at + size]])
+        if connection:
+            connection.commit()
+            connection.close()
 
-    df.mapInPandas(run, "n bigint").count() if not df.isEmpty() else None
+    for_batches(df, use)
 
 
 @dataclass
@@ -104,14 +105,12 @@ class CustomTarget:
         rows = upserts.withColumn("_deleted", F.lit(False)).unionByName(deletes.select(*keys).withColumn("_deleted", F.lit(True)), allowMissingColumns=True)
         names = [c for c in upserts.columns if c not in keys]
 
-        def run(batches):
+        def use(batches: Iterator[list[dict]]) -> None:
             ready = prepare()
-            for b in batches:
-                records = b.to_dict("records")
-                mutate(ready, [({k: r[k] for k in keys}, None if r["_deleted"] else {n: r[n] for n in names}) for r in records])
-                yield b.iloc[:0].assign(n=0)[["n"]]
+            for rows in batches:
+                mutate(ready, [({k: r[k] for k in keys}, None if r["_deleted"] else {n: r[n] for n in names}) for r in rows])
 
-        rows.repartition(*keys).mapInPandas(run, "n bigint").count()
+        for_batches(rows.repartition(*keys), use)
 
 
 def target_connector(**options: Any):

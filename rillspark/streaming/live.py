@@ -9,10 +9,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillspark.operators.incremental import Indexer, latest
+from rillspark.operators.incremental import Indexer
+from rillspark.sinks.keyed import KeyedTarget, key_json
 from rillspark.streaming.changes import Feed
 
 
@@ -122,12 +123,17 @@ class LiveUpdater:
         await asyncio.to_thread(self.abort)
 
 
-def apply_changes(spark: SparkSession, stream: DataFrame, keys: list[str], ordinal: str, merge: Callable[[DataFrame], None], checkpoint: str, once: bool = True):
-    """Changes of a stream, reduced to the latest of each key in a micro-batch, handed to merge; keys are thereby
-    processed one version at a time."""
+def apply_changes(stream: DataFrame, target: KeyedTarget, ordinal: str, checkpoint: str, deleted: str | None = None, source: str = "stream", once: bool = True):
+    """Changes of a stream, with the target's keys and an ordinal, kept in the target: of each key the change with the largest
+    ordinal counts, in whatever order and micro-batch changes come, and however often. deleted: a column that is true where
+    a key goes; a mark with its ordinal stays, so that older changes which come later don't bring the key back. Nothing
+    that is stored is read for it."""
 
     def each(batch: DataFrame, _: int) -> None:
-        merge(latest(batch, keys, ordinal))
+        own = batch.withColumn("_source", F.lit(source)).withColumn("_owner", F.lit(""))
+        goes = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        marks = own.where(goes).select(key_json(target.keys).alias("_key"), "_source", "_owner", ordinal)
+        target.merge(own.where(~goes).drop(*([deleted] if deleted else [])), marks, ordinal)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -291,7 +291,7 @@ def test_a_crash_before_the_commit_leaves_the_old_state(spark, tmp_path, monkeyp
     before, write = rows_of(indexer), Folder.write
     current["rows"] = [(1, "z", 2)]
     for name in ("state", "tracking"):
-        def broken(self, what, value, name=name):
+        def broken(self, what, value, after=None, name=name):
             if what == name:
                 raise OSError("gone")
             write(self, what, value)
