@@ -186,7 +186,7 @@ class Indexer:
             tracked = self.tracking()
         else:
             told = self.kept(told.withColumn("key", key_json(source.keys)), keep, "told")
-            rows = self.kept(source.values(self.spark, told.where("NOT _gone").select(*source.keys)), keep, "values")
+            rows = self.kept(source.told(self.spark, told.where("NOT _gone").select(*source.keys)), keep, "values")
             listed = told.drop("key", "_gone").join(rows.select(*source.keys), source.keys, "left_semi")
             names = [r.key for r in told.select("key").limit(NAMED + 1).collect()]
             tracked = self.tracking([(name, k) for k in names]) if len(names) <= NAMED else self.tracking().join(told.select("key"), "key", "left_semi")

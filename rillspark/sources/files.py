@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
-from urllib.parse import unquote
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillspark.session import shared_dir
+from rillspark.session import shared_dir, spread
 from rillspark.sources.tables import Source
 
-#: Changed files that a scan is told by name.
-NAMED = 10_000
 BOMS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
 
@@ -86,45 +87,125 @@ def decoded(content: Column | str) -> Column:
     return decode(content)
 
 
+def file_system(path: str) -> tuple[Any, str] | None:
+    """What opens a path's files inside tasks, and the path as it takes it; None for a scheme that only Spark knows."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.rpartition("://")
+    if not scheme or scheme == "file":
+        return fs.LocalFileSystem(), "/" + re.sub("^file:", "", rest).lstrip("/") if scheme or path.startswith(("/", "file:")) else os.path.abspath(path)
+    if scheme in ("s3", "s3a", "s3n"):
+        return fs.S3FileSystem(), rest
+    if scheme in ("gs", "gcs"):
+        return fs.GcsFileSystem(), rest
+    if scheme in ("abfs", "abfss"):
+        container, _, account = rest.partition("@")
+        host, _, folder = account.partition("/")
+        return fs.AzureFileSystem(host.split(".")[0]), f"{container}/{folder}".rstrip("/")
+    return None
+
+
 class Files(Source):
-    """Files under a path (file, s3a, abfss, gs ...) by relative name; the ordinal is the time of change in µs. Names
-    that don't match, folders' own keys and files over `max_file_size` don't exist."""
+    """Files under a path (file, s3a, abfss, gs ...) by relative name, whatever its characters, and hidden ones as well; links
+    are followed. The ordinal is the time of change in µs. Names that don't match, folders' own keys and files over
+    `max_file_size` don't exist. Folders are walked level by level: each is listed by a task, and one that is excluded isn't
+    opened. Contents are read by tasks that are given names, so that the files asked for are the only ones opened."""
 
     def __init__(self, path: str, binary: bool = False, included_patterns: list[str] | None = None, excluded_patterns: list[str] | None = None, max_file_size: int | None = None):
         self.path, self.binary, self.included, self.excluded, self.most = path.rstrip("/"), binary, included_patterns, excluded_patterns, max_file_size
         self.keys, self.fetched = ["filename"], True
 
-    def named(self, df: DataFrame) -> DataFrame:
-        """Files with their names; those that don't exist for the flow are left out."""
-        if self.most is not None:
-            df = df.where(F.col("length") <= self.most)  # pushed to the listing
-        root = re.sub(r"^[a-z0-9]+:/*", "", self.path).strip("/")
-        name = F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*{re.escape(root)}/", "")
-        return df.withColumn("filename", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).where(matches(F.col("filename"), self.included, self.excluded))
+    def schema(self) -> T.StructType:
+        return T.StructType([T.StructField("filename", T.StringType()), T.StructField("content", T.BinaryType() if self.binary else T.StringType())])
+
+    def exists(self) -> Callable[[str, bool, int], bool]:
+        """Whether a name is one of the source's, as a folder or as a file of some size."""
+        some = lambda globs: [re.compile(glob_regex(g)) for g in globs or []]
+        included, excluded, all_, most = some(self.included), some(self.excluded), self.included is None or not self.included, self.most
+
+        def ok(name: str, folder: bool, size: int) -> bool:
+            parts = name.split("/")
+            if any(x.search("/".join(parts[: i + 1])) for x in excluded for i in range(len(parts))):
+                return False
+            return folder or ((all_ or any(x.search(name) for x in included)) and (most is None or size <= most))
+
+        return ok
+
+    def walked(self, spark: SparkSession) -> DataFrame:
+        """filename, modified (µs) and length of every file."""
+        path, ok = self.path, self.exists()
 
-    def files(self, spark: SparkSession) -> DataFrame:
-        return self.named(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path))
+        def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            opened, top = file_system(path)
+            for b in batches:
+                found = []
+                for folder in b["filename"].to_pylist():
+                    at = f"{top}/{folder}".rstrip("/")
+                    for x in opened.get_file_info(fs.FileSelector(at or "/", allow_not_found=True)):
+                        name, is_folder = f"{folder}/{x.base_name}".lstrip("/"), x.type == fs.FileType.Directory
+                        if x.type == fs.FileType.NotFound or not ok(name, is_folder, x.size or 0) or (not is_folder and x.base_name == ""):
+                            continue
+                        if is_folder and isinstance(opened, fs.LocalFileSystem) and os.path.islink(x.path) and f"{os.path.realpath(at)}/".startswith(f"{os.path.realpath(x.path)}/"):
+                            continue  # a link to a folder that it lies in
+                        found.append((name, (x.mtime_ns or 0) // 1000, x.size or 0, is_folder))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=["filename", "modified", "length", "folder"])
+
+        shared_dir(spark)
+        level, out = spark.createDataFrame([("",)], "filename string"), None
+        while True:
+            level = level.select("filename").mapInArrow(children, "filename string, modified bigint, length bigint, folder boolean").checkpoint()
+            files = level.where("NOT folder").drop("folder")
+            out = files if out is None else out.unionByName(files)
+            folders = level.where("folder")
+            n = folders.count()
+            if not n:
+                return out
+            level = folders.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
 
     def contents(self, files: DataFrame) -> DataFrame:
-        return files.select("filename", (F.col("content") if self.binary else decoded("content")).alias("content"))
+        """The files of given names; those that have gone meanwhile, or aren't the source's, are left out."""
+        path, binary, ok = self.path, self.binary, self.exists()
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            opened, top = file_system(path)
+            for b in batches:
+                for name in b["filename"].to_pylist():
+                    if (info := opened.get_file_info(f"{top}/{name}")).type != fs.FileType.File or not ok(name, False, info.size or 0):
+                        continue
+                    try:
+                        with opened.open_input_stream(info.path, compression=None) as f:
+                            data = f.read()
+                    except FileNotFoundError:
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data if binary else decode_text(data)], pa.binary() if binary else pa.string())], names=["filename", "content"])
+
+        return files.select("filename").mapInArrow(fetch, self.schema())
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return self.contents(self.files(spark))
+        if file_system(self.path) is None:
+            return self.scanned(spark).select("filename", (F.col("content") if self.binary else decoded("content")).alias("content"))
+        return self.contents(spread(self.walked(spark)))
 
     def values(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
-        """Opens only the files asked for, where they are few enough to be named (the driver lists all names anyway); more
-        are a large part of all and picked from a scan."""
-        names = [r[0] for r in self.files(spark).join(keys, "filename", "left_semi").select("path").limit(NAMED + 1).collect()]
-        if len(names) > NAMED:
-            return super().values(spark, keys)
-        if not names:
-            return spark.createDataFrame([], self.schema())
-        plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(n)) for n in names]
-        return self.contents(self.named(spark.read.format("binaryFile").load(plain)))
+        return super().values(spark, keys) if file_system(self.path) is None else self.contents(spread(keys))
 
     def listing(self, spark: SparkSession) -> DataFrame:
-        """Reads no contents: the column is pruned from the scan."""
-        return self.files(spark).select("filename", F.unix_micros("modificationTime").alias("_ordinal"))
+        """Reads no contents."""
+        if file_system(self.path) is None:
+            return self.scanned(spark).select("filename", F.unix_micros("modificationTime").alias("_ordinal"))
+        return self.walked(spark).select("filename", F.col("modified").alias("_ordinal"))
+
+    def scanned(self, spark: SparkSession) -> DataFrame:
+        """Files of a scheme that only Spark knows, by its own scan, which doesn't see hidden names."""
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path)
+        df = df if self.most is None else df.where(F.col("length") <= self.most)  # pushed to the listing
+        root = re.sub(r"^[a-z0-9]+:/*", "", self.path).strip("/")
+        name = F.regexp_replace("path", rf"^(?:[a-z0-9]+:)?/*{re.escape(root)}/", "")
+        return df.withColumn("filename", F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).where(matches(F.col("filename"), self.included, self.excluded))
 
 
 LocalFile = Files

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from rillspark.types import is_key
 
+#: Keys that a read is told by name.
+FEW = 200
 ORDINALS = (T.LongType, T.TimestampNTZType, T.TimestampType)
 
 
@@ -44,6 +47,10 @@ class Source:
     def values(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
         return self.read(spark).join(keys, self.keys, "left_semi")
 
+    def told(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
+        """Values of keys that were told to have changed, which are few as a rule."""
+        return self.values(spark, keys)
+
 
 def ordinal_of(name: str | None, schema: T.StructType):
     """An integer as it is, a time in µs; null without an ordinal."""
@@ -75,7 +82,15 @@ class Table(Source):
             raise ValueError(f"{self.ordinal_column} can't be an ordinal")
         df = df.where(self.filter) if self.filter else df
         wanted = df.columns if self.included is None else [c for c in df.columns if c in {*self.keys, *self.included}]
-        return df.select(*[F.col(f"`{c}`").cast(widened(df.schema[c]).dataType).alias(c) for c in wanted])
+        return df.select(*[F.col(f"`{c}`").cast(widened(df.schema[c]).dataType).alias(c, metadata=df.schema[c].metadata) for c in wanted])
+
+    def told(self, spark: SparkSession, keys: DataFrame) -> DataFrame:
+        """Few keys are named in a filter, which reaches a database or a file's statistics."""
+        some = keys.select(*self.keys).limit(FEW + 1).collect()
+        if len(some) > FEW:
+            return self.values(spark, keys)
+        one = lambda r: reduce(and_, [F.col(k).eqNullSafe(F.lit(r[k])) if r[k] is None else F.col(k) == F.lit(r[k]) for k in self.keys])
+        return self.read(spark).where(reduce(or_, map(one, some)) if some else F.lit(False))
 
 
 def widened(f: T.StructField) -> T.StructField:

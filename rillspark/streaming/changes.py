@@ -1,8 +1,8 @@
 """Feeds of changes for live updates, from services that tell of them through clients that are passed in.
 
-A feed says that something changed and what; a live updater then makes a pass, which asks the source itself, and tells the
-feed when it has succeeded, so that a change whose pass failed is told again. Messages are few beside rows: they are read on
-the driver, the rows they are about by the pass's tasks.
+A feed says what has changed; a live updater then makes a pass over these keys alone, which asks the source for their values,
+and tells the feed when it has succeeded, so that a change whose pass failed is told again. Messages are few beside rows:
+they are read on the driver, the rows they are about by the pass's tasks.
 """
 
 from __future__ import annotations
@@ -10,12 +10,19 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import unquote_plus
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Feed:
-    """What a service says. poll(position): changes (key as JSON, ordinal, deleted) after a position, and the next position,
+    """What a service says of one source, named by `source`, or the flow's only one. poll(position): changes (key as JSON, ordinal, deleted) after a position, and the next position,
     which must be plain data; done(position): everything before it has been processed."""
 
+    source: str | None = None
+
     def poll(self, position: dict) -> tuple[list[tuple[str, int | None, bool]], dict]:
         raise NotImplementedError
 
@@ -59,7 +66,7 @@ class ChannelFeed(Feed):
 def notices(body: str, prefix: str) -> Iterator[tuple[str, int | None, bool]]:
     """Created and removed objects that a notice names."""
     for r in json.loads(body).get("Records", []):
-        kind, key = r.get("eventName", ""), r.get("s3", {}).get("object", {}).get("key", "")
+        kind, key = r.get("eventName", ""), unquote_plus(r.get("s3", {}).get("object", {}).get("key", ""))  # notices encode keys
         if key.startswith(prefix) and kind.startswith(("ObjectCreated", "ObjectRemoved", "ObjectDelete")):
             yield json.dumps({"filename": key.removeprefix(prefix).lstrip("/")}), None, not kind.startswith("ObjectCreated")
 
@@ -113,3 +120,13 @@ class RecentFeed(Feed):
                 break
             page += 1
         return out, {"modified": newest}
+
+
+def told(spark: SparkSession, changes: list[tuple[str, Any, bool]], kind: T.StructType) -> DataFrame:
+    """Changes as an indexer takes them: the key's columns, `_ordinal` and `_gone`, of each key that with the largest ordinal,
+    or the last. Ordinals are integers or times as text."""
+    rows = [(i, k, None if o is None else str(o), g) for i, (k, o, g) in enumerate(changes)]
+    said = spark.createDataFrame(rows, "i long, k string, o string, _gone boolean")
+    said = said.withColumn("_ordinal", F.coalesce(F.expr("try_cast(o AS bigint)"), F.unix_micros(F.expr("try_cast(o AS timestamp)")))).withColumn("k", F.from_json("k", kind))
+    last = said.groupBy("k").agg(F.max_by(F.struct("_ordinal", "_gone"), F.struct(F.coalesce("_ordinal", F.lit(2**63 - 1)), "i")).alias("r"))
+    return last.select("k.*", "r.*")

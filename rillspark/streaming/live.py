@@ -11,19 +11,21 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillspark.operators.incremental import Indexer
 from rillspark.sinks.keyed import KeyedTarget, key_json
-from rillspark.streaming.changes import Feed
+from rillspark.streaming.changes import Feed, told
 
 
 @dataclass
 class LiveUpdater:
     """start, wait, abort and status of a flow that is kept up to date. refresh_interval: seconds between passes over
     the sources, by default the least of the sources' own; a pass that takes longer delays the next. changes: streams of (key
-    columns, ordinal) that say that something changed; each micro-batch with changes is one pass, its checkpoint the
-    acknowledgement. feeds: services asked every `poll` seconds, told when a pass has followed. Passes wait for each other. One that fails is repeated after `retry` seconds, twice as many each time up
-    to `retry_most`, as long as it fails; a change is acknowledged when its pass has succeeded."""
+    columns, `_ordinal`, `_gone`) that say what changed; each micro-batch with changes is one pass over its keys alone, its
+    checkpoint the acknowledgement. feeds: services asked every `poll` seconds, told when a pass over the keys they named
+    has followed. Passes wait for each other. One that fails is repeated after `retry` seconds, twice as many each time up to
+    `retry_most`, as long as it fails; a change is acknowledged when its pass has succeeded."""
 
     indexer: Indexer
     refresh_interval: float | None = None
@@ -38,11 +40,12 @@ class LiveUpdater:
     retry_most: float = 60.0
     stopped: threading.Event = field(default_factory=threading.Event)
 
-    def passed(self) -> None:
+    def passed(self, changes: DataFrame | None = None, source: str | None = None) -> None:
+        """A pass over all sources, or over the keys that a source's changes tell of."""
         wait = self.retry
         while True:
             try:
-                status = self.indexer.update()
+                status = self.indexer.update() if changes is None else self.indexer.update(told={source: changes})
                 break
             except Exception as error:
                 self.on_status(error)
@@ -72,7 +75,10 @@ class LiveUpdater:
             try:
                 found, after = feed.poll(position)
                 if found:
-                    self.passed()
+                    name = feed.source or next(iter(self.indexer.flow.sources))
+                    source = self.indexer.flow.sources[name].source
+                    kind = T.StructType([source.schema()[k] for k in source.keys])
+                    self.passed(told(self.indexer.spark, found, kind), name)
                 feed.done(after)
                 position = after
             except Exception as error:
@@ -80,9 +86,20 @@ class LiveUpdater:
             self.stopped.wait(self.poll)
 
     def stream(self, df: DataFrame, n: int, always: bool = False, **trigger: Any):
+        """Each micro-batch is a pass: over the keys that it has, where it has those of one source and `_ordinal` and `_gone`,
+        else over everything."""
+        sources = self.indexer.flow.sources
+        name = next((s for s, x in sources.items() if {*x.source.keys, "_ordinal", "_gone"} <= {*df.columns}), None)
+
         def each(batch: DataFrame, _: int) -> None:
-            if always or not batch.isEmpty():
+            if always:
                 self.passed()
+            elif not batch.isEmpty():
+                if name is None:
+                    return self.passed()
+                keys = sources[name].source.keys
+                newest = F.max_by(F.struct("_ordinal", "_gone"), F.coalesce("_ordinal", F.lit(2**63 - 1)))
+                self.passed(batch.groupBy(*keys).agg(newest.alias("r")).select(*keys, "r.*"), name)
 
         writer = df.writeStream.foreachBatch(each).trigger(**trigger)
         return (writer.option("checkpointLocation", f"{self.checkpoint}/{n}") if self.checkpoint else writer).start()

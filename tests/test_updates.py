@@ -244,7 +244,7 @@ def test_only_changed_files_are_opened(spark, tmp_path, monkeypatch):
         (folder / f"f [{i}]*.txt").write_text(f"text {i}")
     opened = []
     contents = Files.contents
-    monkeypatch.setattr(Files, "contents", lambda self, df: opened.append(sorted(df.select("filename").toPandas()["filename"])) or contents(self, df))
+    monkeypatch.setattr(Files, "contents", lambda self, df: opened.append(sorted(r.filename for r in df.select("filename").collect())) or contents(self, df))
     source = Files(str(folder))
     source.schema()
     indexer = Indexer(plain_flow(source), spark, str(tmp_path / "x"))
@@ -369,7 +369,7 @@ def test_limits_bound_what_python_gets(spark, tmp_path):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     indexer, before = Indexer(flow, spark, str(tmp_path / "x")), spark.conf.get(name)
     passed = indexer.passed
-    indexer.passed = lambda mode: sizes.append(spark.conf.get(name)) or passed(mode)
+    indexer.passed = lambda mode, told: sizes.append(spark.conf.get(name)) or passed(mode, told)
     indexer.update()
     assert sizes == ["7"] and spark.conf.get(name) == before
 
@@ -450,8 +450,9 @@ def test_a_feed_is_told_after_the_pass(spark, tmp_path):
     with LiveUpdater(indexer, feeds=[feed], poll=0.05, retry=0.01) as live:
         live.next_status_updates()
         update, failed = indexer.update, []
-        indexer.update = lambda *a: failed.append(feed.client.deleted[:]) or (update(*a) if len(failed) > 1 else 1 / 0)
-        current["rows"] = [(1, "b", 2)]
+        indexer.update = lambda **a: failed.append(feed.client.deleted[:]) or (update(**a) if len(failed) > 1 else 1 / 0)
+        current["rows"] = [(1, "b", 2), (2, "not told", 1)]
+        feed.poll = lambda position, poll=feed.poll: ([('{"id": 1}', None, False)] * len((found := poll(position))[0]), found[1])
         feed.client.lists["receive"] = [("r", json.dumps({"Records": [{"eventName": "ObjectCreated:Put", "s3": {"object": {"key": "k"}}}]}))]
         assert live.next_status_updates()[0].stats["s"] == {"update": 1} and failed == [[], []]
         for _ in range(100):
