@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from rillspark.schema import check_name, merge_schemas
 from rillspark.session import workers_find_us
 from rillspark.sinks.keyed import Folder
+from rillspark.types import with_facts
 
 
 class GeneratedField:
@@ -284,7 +285,8 @@ class Collector:
         all_ = frames[0]
         for f in frames[1:]:
             all_ = all_.unionByName(f, allowMissingColumns=True)
-        return all_.select(*schema.names, *(("_source", "_owner") if owned else ()))
+        facts = [F.col(f.name).alias(f.name, metadata=f.metadata) if f.metadata else F.col(f.name) for f in schema]
+        return all_.select(*facts, *(("_source", "_owner") if owned else ()))
 
 
 def with_uuid(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
@@ -295,7 +297,7 @@ def with_uuid(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
     value = F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
     df = df.withColumn("_fp", value)
     nth = F.row_number().over(Window.partitionBy("_source", "_owner", "_fp").orderBy("_order"))
-    return df.withColumn(name, uuid_text(F.md5(F.concat_ws("|", "_source", "_owner", "_fp", nth.cast("string"))))).drop("_fp")
+    return df.withColumn(name, with_facts(uuid_text(F.md5(F.concat_ws("|", "_source", "_owner", "_fp", nth.cast("string")))), logical="Uuid")).drop("_fp")
 
 
 def uuid_text(h: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import inspect
 import json
 import math
 from collections.abc import Callable, Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillspark.functions.providers import Client
-from rillspark.types import resolve, wrapped_schema
+from rillspark.types import resolve, wrapped_schema, with_facts
 
 
 class EmbeddingClient(Protocol):
@@ -101,7 +102,9 @@ def embed_text(text: Column, api_type: str = "Hash", model: str = "hash", dimens
                     out[i] = v
             yield pd.Series(out, dtype=object)
 
-    return embed.asNondeterministic()(text)
+    if dimension is None:  # the client's own, if it has one whatever the model
+        dimension = getattr(inspect.signature(make).parameters.get("dimension"), "default", None)
+    return with_facts(embed.asNondeterministic()(text), logical="Vector", dim=dimension if isinstance(dimension, int) else None)
 
 
 class SentenceTransformer:
@@ -121,8 +124,9 @@ def sentence_transformer_embed(text: Column, model: str, batch_size: int = 512,
     return embed_text(text, model=model, batch_size=batch_size, factory=SentenceTransformer, **arguments)
 
 
-def embed_queries(text: Column, factory: Callable[..., Any], model: str = "") -> Column:
-    """array<array<float>>, one vector per token, of each query text, to be held against images' by MaxSim."""
+def embed_queries(text: Column, factory: Callable[..., Any], model: str = "", dimension: int | None = None) -> Column:
+    """array<array<float>>, one vector (of `dimension`, if given) per token, of each query text, to be held against images' by
+    MaxSim."""
 
     @F.pandas_udf("array<array<float>>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -130,11 +134,11 @@ def embed_queries(text: Column, factory: Callable[..., Any], model: str = "") ->
         for s in batches:
             yield s.map(client.embed_query, na_action="ignore")
 
-    return embed.asNondeterministic()(text)
+    return with_facts(embed.asNondeterministic()(text), logical="Vector" if dimension else None, dim=dimension)
 
 
-def embed_images(image: Column, factory: Callable[..., Any], model: str = "") -> Column:
-    """array<array<float>>, one vector per patch, of each image."""
+def embed_images(image: Column, factory: Callable[..., Any], model: str = "", dimension: int | None = None) -> Column:
+    """array<array<float>>, one vector (of `dimension`, if given) per patch, of each image."""
 
     @F.pandas_udf("array<array<float>>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -142,7 +146,7 @@ def embed_images(image: Column, factory: Callable[..., Any], model: str = "") ->
         for s in batches:
             yield s.map(lambda b: client.embed_image(bytes(b)), na_action="ignore")
 
-    return embed.asNondeterministic()(image)
+    return with_facts(embed.asNondeterministic()(image), logical="Vector" if dimension else None, dim=dimension)
 
 
 def extract(output_type: Any, factory: Callable[..., Any] | str, text: Column | None = None, image: Column | None = None, instruction: str = "", model: str = "", **more: Any) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rillspark.types import loosened, members, resolve
+from rillspark.types import loosened, members, resolve, with_facts
 
 REGISTRY: dict[str, Operator] = {}
 TIMEOUT_S = 1800.0
@@ -125,8 +125,8 @@ class Operator:
         out = self.udf()(*columns)
         if isinstance(self.returns.data_type, T.StructType):
             needed = [c.isNotNull() for c, o in zip(columns, self.optional) if not o]
-            return F.when(reduce(and_, needed), out) if needed else out
-        return out
+            out = F.when(reduce(and_, needed), out) if needed else out
+        return with_facts(out, **self.returns.metadata)
 
     def udf(self):
         make, options, optional, kinds, name = self.make, self.options, self.optional, self.kinds, self.name

@@ -290,13 +290,15 @@ class Indexer:
         outside = [(e.target, up, gone, e.primary_key_fields) for e, up, _, gone in found if hasattr(e.target, "apply")]
         later = [x for x in outside if getattr(x[0], "after_nodes", False)]
         sent = lambda up: up.drop("_source", "_owner")
+        built = self.folder.read("setup") or {}
+        specs = {id(e.target): {"spec": built[resource(e)]["spec"]} for e, *_ in found if resource(e) in built}
         for target, up, gone, keys in later:
-            target.apply(sent(up).limit(0), gone, keys)
+            target.apply(sent(up).limit(0), gone, keys, **specs.get(id(target), {}))
         for target, up, gone, keys in outside:
             if not getattr(target, "after_nodes", False):
-                target.apply(sent(up), gone, keys)
+                target.apply(sent(up), gone, keys, **specs.get(id(target), {}))
         for target, up, gone, keys in later:
-            target.apply(sent(up), gone.limit(0), keys)
+            target.apply(sent(up), gone.limit(0), keys, **specs.get(id(target), {}))
         for export, up, owned, _ in found:
             self.target(export).merge(up, owned)
 

@@ -265,7 +265,7 @@ class JsonStore(Store):
                 shutil.rmtree(client)
             os.makedirs(client, exist_ok=True)
 
-    def mutate(self, client, changes) -> None:
+    def mutate(self, client, changes, spec=None) -> None:
         with open(f"{client}/{time.time_ns()}-{uuid.uuid4().hex}.json", "w") as f:
             f.writelines(json.dumps({"at": time.time_ns(), **key, "deleted": value is None, **(value or {})}) + "\n" for key, value in changes)
 

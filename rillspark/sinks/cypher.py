@@ -69,7 +69,7 @@ class Cypher(Store):
         edge = ", ".join(f"`{k}`: row.key.`{k}`" for k in keys)
         return [f"UNWIND $rows AS row MATCH (s)-[r:`{self.mapping.rel_type}` {{{edge}}}]->(t) DELETE r WITH s, t UNWIND [s, t] AS n WITH DISTINCT n WHERE n.`_own` IS NULL AND NOT (n)--() DELETE n"]
 
-    def mutate(self, client: Any, changes: Changes) -> None:
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
         if not changes:
             return
         keys = list(changes[0][0])

@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 import numpy as np
@@ -47,7 +48,7 @@ def dimension(f: T.StructField) -> int | None:
     """The fixed length of a vector field, or of the vectors of a multi-vector field; 0 if it isn't fixed, None for others."""
     kind = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else None
     kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
-    return int(f.metadata.get("dim", 0)) if isinstance(kind, T.FloatType | T.DoubleType) else None
+    return int(f.metadata.get("dim") or 0) if isinstance(kind, T.FloatType | T.DoubleType) else None
 
 
 def multiple(f: T.StructField) -> bool:
@@ -97,12 +98,13 @@ class Store:
             self.run(self.connect(), steps)
         return steps
 
-    def mutate(self, client: Any, changes: Changes) -> None:
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
         raise NotImplementedError
 
-    def apply(self, upserts: DataFrame, deletes: DataFrame, keys: list[str]) -> None:
-        """Changes of one key are one row here; each task opens a client and sends what it holds."""
-        connect, mutate = self.connect, self.mutate
+    def apply(self, upserts: DataFrame, deletes: DataFrame, keys: list[str], spec: dict | None = None) -> None:
+        """Changes of one key are one row here; each task opens a client and sends what it holds. spec: the resource as it was
+        described by `wanted`."""
+        connect, mutate = self.connect, partial(self.mutate, spec=spec) if spec else self.mutate
         rows = upserts.withColumn("_deleted", F.lit(False)).unionByName(deletes.withColumn("_deleted", F.lit(True)), allowMissingColumns=True)
         names = [c for c in rows.columns if c not in {*keys, "_deleted"}]
         old = self.needs_old
@@ -139,7 +141,7 @@ POSTGRES_OPERATORS = {"CosineSimilarity": "vector_cosine_ops", "L2Distance": "ve
 def postgres_type(f: T.StructField) -> str:
     if dimension(f) and not multiple(f):
         return f"vector({dimension(f)})"
-    if f.metadata.get("logical") == "uuid":
+    if str(f.metadata.get("logical")).lower() == "uuid":
         return "uuid"
     return POSTGRES_TYPES.get(type(f.dataType), "jsonb")
 
@@ -168,6 +170,9 @@ class Postgres(JdbcTable, Store):
     """A table with a vector extension. Key changes build it anew; other columns are added, dropped or retyped in place."""
 
     def wanted(self, schema: T.StructType, keys: list[str], export: Any) -> dict:
+        for d in export.vector_indexes:
+            if not dimension(schema[d.field_name]):
+                raise ValueError(f"{d.field_name}: an index needs a fixed dimension")
         return table_spec(self.table, schema, keys, export, postgres_type)
 
     def index_name(self, x: dict) -> str:
@@ -206,7 +211,7 @@ class Postgres(JdbcTable, Store):
             cursor.execute(s)
         client.commit()
 
-    def mutate(self, client: Any, changes: Changes) -> None:
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
         """Upserts and deletions of a batch in one transaction, within the limit of bound values."""
         rows = [k | v for k, v in changes if v is not None]
         gone, cursor = [tuple(k.values()) for k, v in changes if v is None], client.cursor()
@@ -219,7 +224,7 @@ class Postgres(JdbcTable, Store):
             cursor.executemany(upsert, part)
         client.commit()
 
-    def apply(self, upserts: DataFrame, deletes: DataFrame, keys: list[str]) -> None:
+    def apply(self, upserts: DataFrame, deletes: DataFrame, keys: list[str], spec: dict | None = None) -> None:
         Store.apply(self, upserts, deletes, keys)
 
 
@@ -283,7 +288,7 @@ class Doris(Store):
     def literal(self, v: Any) -> str:
         return "'" + v.replace("\\", "\\\\").replace("'", "''") + "'" if isinstance(v, str) else "NULL" if v is None else str(int(v) if isinstance(v, bool) else v)
 
-    def mutate(self, client: Any, changes: Changes) -> None:
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
         for part in batches(changes, self.batch):
             names = list(part[0][0])
             keys = [", ".join(self.literal(v) for v in k.values()) for k, _ in part]
@@ -314,7 +319,6 @@ class Qdrant(Store):
         if len(keys) != 1 or not isinstance(schema[keys[0]].dataType, T.StringType | T.LongType):
             raise ValueError("a point's id is one key field, a string, an integer or a UUID")
         metric = {d.field_name: self.METRICS[d.metric] for d in export.vector_indexes}
-        self.vectors = [f.name for f in schema if dimension(f)]
         sized = {f.name: {"size": dimension(f), "distance": metric.get(f.name, "Cosine")} | ({"multivector_config": {"comparator": "max_sim"}} if multiple(f) else {}) for f in schema if dimension(f)}
         return {"name": self.collection, "vectors": sized, "keys": list(keys)}
 
@@ -324,12 +328,12 @@ class Qdrant(Store):
             out.append(("delete_collection", {"collection_name": self.collection}))
         return out + ([("create_collection", {"collection_name": self.collection, "vectors_config": new["vectors"]})] if new else [])
 
-    def mutate(self, client: Any, changes: Changes) -> None:
-        points = []
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
+        points, own = [], spec["vectors"]
         for k, v in changes:
             if v is not None:
-                vectors = {n: v[n] for n in self.vectors if v.get(n) is not None}
-                points.append({"id": one_key(k), "vector": vectors, "payload": {n: x for n, x in v.items() if n not in self.vectors}})
+                vectors = {n: v[n] for n in own if v.get(n) is not None}
+                points.append({"id": one_key(k), "vector": vectors, "payload": {n: x for n, x in v.items() if n not in own}})
         for part in batches(points, self.batch):
             client.upsert(collection_name=self.collection, points=part)
         for part in batches([one_key(k) for k, v in changes if v is None], self.batch):
@@ -350,20 +354,19 @@ class Pinecone(Store):
         vectors = [f for f in schema if dimension(f) and not multiple(f)]
         if len(vectors) != 1 or len(keys) != 1:
             raise ValueError("there must be one vector field of a fixed length and one key field")
-        self.vector = vectors[0].name
-        return {"name": self.index, "dimension": dimension(vectors[0]), "metric": self.METRICS[export.vector_indexes[0].metric if export.vector_indexes else "CosineSimilarity"]}
+        return {"name": self.index, "vector": vectors[0].name, "dimension": dimension(vectors[0]), "metric": self.METRICS[export.vector_indexes[0].metric if export.vector_indexes else "CosineSimilarity"]}
 
     def change(self, old: dict | None, new: dict | None) -> list[tuple[str, dict]]:
-        return ([("delete_index", {"name": self.index})] if old else []) + ([("create_index", new)] if new else [])
+        return ([("delete_index", {"name": self.index})] if old else []) + ([("create_index", {k: v for k, v in new.items() if k != "vector"})] if new else [])
 
-    def mutate(self, client: Any, changes: Changes) -> None:
-        index, rows = client.Index(self.index), []
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
+        index, rows, vector = client.Index(self.index), [], spec["vector"]
         for k, v in changes:
             if v is not None:
-                if v[self.vector] is None:
-                    raise ValueError(f"{k}: no {self.vector}")
-                rest = {n: x if isinstance(x, str | int | float | bool) else json.dumps(x) for n, x in v.items() if n != self.vector and x is not None}
-                rows.append({"id": str(one_key(k)), "values": v[self.vector], "metadata": rest})
+                if v[vector] is None:
+                    raise ValueError(f"{k}: no {vector}")
+                rest = {n: x if isinstance(x, str | int | float | bool) else json.dumps(x) for n, x in v.items() if n != vector and x is not None}
+                rows.append({"id": str(one_key(k)), "values": v[vector], "metadata": rest})
         for part in batches(rows, self.batch):
             index.upsert(vectors=part, namespace=self.namespace)
         for part in batches([str(one_key(k)) for k, v in changes if v is None], self.batch):
@@ -384,20 +387,20 @@ class Chroma(Store):
         vectors = [f.name for f in schema if dimension(f) is not None and not multiple(f)]
         if len(vectors) > 1:
             raise ValueError("there can be one vector field")
-        self.vector = vectors[0] if vectors else None
-        return {"name": self.collection, "metadata": {"hnsw:space": self.METRICS[export.vector_indexes[0].metric if export.vector_indexes else "CosineSimilarity"]}}
+        return {"name": self.collection, "vector": vectors[0] if vectors else None, "metadata": {"hnsw:space": self.METRICS[export.vector_indexes[0].metric if export.vector_indexes else "CosineSimilarity"]}}
 
     def change(self, old: dict | None, new: dict | None) -> list[tuple[str, dict]]:
-        return ([("delete_collection", {"name": self.collection})] if old else []) + ([("get_or_create_collection", new)] if new else [])
+        return ([("delete_collection", {"name": self.collection})] if old else []) + ([("get_or_create_collection", {k: v for k, v in new.items() if k != "vector"})] if new else [])
 
-    def mutate(self, client: Any, changes: Changes) -> None:
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
         collection = client.get_collection(name=self.collection)
         name = lambda k: "|".join(str(x) for x in k.values())
-        own = {self.vector, self.document_field}
+        vector = spec["vector"]
+        own = {vector, self.document_field}
         for part in batches([c for c in changes if c[1] is not None], self.batch):
             given = {"ids": [name(k) for k, _ in part], "metadatas": [{n: x if isinstance(x, str | int | float | bool) else json.dumps(x) for n, x in (k | v).items() if n not in own and x is not None} for k, v in part]}
-            if self.vector:
-                given["embeddings"] = [v[self.vector] for _, v in part]
+            if vector:
+                given["embeddings"] = [v[vector] for _, v in part]
             if self.document_field:
                 given["documents"] = [v[self.document_field] for _, v in part]
             collection.upsert(**given)
@@ -429,7 +432,7 @@ class LanceDB(Store):
             out.append(("create_fts_index", {"table": self.table, "column": x["field"]}))
         return out
 
-    def mutate(self, client: Any, changes: Changes) -> None:
+    def mutate(self, client: Any, changes: Changes, spec: dict | None = None) -> None:
         table, keys = client.open_table(self.table), list(changes[0][0]) if changes else []
         rows = [k | v for k, v in changes if v is not None]
         if rows:

@@ -10,6 +10,7 @@ import typing
 import uuid
 from typing import Annotated, Any, Literal, NamedTuple
 
+from pyspark.sql import Column
 from pyspark.sql import types as T
 
 
@@ -205,3 +206,10 @@ def wrapped_schema(data_type: T.DataType, metadata: dict | None = None) -> tuple
     if inner.get("type") == "object":
         return inner, False
     return {"type": "object", "properties": {"value": inner}, "required": ["value"], "additionalProperties": False}, True
+
+
+def with_facts(column: Column, **facts: Any) -> Column:
+    """The column with what is known of its type beyond Spark's (a vector's length, a UUID), which follows it through scopes
+    and collectors to the targets."""
+    known = {k: v for k, v in facts.items() if v is not None}
+    return column.alias("value", metadata=known) if known else column

@@ -129,7 +129,7 @@ def test_vector_stores(tmp_path):
     spec = q.wanted(multi, ["id"], Export([VectorIndexDef("v", "InnerProduct")]))
     assert spec["vectors"] == {"v": {"size": 2, "distance": "Dot"}, "m": {"size": 3, "distance": "Cosine", "multivector_config": {"comparator": "max_sim"}}}
     assert [m for m, _ in q.change(spec, spec | {"vectors": {}})] == ["delete_collection", "create_collection"]
-    q.mutate(client, [({"id": 1}, {"text": "a", "v": [1.0, 2.0], "m": None}), ({"id": 2}, None)])
+    q.mutate(client, [({"id": 1}, {"text": "a", "v": [1.0, 2.0], "m": None}), ({"id": 2}, None)], spec)
     up, gone = calls(tmp_path / "log")
     assert up[-1]["points"] == [{"id": 1, "vector": {"v": [1.0, 2.0]}, "payload": {"text": "a"}}] and gone[-1]["points_selector"] == [2]
     with pytest.raises(ValueError):
@@ -137,16 +137,15 @@ def test_vector_stores(tmp_path):
 
     p = Pinecone(None, "i", "ns", batch=1)
     assert p.change(None, p.wanted(SCHEMA, ["id"], Export())) == [("create_index", {"name": "i", "dimension": 2, "metric": "cosine"})]
-    p.mutate(client, [({"id": 1}, {"text": "a", "v": [1.0, 2.0], "extra": {"k": "x"}}), ({"id": 3}, {"text": None, "v": [0.0, 1.0], "extra": None}), ({"id": 2}, None)])
+    p.mutate(client, [({"id": 1}, {"text": "a", "v": [1.0, 2.0], "extra": {"k": "x"}}), ({"id": 3}, {"text": None, "v": [0.0, 1.0], "extra": None}), ({"id": 2}, None)], p.wanted(SCHEMA, ["id"], Export()))
     _, one, two, gone = calls(tmp_path / "log")
     assert one[-1] == {"vectors": [{"id": "1", "values": [1.0, 2.0], "metadata": {"text": "a", "extra": '{"k": "x"}'}}], "namespace": "ns"} and two[-1]["vectors"][0]["metadata"] == {} and gone[-1]["ids"] == ["2"]
     with pytest.raises(ValueError, match="no v"):
-        p.mutate(client, [({"id": 1}, {"v": None})])
+        p.mutate(client, [({"id": 1}, {"v": None})], p.wanted(SCHEMA, ["id"], Export()))
 
     c = Chroma(None, "c", document_field="text")
-    c.wanted(SCHEMA, ["id"], Export())
     calls(tmp_path / "log")
-    c.mutate(client, [({"id": 1}, {"text": "a", "v": [1.0, 2.0], "extra": None}), ({"id": 2}, None)])
+    c.mutate(client, [({"id": 1}, {"text": "a", "v": [1.0, 2.0], "extra": None}), ({"id": 2}, None)], c.wanted(SCHEMA, ["id"], Export()))
     _, up, gone = calls(tmp_path / "log")
     assert up[-1] == {"ids": ["1"], "metadatas": [{"id": 1}], "embeddings": [[1.0, 2.0]], "documents": ["a"]} and gone[-1] == {"ids": ["2"]}
 
@@ -214,3 +213,35 @@ def test_plain_values():
     import pandas as pd
 
     assert plain({"a": np.array([1.5, 2.0]), "b": float("nan"), "c": pd.NaT, "d": np.int64(3), "e": datetime.date(2024, 1, 2), "f": [np.array([1.0])]}) == {"a": [1.5, 2.0], "b": None, "c": None, "d": 3, "e": "2024-01-02", "f": [[1.0]]}
+
+
+def test_facts_of_types_reach_targets_from_operators(spark, tmp_path):
+    """A flow that embeds chunks: the length of its vectors and the UUID are known to both stores from setup alone."""
+    from rillspark.flow import GeneratedField
+    from rillspark.functions.model import embed_text
+    from rillspark.functions.split import split_recursively
+    from rillspark.functions.udf import function
+    from rillspark.types import Vector
+
+    @function()
+    def direction(text: str) -> Vector[float, 3]:
+        return [float(len(text)), 0.0, 1.0]
+
+    folder, flow = str(tmp_path / "log"), Flow("f")
+    out = flow.add_collector("out")
+    with flow.add_source(Table(lambda s: s.createDataFrame([(1, "some words to embed"), (2, "more")], "id long, text string"), ["id"]), name="s").row() as r:
+        whole = r["text"].transform(direction)
+        r["chunks"] = r["text"].transform(split_recursively, 1000, 300, 100)
+        with r["chunks"].row() as chunk:
+            out.collect(key=GeneratedField.UUID, id=r["id"], text=chunk["text"], v=chunk["text"].transform(embed_text, dimension=8), w=whole)
+    out.collect(key=GeneratedField.UUID, id=flow.sources["s"]["id"], text=flow.sources["s"]["text"], v=flow.sources["s"]["text"].transform(embed_text, dimension=8), w=whole)
+    out.export("table", Postgres(partial(Log, folder), "docs"), primary_key_fields=["key"], vector_indexes=[VectorIndexDef("v")])
+    out.export("points", Qdrant(partial(Log, folder), "c"), primary_key_fields=["key"], vector_indexes=[VectorIndexDef("w", "L2Distance")])
+    indexer = Indexer(flow, spark, str(tmp_path / "x"))
+    done = indexer.setup()
+    assert done["table"][1] == 'CREATE TABLE IF NOT EXISTS docs ("key" uuid NOT NULL, "id" bigint, "text" text, "v" vector(8), "w" vector(3), PRIMARY KEY ("key"))'
+    assert done["points"] == [("create_collection", {"collection_name": "c", "vectors_config": {"v": {"size": 8, "distance": "Cosine"}, "w": {"size": 3, "distance": "Euclid"}}})]
+    calls(folder)
+    indexer.update()
+    points = [p for c in calls(folder) if c[0] == "upsert" for p in c[-1]["points"]]
+    assert len(points) == 4 and all(len(p["vector"]["v"]) == 8 and p["vector"]["w"][2] == 1.0 and set(p["payload"]) == {"id", "text"} for p in points)
