@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillspark.functions import model
 from rillspark.operators import search as S
+from rillspark.session import shared_dir
 from rillspark.sinks import graph as G
+from rillspark.sinks.indexes import TextIndex, VectorIndex
 from rillspark.sinks.targets import vector_points
 
 QUERIES: dict[str, tuple] = {}
@@ -82,9 +86,11 @@ def hybrid_rrf(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", S.match_any(F.col("text"), ["idiot", "licensed"]).alias("hit"))
     vectors = table(spark, sf, "embeddings")
     q = S.vector(first_vector(vectors))
-    rows = vectors.join(docs, F.col("vec_id") == F.col("doc_id"))
     near = F.round(S.distance(F.col("embedding"), q, "l2"), 6)
-    return S.rrf(rows, "vec_id", [near.alias("d"), F.col("vec_id")], [F.when(F.col("hit"), 0).otherwise(1).alias("m"), F.col("vec_id")], 10)
+    rows = vectors.join(docs, F.col("vec_id") == F.col("doc_id")).select("vec_id", near.alias("d"), F.when(F.col("hit"), 0).otherwise(1).alias("m"))
+    path = f"{shared_dir(spark)}/rrf-{uuid.uuid4().hex}"  # both rankings and the counts read what was worked out once
+    rows.write.parquet(path)
+    return S.rrf(spark.read.schema(rows.schema).parquet(path), "vec_id", [F.col("d"), F.col("vec_id")], [F.col("m"), F.col("vec_id")], 10)
 
 
 @query("SELECT doc_id, source, n_chars, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3")
@@ -176,6 +182,72 @@ def stored_join(spark, sf):
     return o.join(li, o.o_orderkey == li.l_orderkey).groupBy("o_orderpriority").agg(F.sum("n").alias("n"), F.round(F.sum("r"), 2).alias("revenue"))
 
 
+# stored indexes: built of other rows first, then brought to the given tables by updates and deletions
+
+
+def stored_vectors(spark, sf, metric: str) -> VectorIndex:
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("bigint").alias("label"))
+    index = VectorIndex(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", "vec_id", "embedding", metric, 32)
+    moved = F.when(F.col("vec_id") % 3 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    index.update(rows.withColumn("embedding", moved.cast("array<float>")).union(rows.where("label = 2").withColumn("vec_id", -1 - F.col("vec_id"))))
+    index.update(rows.where("vec_id % 3 = 0"), rows.where("label = 2").select((-1 - F.col("vec_id")).alias("vec_id")))
+    return index
+
+
+def stored_nearest(spark, sf, metric: str, where=None) -> DataFrame:
+    index = stored_vectors(spark, sf, metric)
+    return index.knn(first_vector(table(spark, sf, "embeddings")), 20, where).select("vec_id", F.col("label").cast("int").alias("label"), "distance")
+
+
+@query(QUERIES["knn_cosine"][1])
+def stored_knn_cosine(spark, sf):
+    return stored_nearest(spark, sf, "cosine")
+
+
+@query(QUERIES["knn_l2"][1])
+def stored_knn_l2(spark, sf):
+    return stored_nearest(spark, sf, "l2")
+
+
+@query(QUERIES["knn_ip"][1])
+def stored_knn_ip(spark, sf):
+    return stored_nearest(spark, sf, "ip")
+
+
+@query(QUERIES["knn_filtered"][1])
+def stored_knn_filtered(spark, sf):
+    return stored_nearest(spark, sf, "cosine", F.col("label").isin(1, 3, 5))
+
+
+def stored_texts(spark, sf) -> TextIndex:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    index = TextIndex(spark, f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}", "doc_id")
+    other = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("token the all rights "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    index.update(docs.withColumn("text", other).union(docs.where("doc_id % 10 = 0").withColumn("doc_id", -1 - F.col("doc_id"))))
+    index.update(docs.where("doc_id % 4 = 0"), docs.where("doc_id % 10 = 0").select((-1 - F.col("doc_id")).alias("doc_id")))
+    return index
+
+
+@query(QUERIES["fts_bm25"][1])
+def stored_bm25(spark, sf):
+    return stored_texts(spark, sf).bm25(["the", "token"])
+
+
+@query(QUERIES["fts_bm25"][1] + " ORDER BY score DESC, doc_id LIMIT 30")
+def stored_bm25_top(spark, sf):
+    return stored_texts(spark, sf).bm25(["the", "token"], 30)
+
+
+@query(QUERIES["match_phrase"][1])
+def stored_phrase(spark, sf):
+    return stored_texts(spark, sf).phrase("All rights reserved")
+
+
+@query(QUERIES["match_all"][1])
+def stored_match_all(spark, sf):
+    return stored_texts(spark, sf).all_of(["the", "of", "token"])
+
+
 # graphs
 
 PLACED = G.Relationships("PLACED", G.NodeFromFields("Customer", (G.TargetFieldMapping("o_custkey", "id"),)), G.NodeFromFields("Order", (G.TargetFieldMapping("o_orderkey", "id"),)))

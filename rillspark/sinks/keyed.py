@@ -131,10 +131,21 @@ def any_of(column: str, values: list[str]) -> Column:
 class KeyedTarget:
     """One target: its rows with `_key`, `_source`, `_owner`, `_version` (the update that wrote them), `_ordinal` (null where
     there is none) and `_fp` (their values' hash). buckets: how many to begin with; by default as many as a shuffle has
-    partitions."""
+    partitions. by: keys whose values alone say in which bucket a row is, so that those of some values are read alone."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
-        self.spark, self.folder, self.keys, self.first = spark, Folder(spark, path), keys, buckets
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None, by: list[str] | None = None):
+        self.spark, self.folder, self.keys, self.first, self.by = spark, Folder(spark, path), keys, buckets, by
+
+    def bucket(self, buckets: int) -> Column:
+        of = [F.get_json_object("_key", f"$.{c}") for c in self.by] if self.by else ["_key"]
+        return F.pmod(F.xxhash64(*of), F.lit(buckets)).cast("int")
+
+    def buckets_of(self, values: list[tuple]) -> list[int]:
+        """The buckets of rows that have some values of `by`."""
+        if not values:
+            return []
+        rows = self.spark.createDataFrame(values, ", ".join(f"{c} string" for c in self.by)).select(key_json(self.by).alias("_key"))
+        return sorted({r[0] for r in rows.select(self.bucket(self.state()["buckets"])).collect()})
 
     def numbered_state(self) -> tuple[int, dict]:
         number, state = self.folder.numbered_state("state")
@@ -192,7 +203,7 @@ class KeyedTarget:
     def put(self, rows: DataFrame, attempt: str, buckets: int) -> dict[int, int]:
         """Rows written as an attempt, in order of owner and with Bloom filters of it: how many each bucket got."""
         path = f"{self.folder.path}/rows/_a={attempt}"
-        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")).repartition(buckets, "_bucket")
+        dealt = rows.withColumn("_bucket", self.bucket(buckets)).repartition(buckets, "_bucket")
         writer = dealt.sortWithinPartitions("_bucket", "_source", "_owner").write.partitionBy("_bucket").option("parquet.bloom.filter.enabled#_owner", "true").option("parquet.bloom.filter.expected.ndv#_owner", "100000")
         writer.mode("errorifexists").parquet(path)
         if not any(f.isDirectory() for f in self.folder.fs.listStatus(self.folder.at(f"rows/_a={attempt}"))):
@@ -307,6 +318,18 @@ class KeyedTarget:
             if name in before or (name not in attempts and name not in replaced and f.getModificationTime() < old):
                 self.folder.delete(f"rows/_a={name}")
 
+    def replace(self, rows: DataFrame, touched: DataFrame) -> int:
+        """All rows of the touched owners (`_source`, `_owner`) become those given; what stays as it was isn't written again."""
+        keys, values = ["_key", "_source", "_owner"], [c for c in rows.columns if c not in ("_source", "_owner")]
+        few = [tuple(r) for r in touched.select("_source", "_owner").distinct().limit(NAMED + 1).collect()]
+        old = self.rows(columns=[], owners=few if len(few) <= NAMED else None)
+        none = self.spark.createDataFrame([], "_key string, _source string, _owner string")
+        if old is None:
+            return self.merge(rows, none)
+        mine = old.select(*keys, "_fp").join(touched.select("_source", "_owner"), ["_source", "_owner"], "left_semi")
+        new = rows.withColumn("_key", key_json(self.keys)).withColumn("_fp", row_fp(values))
+        return self.merge(new.join(mine, [*keys, "_fp"], "left_anti").select(*rows.columns), mine.join(new.select(*keys), keys, "left_anti").select(*keys))
+
     def evolve(self, schema: T.StructType) -> None:
         """Drop, add and retype value columns; the keys stay."""
         number, state = self.numbered_state()
