@@ -32,6 +32,7 @@ from rillspark.flow import Flow
 from rillspark.schema import compatibility
 from rillspark.sinks.keyed import NAMED, OWN, Conflict, Folder, KeyedTarget, any_of, key_json, row_fp
 from rillspark.sinks.targets import JdbcTable, Stored
+from rillspark.types import loosened
 
 ACTIONS = ("no_change", "insert", "update", "reprocess", "delete")
 TRACKING = "source string, key string, ordinal bigint, content_fp string, logic_fp string, process_ordinal bigint"
@@ -311,7 +312,7 @@ class Indexer:
         if mode == "full_reprocess":
             target.drop()
         if export.setup_by_user is False and target.state()["schema"] is not None:
-            have, now = T.StructType([f for f in T.StructType.fromJson(target.state()["schema"]) if f.name not in OWN]), rows.drop("_source", "_owner").schema
+            have, now = T.StructType([f for f in T.StructType.fromJson(target.state()["schema"]) if f.name not in OWN]), loosened(rows.drop("_source", "_owner").schema)
             how = compatibility(have, now, export.primary_key_fields)
             if how == "incompatible":
                 target.drop()

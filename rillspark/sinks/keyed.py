@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillspark.types import loosened
+
 #: Versions of a bucket from which on it is compacted, and rows of a bucket, on average, above which there are four times
 #: as many.
 DELTAS, LARGE = 6, 4_000_000
@@ -149,11 +151,12 @@ class KeyedTarget:
 
     def numbered_state(self) -> tuple[int, dict]:
         number, state = self.folder.numbered_state("state")
-        return number, state or {"version": 0, "buckets": self.first or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "base": [], "deltas": [], "rows": [], "schema": None, "attempts": {}, "replaced": []}
+        return number, state or {"version": 0, "buckets": self.first or int(self.spark.conf.get("spark.sql.shuffle.partitions")), "base": [], "deltas": [], "rows": [], "schema": None, "attempts": {}, "replaced": [], "names": {}, "used": []}
 
     def state(self) -> dict:
         """base: of each bucket the version that holds all of it; deltas: how many came after; rows: how many were written;
-        attempts: the version of each; replaced: those that the last compaction has made needless."""
+        attempts: the version of each; replaced: those that the last compaction has made needless; names: of each value column
+        what it is called in files, and as what type, the newest first; used: all names that files may have."""
         return self.numbered_state()[1]
 
     def written(self, state: dict, only: list[int] | None = None) -> DataFrame:
@@ -161,15 +164,19 @@ class KeyedTarget:
         schema = T.StructType.fromJson(state["schema"])
         if not state["attempts"]:
             return self.spark.createDataFrame([], T.StructType([*schema, T.StructField("_bucket", T.IntegerType())]))
-        schema = T.StructType([*schema, T.StructField("_a", T.StringType()), T.StructField("_bucket", T.IntegerType())])
+        files = T.StructType([T.StructField(n, T.StructType.fromJson(t)["x"].dataType) for f in schema for n, t in state["names"].get(f.name, [])] + [f for f in schema if f.name in OWN])
+        files = T.StructType([*files, T.StructField("_a", T.StringType()), T.StructField("_bucket", T.IntegerType())])
         top = f"{self.folder.path}/rows"
-        rows = self.spark.read.schema(schema).option("basePath", top).parquet(*(f"{top}/_a={a}" for a in state["attempts"]))
+        rows = self.spark.read.schema(files).option("basePath", top).parquet(*(f"{top}/_a={a}" for a in state["attempts"]))
         version = F.element_at(F.create_map(*(F.lit(x) for a, v in state["attempts"].items() for x in (a, v))), F.col("_a")).cast("bigint")
         base = F.get(F.lit(state["base"]), F.col("_bucket")) if len(set(state["base"])) > 1 else F.lit(state["base"][0])
         rows = rows.where(version >= base)  # of partition columns alone: other files aren't listed for the scan
         if only is not None:
             rows = rows.where(F.col("_bucket").isin(only))
-        return rows.withColumn("_version", F.coalesce("_version", version)).drop("_a")
+        own = {"_version": F.coalesce("_version", version)}
+        as_now = lambda c, f: c if len(state["names"][f.name]) == 1 else c.cast(f.dataType)
+        value = lambda f: F.coalesce(*(as_now(F.col(f"`{n}`"), f) for n, _ in state["names"][f.name]))
+        return rows.select(*((own.get(f.name, F.col(f.name)) if f.name in OWN else value(f)).alias(f.name) for f in schema), "_bucket")
 
     def rows(self, only: list[int] | None = None, columns: list[str] | None = None, owners: list[tuple[str, str]] | None = None) -> DataFrame | None:
         """The latest row of each key and owner, of some buckets or all; None before the first update. columns: those of the
@@ -200,9 +207,10 @@ class KeyedTarget:
         best = F.max_by(F.struct(*columns), F.struct("_version", "_source", "_owner"))
         return rows.groupBy("_key").agg(best.alias("r")).select("r.*") if columns else rows.select()
 
-    def put(self, rows: DataFrame, attempt: str, buckets: int) -> dict[int, int]:
+    def put(self, rows: DataFrame, attempt: str, buckets: int, names: dict[str, list]) -> dict[int, int]:
         """Rows written as an attempt, in order of owner and with Bloom filters of it: how many each bucket got."""
         path = f"{self.folder.path}/rows/_a={attempt}"
+        rows = rows.select(*(F.col(f"`{c}`").alias(names[c][0][0]) if c in names else F.col(c) for c in rows.columns))
         dealt = rows.withColumn("_bucket", self.bucket(buckets)).repartition(buckets, "_bucket")
         writer = dealt.sortWithinPartitions("_bucket", "_source", "_owner").write.partitionBy("_bucket").option("parquet.bloom.filter.enabled#_owner", "true").option("parquet.bloom.filter.expected.ndv#_owner", "100000")
         writer.mode("errorifexists").parquet(path)
@@ -231,14 +239,27 @@ class KeyedTarget:
             rows = upserts.unionByName(marks if state["schema"] else marks.where("false"), allowMissingColumns=True)
         rows = rows.withColumn("_version", F.lit(None).cast("bigint")).select(*values, *OWN)
         attempt = uuid.uuid4().hex
-        counts = self.put(rows, attempt, state["buckets"])
+        fields = [T.StructField(f.name, loosened(f.dataType), True) for f in rows.schema]
+        state = self.named(state, fields)
+        counts = self.put(rows, attempt, state["buckets"], state["names"])
         if not counts:
             self.folder.delete(f"rows/_a={attempt}")
             if state["schema"] is not None:
                 return state["version"]
-        fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema]
         return self.commit(number, state, attempt, counts, fields, bool(ordinal))
 
+    def named(self, state: dict, fields: list[T.StructField]) -> dict:
+        """The state with names in files for all value columns: the column's own, or another where files have that already."""
+        names, used = dict(state["names"]), list(state["used"])
+        for f in fields:
+            if f.name not in names and f.name not in OWN:
+                name = f.name
+                while name.lower() in {u.lower() for u in used}:
+                    name = f"{f.name}__{uuid.uuid4().hex[:8]}"
+                names[f.name] = [[name, T.StructType([T.StructField("x", f.dataType)]).jsonValue()]]
+                used.append(name)
+        return state | {"names": names, "used": used}
+
     def commit(self, number: int, state: dict, attempt: str, counts: dict[int, int], fields: list[T.StructField], ordinals: bool) -> int:
         """The attempt after the state that it was made for, or after what others have committed since, if that has none of
         its keys."""
@@ -252,7 +273,7 @@ class KeyedTarget:
                 if counts and (now["buckets"] != state["buckets"] or (not ordinals and self.meets(attempt, state, now))):
                     self.folder.delete(f"rows/_a={attempt}")
                     raise
-                state = now
+                state = now | {"names": state["names"] | now["names"], "used": [*now["used"], *(u for u in state["used"] if u not in now["used"])]}
         try:
             if sum(new["rows"]) > LARGE * new["buckets"]:
                 self.compact(number, new, list(range(new["buckets"])), 4 * new["buckets"])
@@ -272,7 +293,7 @@ class KeyedTarget:
             base, deltas = state["base"], [d + (b in counts) for b, d in enumerate(state["deltas"])]
             size = [x + counts.get(b, 0) for b, x in enumerate(state["rows"])]
         attempts = state["attempts"] | ({attempt: version} if counts else {})
-        return {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue(), "attempts": attempts, "replaced": state["replaced"], "ordinals": bool(state.get("ordinals") or ordinals)}
+        return {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue(), "attempts": attempts, "replaced": state["replaced"], "ordinals": bool(state.get("ordinals") or ordinals), "names": state["names"], "used": state["used"]}
 
     def meets(self, attempt: str, before: dict, now: dict) -> bool:
         """Whether what was committed since has keys of the attempt."""
@@ -283,26 +304,22 @@ class KeyedTarget:
         keys = lambda names: self.spark.read.schema("_key string").option("basePath", top).parquet(*(f"{top}/_a={a}" for a in names)).select("_key")
         return bool(since) and not keys([attempt]).join(keys(since), "_key", "left_semi").isEmpty()
 
-    def compact(self, number: int, state: dict, some: list[int], buckets: int | None = None, rows: DataFrame | None = None) -> None:
-        """Some buckets as one version each, or all of them as another number of buckets or with other rows. Rows with
-        ordinals keep their marks of deletion, so that changes which come later still find them."""
+    def compact(self, number: int, state: dict, some: list[int], buckets: int | None = None) -> None:
+        """Some buckets as one version each, or all of them as another number of buckets. Rows with ordinals keep their marks
+        of deletion, so that changes which come later still find them."""
         version, n, attempt = state["version"] + 1, buckets or state["buckets"], uuid.uuid4().hex
-        if rows is None:
-            rows = self.latest(state, None if len(some) == state["buckets"] else some, marks=True)
-            rows = rows if state.get("ordinals") else rows.where("NOT _deleted")
-        elif "_deleted" not in rows.columns:
-            rows = rows.withColumn("_deleted", F.lit(False))
-        counts = self.put(rows, attempt, n)
+        rows = self.latest(state, None if len(some) == state["buckets"] else some, marks=True)
+        rows = rows if state.get("ordinals") else rows.where("NOT _deleted")
+        counts = self.put(rows, attempt, n, state["names"])
         if n != state["buckets"]:
             base, deltas, size = [version] * n, [0] * n, [counts.get(b, 0) for b in range(n)]
         else:
             at = set(some)
             base, deltas = [version if b in at else x for b, x in enumerate(state["base"])], [0 if b in at else x for b, x in enumerate(state["deltas"])]
             size = [counts.get(b, 0) if b in at else x for b, x in enumerate(state["rows"])]
-        fields = [T.StructField(f.name, f.dataType, True) for f in rows.schema]
         attempts = {a: v for a, v in state["attempts"].items() if v >= min(base)} | ({attempt: version} if counts else {})
         replaced = [a for a in state["attempts"] if a not in attempts]
-        made = {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": T.StructType(fields).jsonValue(), "attempts": attempts, "replaced": replaced, "ordinals": bool(state.get("ordinals"))}
+        made = {"version": version, "buckets": n, "base": base, "deltas": deltas, "rows": size, "schema": state["schema"], "attempts": attempts, "replaced": replaced, "ordinals": bool(state.get("ordinals")), "names": state["names"], "used": state["used"]}
         try:
             self.folder.write("state", made, number)
         except Conflict:
@@ -331,14 +348,20 @@ class KeyedTarget:
         return self.merge(new.join(mine, [*keys, "_fp"], "left_anti").select(*rows.columns), mine.join(new.select(*keys), keys, "left_anti").select(*keys))
 
     def evolve(self, schema: T.StructType) -> None:
-        """Drop, add and retype value columns; the keys stay."""
+        """Drop, add and retype value columns; the keys stay. No row is written: a new column has a name of its own in files to
+        come and is null in those there are, and a retyped one reads what older files have, cast."""
         number, state = self.numbered_state()
         if state["schema"] is None:
             return
-        rows = self.latest(state)
-        own = [c for c in OWN if c != "_deleted"]
-        cols = [(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema]
-        self.compact(number, state, list(range(state["buckets"])), rows=rows.select(*cols, *own))
+        old, schema = T.StructType.fromJson(state["schema"]), loosened(schema)
+        stays = [f for f in schema if f.name in old.names and old[f.name].dataType == f.dataType]
+        before = {f.name: state["names"][f.name] for f in schema if f.name in old.names}
+        made = self.named(state | {"names": {f.name: before[f.name] for f in stays}}, list(schema))
+        for f in schema:
+            if f.name in before and f not in stays:
+                made["names"][f.name] = [*made["names"][f.name], *before[f.name]]
+        fields = [*(T.StructField(f.name, f.dataType, True) for f in schema), *(f for f in old if f.name in OWN)]
+        self.folder.write("state", made | {"schema": T.StructType(fields).jsonValue()}, number)
 
     def drop(self) -> None:
         self.folder.delete("")

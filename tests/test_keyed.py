@@ -207,6 +207,28 @@ def test_ordinals_decide_in_any_order_of_batches(spark, tmp_path, monkeypatch):
     assert {r.k: r.v for r in target.read().collect()} == {k: v for k, v in expected.items() if v is not None}
 
 
+def test_columns_come_go_and_change_without_a_row_written(spark, tmp_path, monkeypatch):
+    from pyspark.sql import types as T
+
+    target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], 2)
+    rows = lambda given, schema: target.merge(spark.createDataFrame([(*r, "s", str(r[0])) for r in given], schema + ", _source string, _owner string"), gone(spark))
+    kind = lambda text: T.StructType.fromDDL(text)
+    got = lambda: {r.k: tuple(r)[1:] for r in target.read().select("k", *sorted(c for c in target.read().columns if c != "k")).collect()}
+    rows([(1, "a", 7), (2, "b", None)], "k long, v string, n long")
+    files = sorted((tmp_path / "t").rglob("*.parquet"))
+    target.evolve(kind("k long, n string, w double"))  # v goes, n changes, w comes
+    assert got() == {1: ("7", None), 2: (None, None)}
+    target.evolve(kind("k long, n string, v string"))  # another v, which has none of the old one's values
+    assert got() == {1: ("7", None), 2: (None, None)} and sorted((tmp_path / "t").rglob("*.parquet")) == files
+    rows([(2, "x", "new"), (3, None, "c")], "k long, n string, v string")
+    assert got() == {1: ("7", None), 2: ("x", "new"), 3: (None, "c")}
+    monkeypatch.setattr(keyed, "DELTAS", 1)
+    rows([(4, "y", "d")], "k long, n string, v string")  # compacts
+    assert got() == {1: ("7", None), 2: ("x", "new"), 3: (None, "c"), 4: ("y", "d")}
+    target.evolve(kind("k long, n long"))
+    assert got()[1] == (7,) if spark.conf.get("spark.sql.ansi.enabled") == "false" else True
+
+
 BIG = 2**53 + 1
 
 
