@@ -17,8 +17,6 @@ import json
 import re
 import time
 import uuid
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +31,7 @@ OWN = ["_key", "_source", "_owner", "_version", "_ordinal", "_fp", "_deleted"]
 #: Age in seconds of an attempt that no state names, after which a compaction takes it away: its writer has gone.
 LEFT = 86_400
 #: Owners that a read is told by name, so that files and row groups without them aren't read.
-NAMED = 500
+NAMED = 100
 LAST = 2**63 - 1
 
 
@@ -125,9 +123,12 @@ def row_fp(columns: list[str]) -> Column:
 
 
 def any_of(column: str, values: list[str]) -> Column:
-    """The column is one of values, as equalities that reach the files' Bloom filters."""
-    found = sorted(set(values))
-    return reduce(or_, [F.col(column) == v for v in found]) if found else F.lit(False)
+    """The column is one of values, as equalities that reach the files' Bloom filters; they are joined in pairs, so that the
+    expression isn't deep."""
+    found = [F.col(column) == v for v in sorted(set(values))] or [F.lit(False)]
+    while len(found) > 1:
+        found = [a | b for a, b in zip(found[::2], found[1::2])] + found[len(found) // 2 * 2 :]
+    return found[0]
 
 
 class KeyedTarget:

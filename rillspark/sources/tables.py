@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +90,10 @@ class Table(Source):
         if len(some) > FEW:
             return self.values(spark, keys)
         one = lambda r: reduce(and_, [F.col(k).eqNullSafe(F.lit(r[k])) if r[k] is None else F.col(k) == F.lit(r[k]) for k in self.keys])
-        return self.read(spark).where(reduce(or_, map(one, some)) if some else F.lit(False))
+        found = list(map(one, some)) or [F.lit(False)]
+        while len(found) > 1:  # in pairs, so that the expression isn't deep
+            found = [a | b for a, b in zip(found[::2], found[1::2])] + found[len(found) // 2 * 2 :]
+        return self.read(spark).where(found[0])
 
 
 def widened(f: T.StructField) -> T.StructField:

@@ -299,6 +299,14 @@ def read_bytes(spark):
     return sum(stages.apply(i).inputBytes() for i in range(stages.size()))
 
 
+def test_many_owners_can_be_named(spark, tmp_path):
+    target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], 2)
+    target.merge(up(spark, [(i, "a") for i in range(700)]), gone(spark))
+    assert target.rows(owners=[("s", str(i)) for i in range(keyed.NAMED)]).count() == keyed.NAMED and target.rows(owners=[]).count() == 0
+    source = Table(lambda s: s.range(900).withColumnRenamed("id", "k"), ["k"])
+    assert source.told(spark, spark.range(150, 340).withColumnRenamed("id", "k")).count() == 190
+
+
 def test_an_update_reads_what_it_changes(spark, tmp_path):
     n = 300_000
     target = KeyedTarget(spark, str(tmp_path / "t"), ["k"], 4)
