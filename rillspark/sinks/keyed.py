@@ -345,8 +345,13 @@ class KeyedTarget:
         if old is None:
             return self.merge(rows, none)
         mine = old.select(*keys, "_fp").join(touched.select("_source", "_owner"), ["_source", "_owner"], "left_semi")
-        new = rows.withColumn("_key", key_json(self.keys)).withColumn("_fp", row_fp(values))
-        return self.merge(new.join(mine, [*keys, "_fp"], "left_anti").select(*rows.columns), mine.join(new.select(*keys), keys, "left_anti").select(*keys))
+        new, beside = rows.withColumn("_key", key_json(self.keys)).withColumn("_fp", row_fp(values)), f"changes-{uuid.uuid4().hex}"
+        new.write.parquet(f"{self.folder.path}/{beside}")  # worked out once for the rows to write and those to take away
+        new = self.spark.read.schema(new.schema).parquet(f"{self.folder.path}/{beside}")
+        try:
+            return self.merge(new.join(mine, [*keys, "_fp"], "left_anti").select(*rows.columns), mine.join(new.select(*keys), keys, "left_anti").select(*keys))
+        finally:
+            self.folder.delete(beside)
 
     def evolve(self, schema: T.StructType) -> None:
         """Drop, add and retype value columns; the keys stay. No row is written: a new column has a name of its own in files to
