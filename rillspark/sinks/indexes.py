@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillspark.operators import search as S
+from rillspark.session import spread
 from rillspark.sinks.keyed import Folder, KeyedTarget, key_json
 
 #: Parts that the rows of one word or cell are dealt to, so that a frequent one isn't one bucket.
 PARTS = 8
+#: Postings of a batch that goes from a task's Python to Spark.
+MOST = 50_000
 
 
 def owned(rows: DataFrame, key: str) -> DataFrame:
@@ -31,6 +35,27 @@ def less(place: int) -> Callable[[Column], Column]:
     return lambda x: x - F.lit(place)
 
 
+def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text, a list of words in the last column, a row for each of its words with its positions: all within the task
+    that has the text, by a sort of a batch's words by text, word and place."""
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        ws = lists.flatten().dictionary_encode()
+        size = np.asarray(lists.value_lengths())
+        text = np.repeat(np.arange(b.num_rows), size)
+        at = (np.arange(len(ws)) - np.repeat(size.cumsum() - size, size)).astype(np.int32)
+        which = text * max(1, len(ws.dictionary)) + np.asarray(ws.indices, np.int64)
+        order = np.argsort(which, kind="stable")
+        begins = np.flatnonzero(np.diff(which[order], prepend=-1))
+        ends, at = np.append(begins[1:], len(order)), at[order]
+        for i in range(0, len(begins), MOST):
+            some, first = order[begins[i : i + MOST]], begins[i]
+            offsets = np.append(begins[i : i + MOST], ends[min(i + MOST, len(begins)) - 1])
+            positions = pa.ListArray.from_arrays(pa.array((offsets - first).astype(np.int32)), pa.array(at[first : offsets[-1]]))
+            word = ws.dictionary.take(ws.indices.take(pa.array(some)))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(text[some])) for c in b.columns[:-1]), word, positions], names=[*b.schema.names[:-1], "word", "positions"])
+
+
 class TextIndex:
     """Postings (word, key, positions, length of the text) of a text column. Words are runs of letters and digits in lower
     case."""
@@ -42,14 +67,15 @@ class TextIndex:
 
     def update(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
         """Rows (key, text) that are new or changed, and keys of those that went. A null text has no words."""
-        rows = owned(rows.select(self.key, S.words(F.col(self.text)).alias("ws"), F.when(F.col(self.text).isNotNull(), F.size(S.words(F.col(self.text)))).cast("bigint").alias("n")), self.key)
+        rows = spread(rows.select(self.key, self.text))
+        rows = owned(rows.select(self.key, S.words(F.col(self.text)).alias("ws")).withColumn("n", F.when(F.col("ws").isNotNull(), F.size("ws")).cast("bigint")), self.key)
         touched = rows.select("_source", "_owner")
         if gone is not None:
             touched = touched.union(owned(gone.select(self.key), self.key).select("_source", "_owner"))
-        each = rows.select(self.key, "_source", "_owner", "n", F.posexplode("ws").alias("at", "word"))
         part = F.pmod(F.xxhash64(self.key), F.lit(PARTS)).cast("int").alias("part")
-        found = each.groupBy("word", part, self.key, "_source", "_owner", "n").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-        self.postings.replace(found, touched)
+        each = rows.where("n > 0").select(self.key, "_source", "_owner", "n", part, "ws")
+        found = each.mapInArrow(postings, T.StructType([*each.schema[:-1], T.StructField("word", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+        self.postings.replace(found.select("word", "part", self.key, "_source", "_owner", "n", "positions"), touched)
         self.lengths.replace(rows.select(self.key, "n", "_source", "_owner"), touched)
         total = self.lengths.rows(columns=["n"]).agg(F.count("*").alias("docs"), F.count("n").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
         self.folder.write("stats", total.asDict())
@@ -58,8 +84,8 @@ class TextIndex:
         """The postings of some words, from their buckets alone."""
         words = sorted(set(words))
         some = self.postings.buckets_of([(w, str(p)) for w in words for p in range(PARTS)])
-        rows = self.postings.rows(only=some, columns=["word", self.key, "n", "positions"])
-        return rows.where(F.col("word").isin(words)).select("word", self.key, "n", "positions")
+        rows = self.postings.rows(only=some, columns=["word", self.key, "n", "positions"], having=("word", words))
+        return rows.select("word", self.key, "n", "positions")
 
     def any_of(self, words: list[str]) -> DataFrame:
         return self.read(words).select(self.key).distinct()
@@ -169,8 +195,8 @@ class VectorIndex:
 
     def knn(self, query: list[float], k: int, where: Column | None = None) -> DataFrame:
         """The k nearest rows with `distance`, rounded to 6 places, ties by key, as a scan gives them. Cells are read in the
-        order of the least distance that a row of theirs can have, twice as many each time, until no unread cell can hold
-        a row as near as the k-th."""
+        order of the least distance that a row of theirs can have: those with 2k rows, then three times as many, then all that
+        can hold a row as near as the k-th found."""
         middle, radii = np.array(self.folder.read("centres")["centres"]), {int(c): v for c, v in self.folder.read("radii").items()}
         q = np.array(query, np.float64)
         if self.metric == "ip":  # q.x is at most q.c and the length of q times that of x - c
@@ -179,25 +205,27 @@ class VectorIndex:
             p = placed(q[None], self.metric)[0]
             least = {c: max(0.0, float(np.linalg.norm(p - middle[c])) - r) for c, (_, r) in radii.items()}
             least = {c: d * d / 2 for c, d in least.items()} if self.metric == "cosine" else least  # of unit vectors
-        order, self.probed, best, size = sorted(least, key=lambda c: (least[c], c)), [], None, 0
-        top = [F.col("distance").desc() if self.metric == "ip" else F.col("distance").asc(), F.asc(self.key)]
-        while len(self.probed) < len(order):
-            size = size * 2 or 1
-            some = order[len(self.probed) : len(self.probed) + size]
-            found = S.knn(self.read(some), self.column, S.vector(query), k, self.metric, where, self.key)
-            best = found if best is None else best.unionByName(found).orderBy(*top).limit(k)
-            rows = best.collect()  # k at most
-            best = self.spark.createDataFrame(rows, best.schema)
-            self.probed += some
-            got = sorted((r.distance for r in rows), reverse=self.metric == "ip")
+        order, self.probed, best, falls = sorted(least, key=lambda c: (least[c], c)), [], [], self.metric == "ip"
+        near = lambda d: (-d if falls else d) if d is not None and d == d else math.inf
+        column, asked, schema = self.column, S.vector(query), None
+        for turn in range(3):
             rest = order[len(self.probed) :]
-            if rest and len(got) == k and least[rest[0]] > (-got[-1] if self.metric == "ip" else got[-1]) + 2e-6:
+            if turn < 2:
+                enough = next((i for i, n in enumerate(accumulate(radii[c][0] for c in rest), 1) if n >= 2 * k), len(rest))
+                some = rest[: max(enough, 3 * len(self.probed))]
+            else:
+                some = [c for c in rest if len(best) < k or least[c] <= near(best[-1].distance) + 2e-6]
+            found = S.knn(self.read(some) if order else self.cells.rows(), column, asked, k, self.metric, where, self.key)
+            schema, self.probed = found.schema, [*self.probed, *some]
+            best = sorted([*best, *found.collect()], key=lambda r: (near(r.distance), r[self.key]))[:k]  # k a round at most
+            rest = rest[len(some) :]
+            if not rest or (len(best) == k and least[rest[0]] > near(best[-1].distance) + 2e-6):
                 break
-        return best if best is not None else S.knn(self.cells.rows(), self.column, S.vector(query), k, self.metric, where, self.key)
+        return self.spark.createDataFrame(best, schema)
 
     def read(self, cells: list[int]) -> DataFrame:
         """The rows of some cells, from their buckets alone."""
         some = self.cells.buckets_of([(str(c), str(p)) for c in cells for p in range(PARTS)])
-        rows = self.cells.rows(only=some).where(F.col("cell").isin(cells))
+        rows = self.cells.rows(only=some, having=("cell", cells))
         return rows.drop("cell", "part", "far", *(c for c in rows.columns if c.startswith("_")))
 

@@ -18,7 +18,7 @@ import re
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,15 +139,19 @@ class KeyedTarget:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None, by: list[str] | None = None):
         self.spark, self.folder, self.keys, self.first, self.by = spark, Folder(spark, path), keys, buckets, by
 
-    def bucket(self, buckets: int) -> Column:
-        of = [F.get_json_object("_key", f"$.{c}") for c in self.by] if self.by else ["_key"]
+    def bucket(self, buckets: int, has: dict[str, str] | None = None) -> Column:
+        """The bucket by `_key`, or by columns that hold the values of `by`: has, the name of each. They are null in marks."""
+        told = lambda c: F.get_json_object("_key", f"$.{c}")
+        of = [F.coalesce(F.col(f"`{has[c]}`").cast("string"), told(c)) if has else told(c) for c in self.by] if self.by else ["_key"]
         return F.pmod(F.xxhash64(*of), F.lit(buckets)).cast("int")
 
     def buckets_of(self, values: list[tuple]) -> list[int]:
         """The buckets of rows that have some values of `by`."""
         if not values:
             return []
-        rows = self.spark.createDataFrame(values, ", ".join(f"{c} string" for c in self.by)).select(key_json(self.by).alias("_key"))
+        given = F.lit(json.dumps([dict(zip(self.by, v)) for v in values]))  # one literal, and no task of Python
+        kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in self.by]))
+        rows = self.spark.range(0, 1, 1, 1).select(F.explode(F.from_json(given, kind)).alias("v")).select(F.to_json("v").alias("_key"))
         return sorted({r[0] for r in rows.select(self.bucket(self.state()["buckets"])).collect()})
 
     def numbered_state(self) -> tuple[int, dict]:
@@ -179,15 +183,19 @@ class KeyedTarget:
         value = lambda f: F.coalesce(*(as_now(F.col(f"`{n}`"), f) for n, _ in state["names"][f.name]))
         return rows.select(*((own.get(f.name, F.col(f.name)) if f.name in OWN else value(f)).alias(f.name) for f in schema), "_bucket")
 
-    def rows(self, only: list[int] | None = None, columns: list[str] | None = None, owners: list[tuple[str, str]] | None = None) -> DataFrame | None:
+    def rows(self, only: list[int] | None = None, columns: list[str] | None = None, owners: list[tuple[str, str]] | None = None, having: tuple[str, list] | None = None) -> DataFrame | None:
         """The latest row of each key and owner, of some buckets or all; None before the first update. columns: those of the
         values that are wanted, so that no others are read. owners: (source, owner) whose rows are wanted, few enough to be
-        named; files and row groups that have none of them are not read."""
+        named; files and row groups that have none of them are not read. having: a column of `by` and its wanted values;
+        other rows are left out before versions are compared, and row groups without them aren't read."""
         state = self.state()
-        return None if state["schema"] is None else self.latest(state, only, columns, owners)
+        return None if state["schema"] is None else self.latest(state, only, columns, owners, having=having)
 
-    def latest(self, state: dict, only: list[int] | None = None, columns: list[str] | None = None, owners: list[tuple[str, str]] | None = None, marks: bool = False) -> DataFrame:
+    def latest(self, state: dict, only: list[int] | None = None, columns: list[str] | None = None, owners: list[tuple[str, str]] | None = None, marks: bool = False, having: tuple[str, list] | None = None) -> DataFrame:
         rows = self.written(state, only)
+        if having is not None:  # marks have the value in their keys alone
+            c, values = having
+            rows = rows.where(F.col(c).isNull() | F.col(c).isin(values)).where(F.col(c).isNotNull() | F.get_json_object("_key", f"$.{c}").isin([str(v) for v in values]))
         if columns is not None:
             rows = rows.select(*columns, *OWN, "_bucket")
         if owners is not None:
@@ -208,41 +216,54 @@ class KeyedTarget:
         best = F.max_by(F.struct(*columns), F.struct("_version", "_source", "_owner"))
         return rows.groupBy("_key").agg(best.alias("r")).select("r.*") if columns else rows.select()
 
-    def put(self, rows: DataFrame, attempt: str, buckets: int, names: dict[str, list]) -> dict[int, int]:
-        """Rows written as an attempt, in order of owner and with Bloom filters of it: how many each bucket got."""
+    def put(self, rows: DataFrame, attempt: str, buckets: int, names: dict[str, list], stands: DataFrame | None = None) -> dict[int, int]:
+        """Rows written as an attempt, in order of owner (or of key, if buckets go `by` some) and with Bloom filters of it: how many each bucket got. Rows are dealt
+        to buckets once; there, of equal keys of one owner, a row counts before a mark and of rows that with the larger hash.
+        stands: rows as they stand, of owners whose rows are all given: those that come again are left out, and of those that
+        don't come a mark is written."""
         path = f"{self.folder.path}/rows/_a={attempt}"
+        keys = ["_bucket", "_key", "_source", "_owner"] if self.by else ["_bucket", "_source", "_owner", "_key"]
+        if stands is not None:
+            marks = stands.select("_key", "_source", "_owner", "_fp", F.lit(True).alias("_deleted"), F.lit(True).alias("_stands"))
+            rows = rows.withColumn("_stands", F.lit(False)).unionByName(marks, allowMissingColumns=True)
         rows = rows.select(*(F.col(f"`{c}`").alias(names[c][0][0]) if c in names else F.col(c) for c in rows.columns))
-        dealt = rows.withColumn("_bucket", self.bucket(buckets)).repartition(buckets, "_bucket")
-        writer = dealt.sortWithinPartitions("_bucket", "_source", "_owner").write.partitionBy("_bucket").option("parquet.bloom.filter.enabled#_owner", "true").option("parquet.bloom.filter.expected.ndv#_owner", "100000")
+        has = {c: names[c][0][0] for c in self.by or []}
+        alike = all(rows.schema[n].dataType.typeName() in ("string", "byte", "short", "integer", "long") for n in has.values())
+        dealt = rows.withColumn("_bucket", self.bucket(buckets, has if alike else None)).repartition(buckets, "_bucket")
+        one = Window.partitionBy(*keys)
+        if stands is not None:
+            dealt = dealt.withColumn("_old", F.max(F.when(F.col("_stands"), F.col("_fp"))).over(one))
+        dealt = dealt.withColumn("_n", F.row_number().over(one.orderBy("_deleted", F.desc("_fp")))).where("_n = 1").drop("_n")
+        if stands is not None:
+            dealt = dealt.where("_deleted OR _old IS NULL OR _fp <> _old").drop("_old", "_stands")
+        writer = dealt.sortWithinPartitions(*keys).write.partitionBy("_bucket").option("parquet.bloom.filter.enabled#_owner", "true").option("parquet.bloom.filter.expected.ndv#_owner", "100000")
         writer.mode("errorifexists").parquet(path)
         if not any(f.isDirectory() for f in self.folder.fs.listStatus(self.folder.at(f"rows/_a={attempt}"))):
             return {}
         counts = self.spark.read.schema("_bucket int").option("basePath", path).parquet(path).groupBy("_bucket").count()
         return {r["_bucket"]: r["count"] for r in counts.collect()}
 
-    def merge(self, upserts: DataFrame, gone: DataFrame, ordinal: str | None = None) -> int:
+    def merge(self, upserts: DataFrame, gone: DataFrame | None = None, ordinal: str | None = None, stands: DataFrame | None = None) -> int:
         """Rows of gone (`_key`, `_source`, `_owner`) go, then upserts (columns, `_source`, `_owner`) take the place of
         their owner's rows of the same key. Of equal keys of one owner one stays. The new version is returned. ordinal: a
-        column of both that says how new a change is; of one key and owner the newest counts, whatever came before."""
+        column of both that says how new a change is; of one key and owner the newest counts, whatever came before, and
+        changes are reduced before they are shuffled. stands: see `put`."""
         keys = ["_key", "_source", "_owner"]
         values = [c for c in upserts.columns if c not in ("_source", "_owner")]
         of = lambda df: df.withColumn("_ordinal", (F.col(ordinal) if ordinal else F.lit(None)).cast("bigint"))
-        upserts = of(upserts).withColumn("_fp", row_fp(values)).withColumn("_key", key_json(self.keys)).withColumn("_deleted", F.lit(False))
-        marks = of(gone).select(*keys, "_ordinal").withColumn("_deleted", F.lit(True))
+        rows = of(upserts).withColumn("_fp", row_fp(values)).withColumn("_key", key_json(self.keys)).withColumn("_deleted", F.lit(False))
         number, state = self.numbered_state()
+        if gone is not None and (ordinal or state["schema"]):
+            rows = rows.unionByName(of(gone).select(*keys, "_ordinal").withColumn("_deleted", F.lit(True)), allowMissingColumns=True)
         if ordinal:
-            both = upserts.unionByName(marks, allowMissingColumns=True)
-            rest = [c for c in both.columns if c not in keys]
+            rest = [c for c in rows.columns if c not in keys]
             newest = F.struct(F.coalesce("_ordinal", F.lit(LAST)), ~F.col("_deleted"), "_fp")
-            rows = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("r")).select(*keys, "r.*")
-        else:
-            upserts, marks = upserts.dropDuplicates(keys), marks.distinct().join(upserts.select(*keys), keys, "left_anti")
-            rows = upserts.unionByName(marks if state["schema"] else marks.where("false"), allowMissingColumns=True)
+            rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("r")).select(*keys, "r.*")
         rows = rows.withColumn("_version", F.lit(None).cast("bigint")).select(*values, *OWN)
         attempt = uuid.uuid4().hex
         fields = [T.StructField(f.name, loosened(f.dataType), True) for f in rows.schema]
         state = self.named(state, fields)
-        counts = self.put(rows, attempt, state["buckets"], state["names"])
+        counts = self.put(rows, attempt, state["buckets"], state["names"], stands)
         if not counts:
             self.folder.delete(f"rows/_a={attempt}")
             if state["schema"] is not None:
@@ -337,21 +358,13 @@ class KeyedTarget:
                 self.folder.delete(f"rows/_a={name}")
 
     def replace(self, rows: DataFrame, touched: DataFrame) -> int:
-        """All rows of the touched owners (`_source`, `_owner`) become those given; what stays as it was isn't written again."""
-        keys, values = ["_key", "_source", "_owner"], [c for c in rows.columns if c not in ("_source", "_owner")]
+        """All rows of the touched owners (`_source`, `_owner`) become those given; what stays as it was isn't written again.
+        The new rows and those that stand meet in the buckets that they are written to, after one shuffle."""
+        if self.state()["schema"] is None:
+            return self.merge(rows)
         few = [tuple(r) for r in touched.select("_source", "_owner").distinct().limit(NAMED + 1).collect()]
         old = self.rows(columns=[], owners=few if len(few) <= NAMED else None)
-        none = self.spark.createDataFrame([], "_key string, _source string, _owner string")
-        if old is None:
-            return self.merge(rows, none)
-        mine = old.select(*keys, "_fp").join(touched.select("_source", "_owner"), ["_source", "_owner"], "left_semi")
-        new, beside = rows.withColumn("_key", key_json(self.keys)).withColumn("_fp", row_fp(values)), f"changes-{uuid.uuid4().hex}"
-        new.write.parquet(f"{self.folder.path}/{beside}")  # worked out once for the rows to write and those to take away
-        new = self.spark.read.schema(new.schema).parquet(f"{self.folder.path}/{beside}")
-        try:
-            return self.merge(new.join(mine, [*keys, "_fp"], "left_anti").select(*rows.columns), mine.join(new.select(*keys), keys, "left_anti").select(*keys))
-        finally:
-            self.folder.delete(beside)
+        return self.merge(rows, stands=old.join(touched.select("_source", "_owner"), ["_source", "_owner"], "left_semi"))
 
     def evolve(self, schema: T.StructType) -> None:
         """Drop, add and retype value columns; the keys stay. No row is written: a new column has a name of its own in files to
