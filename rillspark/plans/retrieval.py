@@ -276,6 +276,18 @@ def graph_orphans(spark, sf):
     return G.orphans(every, [(orders.where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"), ["o_custkey"])], ["id"])
 
 
+@query("SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1")
+def graph_counts(spark, sf):
+    """Relationships of each customer, counted by what changed: some orders belong to others first, and some go."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    kept = G.EndpointCounts(spark, f"{shared_dir(spark)}/ends-{uuid.uuid4().hex}", ["o_orderkey"], [["o_custkey"]], ["id"])
+    other = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    extra = orders.where("o_orderkey % 7 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    kept.update(orders.withColumn("o_custkey", other).union(extra))
+    kept.update(orders.where("o_orderkey % 5 = 0"), extra.select("o_orderkey"))
+    return kept.read()
+
+
 # models and stores that SQL can't express
 
 
