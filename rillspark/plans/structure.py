@@ -41,7 +41,7 @@ def chunk_index(spark: SparkSession, sf: str) -> DataFrame:
 
     def define(flow: Flow):
         out = flow.add_collector()
-        docs = Table(lambda s: spread(s.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")), ["doc_id"])
+        docs = Table(lambda s: spread(s.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), 4), ["doc_id"])
         with flow.add_source(docs).row() as doc:
             doc["chunks"] = doc["text"].transform(split.split_recursively, 1000, 300, 100)
             with doc["chunks"].row() as chunk:
@@ -218,7 +218,7 @@ def split_texts(spark, sf):
 
 @query()
 def split_recursively(spark, sf):
-    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), 4)
     return docs.select("doc_id", F.inline(split.split_recursively(F.col("text"), 500, 100, 50))).select("doc_id", "location", "text", "start", "end")
 
 

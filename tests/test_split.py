@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from rillspark.functions import languages, split
 from rillspark.functions.split import CustomLanguage, RecursiveSplitter, break_level, rows, separator_spans, split_by_separators, split_recursively
@@ -160,3 +161,13 @@ def test_depths_of_separators():
     p = split.Pieces(t, split.cut_by_levels(t, RecursiveSplitter().ladder(None), offsets, 1), offsets)
     assert [t[a:b] for a, b in zip(p.start, p.end)] == ["a", "b", "c", " d", "e"]
     assert p.depth.tolist() == [0, 7, 4, 2, 6, 0] and p.outer.tolist() == [0, 0, 0, 2, 0, 2]
+
+
+def test_texts_are_cut_together(monkeypatch):
+    """As each by itself, with few passes over arrays however many texts there are."""
+    rng, calls, own = random.Random(6), [], split.own_costs
+    words = ["a", "bc", "é", "\n", "\n\n", "end. ", "so, ", "日。"]
+    asked = [(" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 40, 90]))), rng.choice([20, 30]), 8, rng.choice([None, 0, 6]), None) for _ in range(300)]
+    alone = [RecursiveSplitter().spans(*a) for a in asked]
+    monkeypatch.setattr(split, "own_costs", lambda *a: calls.append(1) or own(*a))
+    assert RecursiveSplitter().spans_of(asked) == alone and len(calls) < 30
