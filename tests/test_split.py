@@ -171,3 +171,12 @@ def test_texts_are_cut_together(monkeypatch):
     alone = [RecursiveSplitter().spans(*a) for a in asked]
     monkeypatch.setattr(split, "own_costs", lambda *a: calls.append(1) or own(*a))
     assert RecursiveSplitter().spans_of(asked) == alone and len(calls) < 30
+
+
+def test_rows_of_a_batch_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(split, "SLICE", 10)
+    texts = pd.Series(["a.b", None, "c" * 30, "d.e", "f.g", "", "h.i", "j"])
+    parts = list(split.separated(iter([texts, texts[:0]]), [r"\."]))
+    assert [len(p) for p in parts] == [2, 1, 5, 0]
+    found = [None if r is None else [x["text"] for x in r] for p in parts for r in p]
+    assert found == [["a", "b"], None, ["c" * 30], ["d", "e"], ["f", "g"], [], ["h", "i"], ["j"]]
