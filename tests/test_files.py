@@ -61,3 +61,16 @@ def test_no_files(spark, tmp_path):
     assert Files(str(tmp_path / "none")).listing(spark).collect() == []
     (tmp_path / "empty").mkdir()
     assert Files(str(tmp_path / "empty")).read(spark).collect() == []
+
+
+def test_digests_hold_a_block_at_a_time(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    root = tmp_path / "r"
+    made(root, NAMES)
+    (root / "large").write_bytes(bytes(range(256)) * 20_000)
+    monkeypatch.setattr("rillspark.sources.files.BLOCK", 1000)
+    got = {r.filename: (r["size"], r.digest) for r in Files(str(root), binary=True).digests(spark).collect()}
+    held = {n: (root / n).read_bytes() for n in [*NAMES, "large"]}
+    assert got == {n: (len(x), hashlib.md5(x).hexdigest()) for n, x in held.items()}
+    assert {r.filename: bytes(r.content) for r in Files(str(root), binary=True).read(spark).collect()} == held
