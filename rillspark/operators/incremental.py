@@ -193,7 +193,10 @@ class Indexer:
             tracked = self.tracking([(name, k) for k in names]) if len(names) <= NAMED else self.tracking().join(told.select("key"), "key", "left_semi")
         listed = listed.withColumn("key", key_json(source.keys)).withColumn("_listed", F.lit(True))
         tracked = tracked.where(F.col("source") == name).select("key", F.col("ordinal").alias("_old_ordinal"), F.col("content_fp").alias("_old_fp"), F.col("logic_fp").alias("_old_logic"), F.lit(True).alias("_tracked"), F.col("process_ordinal").alias("_p"))
-        both = listed.join(tracked, "key", "full")
+        if self.tracked().state()["schema"] is None:  # all are new, and none is shuffled to see it
+            both = listed.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in tracked.schema if f.name != "key"))
+        else:
+            both = listed.join(tracked, "key", "full")
         yes = lambda c: F.coalesce(F.col(c), F.lit(False))
         same_logic = F.coalesce(F.col("_old_logic") == logic, F.lit(False)) & F.lit(mode == "normal")
         first = action(yes("_listed"), yes("_tracked"), F.col("_ordinal"), F.col("_old_ordinal"), same_logic, F.lit(False))
@@ -211,7 +214,7 @@ class Indexer:
     def kept(self, df: DataFrame, folder: str | None, what: str) -> DataFrame:
         if not folder:
             return df
-        df.write.mode("overwrite").parquet(f"{folder}/{what}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{what}")
         return self.spark.read.schema(df.schema).parquet(f"{folder}/{what}")
 
     def update(self, mode: str = "normal", told: dict[str, DataFrame] | None = None) -> Update:

@@ -119,7 +119,8 @@ def key_json(keys: list[str]) -> Column:
 
 
 def row_fp(columns: list[str]) -> Column:
-    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})) if columns else F.lit("")
+    """MD5 in base 64 without its filling, as it is written and shuffled with each row: 22 characters."""
+    return F.substring(F.base64(F.unhex(F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))), 1, 22) if columns else F.lit("")
 
 
 def any_of(column: str, values: list[str]) -> Column:
@@ -236,7 +237,7 @@ class KeyedTarget:
         dealt = dealt.withColumn("_n", F.row_number().over(one.orderBy("_deleted", F.desc("_fp")))).where("_n = 1").drop("_n")
         if stands is not None:
             dealt = dealt.where("_deleted OR _old IS NULL OR _fp <> _old").drop("_old", "_stands")
-        writer = dealt.sortWithinPartitions(*keys).write.partitionBy("_bucket").option("parquet.bloom.filter.enabled#_owner", "true").option("parquet.bloom.filter.expected.ndv#_owner", "100000")
+        writer = dealt.sortWithinPartitions(*keys).write.partitionBy("_bucket").option("compression", "zstd").option("parquet.bloom.filter.enabled#_owner", "true").option("parquet.bloom.filter.expected.ndv#_owner", "100000")
         writer.mode("errorifexists").parquet(path)
         if not any(f.isDirectory() for f in self.folder.fs.listStatus(self.folder.at(f"rows/_a={attempt}"))):
             return {}

@@ -319,3 +319,10 @@ def test_an_update_reads_what_it_changes(spark, tmp_path):
     assert sorted(int(r._owner) for r in old.collect()) == sorted(int(o) for _, o in owners)
     narrow = read_bytes(spark) - before
     assert narrow < whole / 4, (narrow, whole)
+
+
+def test_rows_are_written_in_few_bytes(spark, tmp_path):
+    n, path = 20_000, tmp_path / "t"
+    rows = spark.range(n).selectExpr("id AS k", "id % 7 AS v", "'s' AS _source", "concat('{\"k\":', id, '}') AS _owner")
+    KeyedTarget(spark, str(path), ["k"], 1).merge(rows)
+    assert sum(f.stat().st_size for f in path.rglob("*.parquet")) < 40 * n
